@@ -7,7 +7,7 @@ on nothing but the document and the seed, so reruns and retried tasks agree.
 
 Defined cases: a null text has size 0 and so has an empty one; null sources form one source of their own, last in
 order; a source of size 0 has target 0 and rate 0; repeated rows are documents of their own and draw alike; a null
-doc_id draws from its text alone; an empty table gives an empty result; other columns pass through `mix` unread.
+doc_id draws from the seed alone; an empty table gives an empty result; other columns pass through `mix` unread.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ BROADCAST_SOURCES = 100_000
 
 def sized(docs: DataFrame) -> DataFrame:
     """docs with `_size` (words) and `_draw`, a number from 0 to 1 exclusive."""
-    draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    digest = F.md5(F.concat_ws(":", F.lit(SEED).cast("string"), F.col("doc_id").cast("string")).cast("binary"))
+    draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     return docs.withColumns({"_size": F.size(words_of(F.col("text"))).cast("long"), "_draw": draw})
 
 
@@ -80,3 +81,21 @@ def mix(docs: DataFrame) -> DataFrame:
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rated(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
+  ('0x' || substr(md5(concat_ws(':', '20031', doc_id::VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw FROM documents),
+p AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+k AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k, (source_size * 3)::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE AS total FROM p),
+w AS (SELECT *, (k % 3 + 1)::DOUBLE AS weight FROM k),
+l AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+  sum(weight) OVER (ORDER BY cap / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM w),
+s AS (SELECT *, greatest(total - filled, 0) / weights AS share FROM l),
+f AS (SELECT *, first_value(CASE WHEN share * weight <= cap THEN share END IGNORE NULLS) OVER (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS level FROM s),
+t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(level * weight, cap) END AS target FROM f),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM t),
+c AS (SELECT d.*, r.source_size, r.target, r.rate, (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END)::INTEGER AS copies
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, rate, copies FROM c
+"""

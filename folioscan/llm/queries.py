@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from folioscan.llm import mixing, quality
+from folioscan.llm import minhash, mixing, quality
 
 QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
+    "op5_minhash_near_duplicates": minhash.op5_minhash_near_duplicates,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 ORACLES = {
     "op3_quality_rules": quality.OP3_SQL,
+    "op9_mix_sources": mixing.OP9_SQL,
 }
