@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from folioscan.llm import minhash, mixing, quality
+from folioscan.llm import minhash, mixing, quality, tokens
 
 QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_token_counts": tokens.op4_token_counts,
     "op5_minhash_near_duplicates": minhash.op5_minhash_near_duplicates,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
