@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from folioscan.llm import minhash, mixing, quality, tokens
+from folioscan.llm import latticelm, minhash, mixing, quality, tokenfile, tokens
 
 QUERIES = {
+    "op1_token_files": tokenfile.op1_token_files,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_token_counts": tokens.op4_token_counts,
     "op5_minhash_near_duplicates": minhash.op5_minhash_near_duplicates,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_lattice_scores": latticelm.op10_lattice_scores,
 }
 ORACLES = {
     "op3_quality_rules": quality.OP3_SQL,

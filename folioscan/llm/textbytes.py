@@ -114,3 +114,19 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndar
         h = h * np.uint64(0x9E3779B97F4A7C15) + words[t : t + n]
     first = np.flatnonzero(rows[:n] == rows[k - 1 :])
     return mix(h[first]), first
+
+
+def spelled(buf: np.ndarray, starts: np.ndarray, solid: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words, and which of them begins at each of starts; a word ends at white space or the next start."""
+    if not len(starts):
+        return pa.array([], pa.large_string()), np.zeros(0, np.int64)
+    kept = np.concatenate(([0], np.cumsum(solid)))
+    at = np.append(kept[starts], kept[-1]).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(buf[solid])).dictionary_encode()
+    return words.dictionary, words.indices.to_numpy()
+
+
+def distinct_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of a slice, which of them each word is, and each word's row."""
+    starts, _, rows = word_spans(buf, offsets)
+    return *spelled(buf, starts, ~WHITE[buf]), rows

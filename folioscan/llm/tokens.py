@@ -92,17 +92,13 @@ class Pieces:
         start[1:] |= ~solid[:-1] | (_LETTER[buf[:-1]] & _SAFE[buf[1:]])
         start[0] = True
         starts = np.flatnonzero(start & solid)
-        kept = np.concatenate(([0], np.cumsum(solid)))
-        ends = np.append(kept[starts[1:]], kept[-1]) if len(starts) else np.zeros(0, np.int64)
-        at = np.concatenate((kept[starts[:1]], ends)).astype(np.int64) if len(starts) else np.zeros(1, np.int64)
-        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(buf[solid]))
-        coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        words, code = tb.spelled(buf, starts, solid)
+        distinct = words.to_pylist()
         if len(self.known) + len(distinct) > max(PIECES, len(distinct)):
             self._forget()
         self._learn([x for x in distinct if x not in self.known])
         where = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        return where[coded.indices.to_numpy()], np.searchsorted(offsets, starts, "right") - 1
+        return where[code], np.searchsorted(offsets, starts, "right") - 1
 
     def counts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         place, row = self.places(buf, offsets)
