@@ -73,7 +73,7 @@ def slices(offsets: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]
         lo = hi
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(buf: np.ndarray, offsets: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each word; a word never passes the end of its row."""
     n = len(buf)
     if not n:
@@ -81,7 +81,7 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         return none, none, none
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
-    solid = ~WHITE[buf]
+    solid = ~white[buf]
     before = np.empty(n, bool)
     before[0], before[1:] = False, solid[:-1]
     after = np.empty(n, bool)
