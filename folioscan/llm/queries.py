@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from folioscan.llm import decontaminate, latticelm, minhash, mixing, quality, tokenfile, tokens
+from folioscan.llm import decontaminate, latticelm, minhash, mixing, quality, surrogates, tokenfile, tokens
 
 QUERIES = {
     "op1_token_files": tokenfile.op1_token_files,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_token_counts": tokens.op4_token_counts,
     "op5_minhash_near_duplicates": minhash.op5_minhash_near_duplicates,
+    "op6_surrogates": surrogates.op6_surrogates,
     "op7_benchmark_leaks": decontaminate.op7_benchmark_leaks,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_lattice_scores": latticelm.op10_lattice_scores,
