@@ -6,9 +6,11 @@ HALVES * ROWS minhashes do the work of HALVES ** 2 * 2 * ROWS. At a similarity o
 5 cases in 10,000, at 0.8 but for 7 in 100,000. Texts with equal sets are one class from the start, so copies are
 never paired.
 
-Links are confirmed on whole sets. In each table the lowest class is paired with the others first. Components follow
-from the links found; tables whose classes lie in more than one component then pair every class outside the table's
-largest component with the rest of it, so every pair that shares a table is compared or known to be connected.
+Links are confirmed on whole sets. In each table the class with most company in all its tables is paired with each of
+the others, which finds most links at a cost in proportion to the tables. Classes that share tables, directly or by
+others, form a cluster. Where a cluster holds more than one component, every class outside its largest component is
+compared with all classes of the cluster of a fitting size, block of sets against block of sets, and only links come
+out: so no pair that shares a table is lost, and no pair becomes a row before it is known to be a link.
 
 Defined cases: a null, empty or wordless text has an empty set and is a component of its own; a text of fewer words
 than `SHINGLE` has its whole sequence as its one shingle; ties go to the smaller doc_id; rows that repeat a doc_id and
@@ -34,6 +36,8 @@ SIMILAR = (75, 100)
 HALVES, ROWS = 10, 2
 #: Ids that are broadcast to pick out the texts to confirm links on, at 8 bytes each; beyond it that join shuffles.
 BROADCAST_IDS = 2_000_000
+#: Shingles in a block of sets.
+BLOCK = 400_000
 
 _rng = np.random.default_rng(11)
 _FACTORS = _rng.integers(1, 1 << 63, 2 * HALVES * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -117,14 +121,66 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(among * both >= of * (F.size("_x") + F.size("_y") - both)).select("a", "b")
 
 
-def _alike(n: str, m: str) -> F.Column:
-    """Sizes that allow enough similarity."""
+def _fitting(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose sizes allow enough similarity."""
     of, among = SIMILAR
-    return (among * F.least(n, m) >= of * F.greatest(n, m))
+    size = [classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"_{x}")) for x in "ab"]
+    return pairs.join(size[0], "a").join(size[1], "b").where(among * F.least("_a", "_b") >= of * F.greatest("_a", "_b")).select("a", "b")
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links between two blocks of sets."""
+    of, among = SIMILAR
+    for batch in batches:
+        names = {c: batch.column(c) for c in ("un", "us", "vn", "vs")}
+        for k in range(batch.num_rows):
+            un, vn = (names[c][k].values.to_numpy() for c in ("un", "vn"))
+            us, vs = (_parts(names[c][k].values) for c in ("us", "vs"))
+            size = np.array([len(x) for x in vs])
+            owner = np.repeat(np.arange(len(vs)), size)
+            flat = np.concatenate(vs)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            a, b = [], []
+            for node, x in zip(un, us, strict=True):
+                lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+                n = hi - lo
+                both = np.bincount(owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(vs))
+                alike = np.flatnonzero(among * both >= of * (len(x) + size - both))
+                alike = alike[vn[alike] != node]
+                a.append(np.full(len(alike), node))
+                b.append(vn[alike])
+            yield pa.record_batch([pa.array(np.concatenate(a).astype(np.int64)), pa.array(np.concatenate(b).astype(np.int64))], names=["a", "b"])
+
+
+def _parts(lists: pa.ListArray) -> list[np.ndarray]:
+    values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [values[at[k] : at[k + 1]] for k in range(len(lists))]
+
+
+def _across(stars: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the components of each cluster that holds more than one; at least one of each such pair of components that has any."""
+    clusters = connected(stars).withColumnRenamed("label", "cluster")
+    own = clusters.join(connected(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = own.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("cluster", F.col("most.label").alias("main"))
+    # bands of sizes: sets of enough similarity are in the same band or in the next
+    of, among = SIMILAR
+    band = F.floor(F.log(F.size("shingles").cast("double")) / F.lit(float(np.log(among / of)))).cast("int")
+    rows = materialize(own.join(open_, "cluster").join(sets, "node").select("cluster", "node", "shingles", (F.col("label") != F.col("main")).alias("outside"), band.alias("band")), "open-clusters")
+
+    def blocks(of_rows: DataFrame, node: str, shingles: str, number: str) -> DataFrame:
+        count = of_rows.groupBy("cluster", "band").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK).alias("_of"))
+        dealt = of_rows.join(count, ["cluster", "band"]).withColumn(number, F.pmod(F.xxhash64("node"), F.col("_of")))
+        return dealt.groupBy("cluster", "band", number).agg(F.collect_list("node").alias(node), F.collect_list("shingles").alias(shingles))
+
+    asking = blocks(rows.where("outside"), "un", "us", "u").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    pairs = asking.join(blocks(rows, "vn", "vs", "v"), ["cluster", "band"]).select("un", "us", "vn", "vs")
+    return materialize(pairs.mapInArrow(_compare, "a long, b long"), "links-across")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and n_links (confirmed links of the document's class) for each row of docs."""
+    """doc_id, n_shingles, component_id and kept for each row of docs."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(texts.mapInArrow(_sign, "doc_id long, n_shingles long, set_a long, set_b long, halves array<long>"), "signatures")
     full = signed.where("n_shingles > 0")
@@ -134,47 +190,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     keys = classes.select(
         "node",
-        "n_shingles",
         F.explode(F.expr(f"transform(sequence(0, {HALVES * HALVES - 1}), t -> xxhash64(t, halves[t DIV {HALVES}], halves[{HALVES} + t % {HALVES}]))")).alias("key"),
     )
-    shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub < _last").drop("_last")
+    shared = keys.groupBy("key").agg(F.min("node").alias("_first"), F.max("node").alias("_last"), F.count("*").alias("n")).where("_first < _last").select("key", "n")
     members = materialize(keys.join(shared, "key"), "tables")
-    sizes = classes.select(F.col("node").alias("hub"), F.col("n_shingles").alias("_n"))
-    stars = members.where("node <> hub").select(F.col("hub"), F.col("node"), "n_shingles").distinct().join(sizes, "hub").where(_alike("n_shingles", "_n"))
-    stars = materialize(stars.select(F.col("hub").alias("a"), F.col("node").alias("b")), "stars")
+    company = members.groupBy("node").agg(F.sum("n").alias("w"))
+    hubs = members.join(company, "node").groupBy("key").agg(F.max(F.struct("w", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
+    stars = materialize(members.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
 
-    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "set_a", "set_b", "n_shingles", "low")
-    picked = signed.where("n_shingles > 0").join(wanted, identity).where(F.col("doc_id").eqNullSafe(F.col("low"))).groupBy("node").agg(F.first("doc_id").alias("doc_id"))
+    wanted = classes.join(company.select("node"), "node", "left_semi").select("node", *identity, "low")
+    picked = full.join(wanted, identity).where(F.col("doc_id").eqNullSafe(F.col("low"))).groupBy("node").agg(F.first("doc_id").alias("doc_id"))
     picked = materialize(picked, "picked")
     small = picked.count() <= BROADCAST_IDS
     chosen = texts.join(F.broadcast(picked) if small else picked, texts["doc_id"].eqNullSafe(picked["doc_id"])).select("node", "text")
     sets = materialize(chosen.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
-    links = materialize(_confirmed(stars, sets), "links")
-    labels = connected(links)
-
-    # tables that still hold more than one component
-    own = members.join(labels, "node", "left").select("key", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
-    parts = own.groupBy("key", "label").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("most.label").alias("main"))
-    mixed = materialize(own.join(largest, "key"), "mixed")
-    rest = mixed.where("label <> main").select("key", F.col("node").alias("u"), F.col("label").alias("lu"), F.col("n_shingles").alias("nu"))
-    # both of a pair outside the main component would meet twice: the lower one then asks
-    pairs = rest.join(mixed, "key").where((F.col("lu") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("u") < F.col("node"))) & _alike("nu", "n_shingles"))
-    pairs = pairs.select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialize(_confirmed(pairs, sets), "more-links")
-    every = links.unionByName(more)
+    links = materialize(_confirmed(_fitting(stars, classes), sets), "links")
+    every = links.unionByName(_across(stars, links, sets))
     labels = connected(every)
-
-    ends = every.select(F.col("a").alias("node")).unionByName(every.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    known = named.join(lowest, "label").join(ends, "node", "left").select(*identity, "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    known = known.withColumnsRenamed({c: f"_{c}" for c in identity})
-    out = full.join(known, [F.col(c) == F.col(f"_{c}") for c in identity]).select("doc_id", "n_shingles", "component_id", "n_links")
-    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    known = named.join(lowest, "label").select(*[F.col(c).alias(f"_{c}") for c in identity], "component_id")
+    out = full.join(known, [F.col(c) == F.col(f"_{c}") for c in identity]).select("doc_id", "n_shingles", "component_id")
+    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
