@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from folioscan.llm import decontaminate, latticelm, minhash, mixing, quality, surrogates, tokenfile, tokens
+from folioscan.llm import decontaminate, latticelm, minhash, mixing, quality, substrings, surrogates, tokenfile, tokens
 
 QUERIES = {
     "op1_token_files": tokenfile.op1_token_files,
+    "op2_repeated_substrings": substrings.op2_repeated_substrings,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_token_counts": tokens.op4_token_counts,
     "op5_minhash_near_duplicates": minhash.op5_minhash_near_duplicates,
