@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscan.llm import decontaminate, latticelm, minhash, mixing, quality, substrings, surrogates, tokenfile, tokens
+from folioscan.llm import chains, decontaminate, latticelm, minhash, mixing, quality, substrings, surrogates, tokenfile, tokens
 
 QUERIES = {
     "op1_token_files": tokenfile.op1_token_files,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_minhash_near_duplicates": minhash.op5_minhash_near_duplicates,
     "op6_surrogates": surrogates.op6_surrogates,
     "op7_benchmark_leaks": decontaminate.op7_benchmark_leaks,
+    "op8_fuzzy_repeats": chains.op8_fuzzy_repeats,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_lattice_scores": latticelm.op10_lattice_scores,
 }
