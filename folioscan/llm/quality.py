@@ -99,7 +99,10 @@ def measured(docs: DataFrame) -> DataFrame:
         F.expr("sort_array(transform(filter(_s, (x, k) -> (k > 0 AND _s[greatest(k - 1, 0)].h = x.h) OR (k + 1 < size(_s) AND _s[least(k + 1, size(_s) - 1)].h = x.h)), x -> x.i))"),
     )
     covered = "CASE WHEN _p IS NULL OR size(_p) = 0 THEN 0L ELSE aggregate(transform(_p, (x, k) -> CASE WHEN k + 1 < size(_p) THEN least(3, _p[least(k + 1, size(_p) - 1)] - x) ELSE 3 END), 0L, (a, x) -> a + x) END"
-    return repeats.withColumn("n_repeat_words", F.expr(covered)).drop("_h", "_s", "_p")
+    found = repeats.withColumn("n_repeat_words", F.expr(covered)).drop("_h", "_s", "_p")
+    # as a generated row, so that a filter on a measurement isn't rewritten into the expressions that it comes from
+    rest = [c for c in found.columns if c != "doc_id"]
+    return found.select("doc_id", F.inline(F.array(F.struct(*rest))))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
