@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from folioscan.plans.oracles import ORACLES
+from folioscan.plans.queries import QUERIES
+
+FLAGSHIP = "anchor_exact"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
