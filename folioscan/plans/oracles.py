@@ -123,9 +123,10 @@ k AS (SELECT l_orderkey, point_id, seq, abs(y + height / 2 - py) AS distance FRO
 SELECT l_orderkey, point_id, seq AS item_index, distance FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, point_id ORDER BY distance, seq) AS k FROM k) WHERE k = 1""",
     "hit_test": f"""WITH {_RECTS}, p AS (SELECT o_orderkey AS l_orderkey, o_custkey AS point_id, (o_custkey % 500)::DOUBLE AS px, (o_custkey % 40)::DOUBLE AS py FROM orders)
 SELECT l_orderkey, point_id, max(seq) AS seq FROM r JOIN p USING (l_orderkey) WHERE px BETWEEN x AND x + width AND py BETWEEN y AND y + height GROUP BY ALL""",
-    "path_smooth": f"""WITH {_RECTS}, n AS (SELECT l_orderkey, seq, x, y, {_near('x')}, {_near('y')}, lead(seq) OVER w IS NULL AS final, count(*) OVER (PARTITION BY l_orderkey) AS n FROM r WINDOW w AS (PARTITION BY l_orderkey ORDER BY seq)),
+    "path_smooth": f"""WITH {_RECTS}, p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY seq, x, width) AS k FROM r),
+n AS (SELECT l_orderkey, k, x, y, {_near('x')}, {_near('y')}, lead(k) OVER w IS NULL AS final, count(*) OVER (PARTITION BY l_orderkey) AS n FROM p WINDOW w AS (PARTITION BY l_orderkey ORDER BY k)),
 s AS (SELECT *, unnest(CASE WHEN final OR n < 3 THEN [0] ELSE [0, 1, 2, 3, 4] END)::BIGINT AS step FROM n)
-SELECT l_orderkey, seq, step, {_spline('x')}, {_spline('y')} FROM s""",
+SELECT l_orderkey, k, step, {_spline('x')}, {_spline('y')} FROM s""",
     "ann_titles": f"""WITH {_ANN} SELECT id, CASE WHEN type = 'drawing' THEN 'Drawing' ELSE coalesce(nullif(trim(text, ' '), ''), CASE type WHEN 'note' THEN 'Empty note' ELSE 'Highlight' END) END AS title,
 CASE WHEN type = 'note' THEN CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END END AS preview FROM a""",
     "ann_list": f"WITH {_ANN} SELECT row_number() OVER (ORDER BY page_index, type, seq) AS place, id, page_index, type FROM a",

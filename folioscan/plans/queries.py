@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import codecs
@@ -104,7 +104,8 @@ def hit_test(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def path_smooth(spark: SparkSession, sf: str) -> DataFrame:
-    return geometry.smooth(_rects(spark, sf).select("l_orderkey", "seq", "x", "y"), ["l_orderkey"], "seq").withColumn("step", F.col("step").cast("long"))
+    points = _rects(spark, sf).withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("seq", "x", "width")).cast("long"))
+    return geometry.smooth(points.select("l_orderkey", "k", "x", "y"), ["l_orderkey"], "k").withColumn("step", F.col("step").cast("long"))
 
 
 def _annotations(spark: SparkSession, sf: str) -> DataFrame:
