@@ -146,5 +146,6 @@ c AS (SELECT 'c' || c_custkey AS id, 'customer' AS kind, n.path || '/' || c_cust
 SELECT id, kind, path, inherited FROM r UNION ALL SELECT id, kind, path, inherited FROM n UNION ALL SELECT * FROM c""",
     "page_window": f"""WITH {_LINES}, p AS (SELECT doc_id, item_index::BIGINT AS page_index FROM i WHERE text <> ''), c AS (SELECT doc_id, max(page_index) // 2 AS current_page FROM p GROUP BY doc_id)
 SELECT doc_id, page_index, current_page, abs(page_index - current_page) <= 2 AS render FROM p JOIN c USING (doc_id) WHERE abs(page_index - current_page) <= 6""",
+    "page_text": f"WITH {_LINES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY item_index) - 1)::INTEGER AS seq, text, 0.0::DOUBLE AS x, (item_index * 14)::DOUBLE AS y FROM i WHERE text <> ''",
     **{k: _CODEC for k in ("codec_hex", "codec_ascii85", "codec_run_length", "codec_lzw", "codec_flate", "codec_png")},
 }

@@ -11,7 +11,7 @@ from folioscan.functions import codecs
 from folioscan.functions import text as T
 from folioscan.operators import anchors, annotations, geometry, graph
 from folioscan.session import materialize, table
-from folioscan.sources import files
+from folioscan.sources import files, pdf
 from folioscan.sources.pages import text_items
 from folioscan.streaming import changes
 
@@ -192,6 +192,12 @@ def page_window(spark: SparkSession, sf: str) -> DataFrame:
     return graph.page_window(pages, current, ["doc_id"])
 
 
+def page_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents' lines, written as page files and read back from them."""
+    back = pdf.read_text(pdf.write_pages(_items(spark, sf)))
+    return back.select(F.col("path").cast("long").alias("doc_id"), "seq", "text", "x", "y")
+
+
 def _payload(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
 
@@ -242,6 +248,7 @@ QUERIES = {
     "ref_resolve": ref_resolve,
     "tree_flatten": tree_flatten,
     "page_window": page_window,
+    "page_text": page_text,
     "codec_hex": codec_hex,
     "codec_ascii85": _round_trip(codecs.a85_encode, codecs.a85_decode),
     "codec_run_length": _round_trip(codecs.rle_encode, codecs.rle_decode),
