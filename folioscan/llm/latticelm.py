@@ -11,8 +11,8 @@ The pieces' weights start from the vocabulary's own scores, ranks taken as a Zip
 expectation maximisation over all distinct training words fit them to the corpus; each round sums expected counts by
 piece, so the driver gets one number for each piece of the fixed vocabulary and nothing that grows with the corpus.
 
-The base score needs every word's count. The most frequent words, `HOT` at most, are broadcast; the other words of
-each document are joined with the table of counts, in which no key is frequent.
+Every distinct word of the corpus is scored once. The most frequent words, `HOT` at most, are broadcast; the other
+words of each document are joined with the table of scores, in which no key is frequent.
 
 Defined cases: a null or empty text is the end alone; a null doc_id counts as an empty text for the hold-out rule, so
 it trains; repeated rows train and are scored one by one; without training documents every count is 0; an empty table
@@ -42,8 +42,6 @@ DISCOUNT = 0.75
 HOT = 400_000
 #: Counts that each piece has beside those expected in the corpus.
 PRIOR = 0.01
-#: Words whose scores a worker keeps.
-KEPT = 400_000
 MARK = "▁"
 LOG10 = math.log(10)
 
@@ -65,83 +63,120 @@ def first_weights(path: str, pieces: dict[str, int]) -> np.ndarray:
 
 
 class Lattice:
+    """Forward and backward recursions over many words at a time; words of one length share their steps.
+
+    Substrings are looked up by rolling hashes in a sorted table of the pieces' hashes.
+    """
+
+    CELLS = 1 << 19
+
     def __init__(self, pieces: dict[str, int], weights: np.ndarray) -> None:
-        self.pieces = {p: (i, float(weights[i])) for p, i in pieces.items() if not (len(p) == 6 and p.startswith("<0x"))}
-        self.bytes = [(pieces[f"<0x{b:02X}>"], float(weights[pieces[f"<0x{b:02X}>"]])) for b in range(256)]
-        self.longest = max(map(len, self.pieces))
-
-    def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end, the edges to it: start, log weight and pieces."""
-        text, get = MARK + word, self.pieces.get
-        out: list = [[]]
-        for e in range(1, len(text) + 1):
-            own = [(s, found[1], (found[0],)) for s in range(max(0, e - self.longest), e) if (found := get(text[s:e]))]
-            if not own or own[-1][0] != e - 1:
-                spelt = [self.bytes[b] for b in text[e - 1].encode()]
-                own.append((e - 1, sum(w for _, w in spelt), tuple(i for i, _ in spelt)))
-            out.append(own)
+        spelt = {p: i for p, i in pieces.items() if not (len(p) == 6 and p.startswith("<0x"))}
+        self.longest = max(map(len, spelt))
+        self.weights = np.append(weights, -np.inf)  # by id; the last stands for no piece
+        self.bytes = [pieces[f"<0x{b:02X}>"] for b in range(256)]
+        with np.errstate(over="ignore"):
+            hashes = np.concatenate([self._hashes(self._codes([p]))[0][0, :1] for p in spelt])
+        order = np.argsort(hashes)
+        self.table, self.ids = hashes[order], np.fromiter(spelt.values(), np.int64, len(spelt))[order]
+        self.single = {ord(p) for p in spelt if len(p) == 1}
+
+    @staticmethod
+    def _codes(texts: list[str]) -> np.ndarray:
+        return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), -1)
+
+    @staticmethod
+    def _hashes(codes: np.ndarray, end: int | None = None, most: int = 1 << 30) -> list[np.ndarray]:
+        """Hashes of the substrings that end at `end` (of the whole, if it is None), from the longest."""
+        base = tb._BASES[0]
+        total = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
+        np.cumsum(tb.mix(codes.astype(np.uint64) + np.uint64(1)) * tb._powers(base, codes.shape[1]), axis=1, out=total[:, 1:])
+        inverse = tb._powers(pow(base, -1, 1 << 64), codes.shape[1] + 1)
+        return [tb.mix((total[:, e : e + 1] - total[:, max(0, e - most) : e]) * inverse[max(0, e - most) : e]) for e in ([codes.shape[1]] if end is None else range(1, end + 1))]
+
+    def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of words of one length, and their characters after the word mark."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(size, kind="stable")
+        cut = np.flatnonzero(np.diff(size[order])) + 1
+        for own in np.split(order, cut):
+            if len(own):
+                step = max(1, self.CELLS // ((int(size[own[0]]) + 1) * self.longest))
+                for lo in range(0, len(own), step):
+                    part = own[lo : lo + step]
+                    yield part, self._codes([MARK + words[k] for k in part])
+
+    def forward(self, codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """alpha by place, and ids and log weights of the edges to each place; the last is where bytes spell a character."""
+        n = codes.shape[1]
+        alpha = np.full((len(codes), n + 1), -np.inf)
+        alpha[:, 0] = 0.0
+        spell = np.zeros((len(codes), n))
+        strange = ~np.isin(codes, np.fromiter(self.single, np.uint32, len(self.single)))
+        if strange.any():
+            cost = {c: float(sum(self.weights[self.bytes[b]] for b in chr(c).encode("utf-8", "surrogatepass"))) for c in np.unique(codes[strange]).tolist()}
+            spell[strange] = [cost[c] for c in codes[strange].tolist()]
+        ids, weights = [], []
+        for e, hashes in enumerate(self._hashes(codes, n, self.longest), 1):
+            at = np.minimum(np.searchsorted(self.table, hashes), len(self.table) - 1)
+            own = np.where(self.table[at] == hashes, self.ids[at], -1)
+            w = self.weights[own]
+            w[:, -1] = np.where(strange[:, e - 1], spell[:, e - 1], w[:, -1])
+            terms = alpha[:, max(0, e - self.longest) : e] + w
+            top = terms.max(axis=1)
+            alpha[:, e] = top + np.log(np.exp(terms - top[:, None]).sum(axis=1))
+            ids.append(own)
+            weights.append(w)
+        return alpha, ids, weights, strange
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        out = np.zeros(len(words))
+        with np.errstate(over="ignore"):
+            for own, codes in self.groups(words):
+                out[own] = self.forward(codes)[0][:, -1]
         return out
 
-    def forward(self, edges: list) -> list[float]:
-        exp, log = math.exp, math.log
-        alpha = [0.0]
-        for own in edges[1:]:
-            terms = [alpha[s] + w for s, w, _ in own]
-            top = max(terms)
-            alpha.append(top if len(terms) == 1 else top + log(sum([exp(t - top) for t in terms])))
-        return alpha
-
-    def log_probability(self, word: str) -> float:
-        exp, log, get = math.exp, math.log, self.pieces.get
-        text, most = MARK + word, self.longest
-        alpha = [0.0]
-        for e in range(1, len(text) + 1):
-            terms = [alpha[s] + found[1] for s in range(e - most if e > most else 0, e) if (found := get(text[s:e]))]
-            if text[e - 1] not in self.pieces:
-                terms.append(alpha[e - 1] + sum(self.bytes[b][1] for b in text[e - 1].encode()))
-            top = max(terms)
-            alpha.append(top if len(terms) == 1 else top + log(sum([exp(t - top) for t in terms])))
-        return alpha[-1]
-
-    def expect(self, word: str, count: float, into: np.ndarray) -> None:
-        """Add count times each piece's expected number in the word."""
-        edges = self.edges(word)
-        alpha = self.forward(edges)
-        n, exp = len(edges) - 1, math.exp
-        share = [0.0] * n + [count]  # expected passes through each place
-        for e in range(n, 0, -1):
-            if share[e] > 0.0:
-                for s, w, ids in edges[e]:
-                    part = share[e] * exp(alpha[s] + w - alpha[e])
-                    share[s] += part
-                    for i in ids:
-                        into[i] += part
+    def expect(self, words: list[str], into: np.ndarray) -> None:
+        """Add each piece's expected number in the words."""
+        with np.errstate(over="ignore"):
+            for _, codes in self.groups(words):
+                alpha, ids, weights, strange = self.forward(codes)
+                n = codes.shape[1]
+                share = np.zeros_like(alpha)  # expected passes through each place
+                share[:, n] = 1.0
+                for e in range(n, 0, -1):
+                    lo = max(0, e - self.longest)
+                    part = share[:, e : e + 1] * np.exp(alpha[:, lo:e] + weights[e - 1] - alpha[:, e : e + 1])
+                    share[:, lo:e] += part
+                    found = ids[e - 1] >= 0
+                    into += np.bincount(ids[e - 1][found], part[found], len(into))
+                    for k in np.flatnonzero(strange[:, e - 1]).tolist():
+                        for b in chr(codes[k, e - 1]).encode("utf-8", "surrogatepass"):
+                            into[self.bytes[b]] += part[k, -1]
 
 
 def _lower_slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     buf, offsets = tb.text_bytes(batch.column(column))
-    for lo, hi in tb.slices(offsets, 2 * tb.SLICE):
+    for lo, hi in tb.slices(offsets, 4 * tb.SLICE):
         yield lo, hi, tb.LOWER[buf[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of a task with their counts, put together before they are shuffled."""
+    """The words of a task with their counts in training texts, put together before they are shuffled."""
     held: list[pa.RecordBatch] = []
 
     def put_together() -> pa.RecordBatch:
         whole = pa.Table.from_batches(held).combine_chunks()
-        code = whole.column(0).combine_chunks().dictionary_encode() if whole.num_rows else None
-        if code is None:
-            return pa.record_batch([pa.array([], pa.large_string()), pa.array([], pa.int64())], names=["word", "c"])
-        if isinstance(code, pa.ChunkedArray):
-            code = code.combine_chunks()
+        code = pa.concat_arrays([*whole.column(0).chunks, pa.array([], pa.large_string())]).dictionary_encode()
         counts = np.bincount(code.indices.to_numpy(), whole.column(1).to_numpy(), len(code.dictionary)).astype(np.int64)
         return pa.record_batch([code.dictionary, pa.array(counts)], names=["word", "c"])
 
     for batch in batches:
-        for _, _, buf, offsets in _lower_slices(batch, 0):
-            words, code, _ = tb.distinct_words(buf, offsets)
-            held.append(pa.record_batch([words, pa.array(np.bincount(code, minlength=len(words)).astype(np.int64))], names=["word", "c"]))
+        trains = ~batch.column(1).to_numpy(zero_copy_only=False)
+        for lo, _, buf, offsets in _lower_slices(batch, 2):
+            words, code, rows = tb.distinct_words(buf, offsets)
+            counts = np.bincount(code, trains[rows + lo], len(words)).astype(np.int64)
+            held.append(pa.record_batch([words, pa.array(counts)], names=["word", "c"]))
             if sum(x.num_rows for x in held) > 1_000_000:
                 held = [put_together()]
                 if held[0].num_rows > 500_000:
@@ -150,9 +185,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield put_together()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) for each distinct word of docs, lower-cased."""
-    return docs.select("text").mapInArrow(_count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, c) for each distinct word of texts (doc_id, held_out, text), lower-cased: c counts the texts that aren't held out."""
+    return texts.mapInArrow(_count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def fitted(counts: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS) -> tuple[dict[str, int], np.ndarray]:
@@ -165,12 +200,11 @@ def fitted(counts: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS) -> t
         def expected(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lattice, into = Lattice(*shared.value), np.zeros(len(shared.value[1]))
             for batch in batches:
-                for word in batch.column(0).to_pylist():
-                    lattice.expect(word, 1.0, into)
+                lattice.expect(batch.column(0).to_pylist(), into)
             found = np.flatnonzero(into)
             yield pa.record_batch([pa.array(found), pa.array(into[found])], names=["piece", "n"])
 
-        sums = counts.select("word").mapInArrow(expected, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        sums = counts.where("c > 0").select("word").mapInArrow(expected, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         total = np.zeros(len(weights))
         total[list(pieces.values())] = PRIOR
         for row in sums:
@@ -180,56 +214,35 @@ def fitted(counts: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS) -> t
     return pieces, weights
 
 
-class Scorer:
-    """Word scores of one fitted model, kept by each worker."""
-
-    _own: dict[str, Scorer] = {}
+def with_paths(counts: DataFrame, pieces: dict[str, int], weights: np.ndarray) -> DataFrame:
+    """(word, c) with `path`, the natural log probability of all paths through pieces."""
+    shared = counts.sparkSession.sparkContext.broadcast((pieces, weights))
 
-    @classmethod
-    def of(cls, name: str, shared) -> Scorer:
-        if name not in cls._own:
-            cls._own = {name: cls(*shared.value)}
-        return cls._own[name]
-
-    def __init__(self, pieces: dict[str, int], weights: np.ndarray, hot: pa.Array, hot_base: np.ndarray, hot_share: np.ndarray, gamma: float) -> None:
-        self.lattice, self.hot, self.hot_base, self.hot_share, self.gamma = Lattice(pieces, weights), hot, hot_base, hot_share, gamma
-        self._forget()
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(*shared.value)
+        for batch in batches:
+            yield pa.record_batch([*batch.columns, pa.array(lattice.log_probabilities(batch.column(0).to_pylist()))], names=["word", "c", "path"])
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.score, self.place = np.zeros(0), np.zeros(0, np.int64)
+    return counts.mapInArrow(score, "word string, c long, path double")
 
-    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Natural log probability and place among the hot words (or -1) of each distinct word."""
-        spelt = words.to_pylist()
-        if len(self.known) + len(spelt) > max(KEPT, len(spelt)):
-            self._forget()
-        fresh = [w for w in spelt if w not in self.known]
-        if fresh:
-            place = pc.index_in(pa.array(fresh, pa.large_string()), self.hot).fill_null(-1).to_numpy().astype(np.int64)
-            score = np.fromiter(map(self.lattice.log_probability, fresh), float, len(fresh))
-            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-            self.score, self.place = np.concatenate((self.score, score)), np.concatenate((self.place, place))
-        at = np.fromiter(map(self.known.__getitem__, spelt), np.int64, len(spelt))
-        return self.score[at], self.place[at]
 
+SUMMED = "doc_id long, held_out boolean, n_tokens long, n_hot long, hot_base double, hot_score double, words array<string>, times array<long>"
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_hot long, hot_base double, hot_score double, words array<string>, times array<long>, paths array<double>"
 
+def _summed(shared):
+    """Sums over the frequent words of each text, and its other words."""
 
-def _scored(name: str, shared):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer.of(name, shared)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, hot_base, hot_score = shared.value
         for batch in batches:
             for lo, hi, buf, offsets in _lower_slices(batch, 2):
                 n = hi - lo
                 words, code, rows = tb.distinct_words(buf, offsets)
-                score, place = own.look_up(words)
-                hot = place >= 0
-                base, mixed = np.zeros(len(words)), np.zeros(len(words))
-                base[hot] = own.hot_base[place[hot]]
-                mixed[hot] = np.log10(own.hot_share[place[hot]] + own.gamma * np.exp(score[hot]))
-                cold = ~hot[code]
+                place = pc.index_in(words, hot).fill_null(-1).to_numpy().astype(np.int64)
+                known = place >= 0
+                base, score = np.zeros(len(words)), np.zeros(len(words))
+                base[known], score[known] = hot_base[place[known]], hot_score[place[known]]
+                cold = ~known[code]
                 pairs, times = np.unique(rows[cold] * max(1, len(words)) + code[cold], return_counts=True)
                 owner, which = pairs // max(1, len(words)), pairs % max(1, len(words))
                 at = pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32))
@@ -238,17 +251,16 @@ def _scored(name: str, shared):
                         batch.column(0).slice(lo, n),
                         batch.column(1).slice(lo, n),
                         pa.array(np.bincount(rows, minlength=n) + 1),
-                        pa.array(np.bincount(rows, hot[code], n).astype(np.int64)),
-                        pa.array(np.bincount(rows, base[code], n)),
-                        pa.array(np.bincount(rows, mixed[code], n)),
+                        pa.array(np.bincount(rows, known[code], n).astype(np.int64)),
+                        pa.array(np.bincount(rows, base[code], n).astype(float)),
+                        pa.array(np.bincount(rows, score[code], n).astype(float)),
                         pa.ListArray.from_arrays(at, words.take(pa.array(which)).cast(pa.string())),
                         pa.ListArray.from_arrays(at, pa.array(times.astype(np.int64))),
-                        pa.ListArray.from_arrays(at, pa.array(score[which])),
                     ],
-                    names=[x.split(" ")[0] for x in SCORED.split(", ")],
+                    names=[x.split(" ")[0] for x in SUMMED.split(", ")],
                 )
 
-    return score
+    return add
 
 
 def lattice_scores(docs: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS, hot_words: int = HOT) -> DataFrame:
@@ -256,40 +268,38 @@ def lattice_scores(docs: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS
     spark = docs.sparkSession
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
-    counts = materialize(word_counts(texts.where(~F.col("held_out"))), "word-counts")
+    counts = materialize(word_counts(texts), "word-counts")
     n_texts = texts.where(~F.col("held_out")).count()
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     total, distinct = sums["n"] + n_texts, sums["v"] + (n_texts > 0)
     norm = total + 0.5 * (distinct + 1)
     gamma = (DISCOUNT * sums["v"] + 0.5) / (total + 1)
     pieces, weights = fitted(counts, path, rounds)
+    c = F.col("c")
+    through_pieces = F.lit(math.log10(gamma)) + F.col("path") / LOG10
+    both = F.log10((c - DISCOUNT) / F.lit(total + 1.0) + F.lit(gamma) * F.exp("path"))
+    scored = with_paths(counts, pieces, weights).select("word", "c", F.log10((c + 0.5) / F.lit(norm)).alias("base"), F.when(c > 0, both).otherwise(through_pieces).alias("score"))
+    scored = materialize(scored, "word-scores")
 
     # the lowest count, in eighths of an octave, that at most hot_words words reach
-    level = F.floor(F.log2("c") * 8)
-    steps, low, seen = sorted(((r["level"], r["count"]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True), math.inf, 0
+    level = F.floor(F.log2(F.greatest(c, F.lit(1))) * 8)
+    steps, low, seen = sorted(((r["level"], r["count"]) for r in scored.groupBy(level.alias("level")).count().collect()), reverse=True), math.inf, 0
     for step, n in steps:
         seen += n
         if seen > hot_words:
             break
         low = step
-    frequent = level >= F.lit(float(low))
-    most = counts.where(frequent).select("word", "c").toArrow()
-    hot = pa.chunked_array(most.column("word")).combine_chunks().cast(pa.large_string())
-    times = most.column("c").to_numpy().astype(float)
-    shared = spark.sparkContext.broadcast((pieces, weights, hot, np.log10((times + 0.5) / norm), (times - DISCOUNT) / (total + 1), gamma))
-    name = f"{spark.sparkContext.applicationId}-{id(shared)}-{shared._jbroadcast.id() if shared._jbroadcast is not None else 0}"
-    scored = materialize(texts.mapInArrow(_scored(name, shared), SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
-
-    rare = scored.select("row", F.explode(F.arrays_zip("words", "times", "paths")).alias("x")).select("row", F.col("x.words").alias("word"), "x.times", "x.paths")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    seen_too = F.log10((c - DISCOUNT) / F.lit(total + 1.0) + F.lit(gamma) * F.exp("paths"))
-    mixed = F.when(c > 0, seen_too).otherwise(F.lit(math.log10(gamma)) + F.col("paths") / LOG10)
-    rest = rare.join(counts.where(~frequent), "word", "left").groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_cold"),
-        F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(norm))).alias("cold_base"),
-        F.sum(F.col("times") * mixed).alias("cold_score"),
+    frequent = (level >= F.lit(float(low))) & (c > 0)
+    most = scored.where(frequent).select("word", "base", "score").toArrow()
+    hot = pa.concat_arrays([*most.column("word").cast(pa.large_string()).chunks, pa.array([], pa.large_string())])
+    shared = spark.sparkContext.broadcast((hot, most.column("base").to_numpy(), most.column("score").to_numpy()))
+    summed = materialize(texts.mapInArrow(_summed(shared), SUMMED).withColumn("row", F.monotonically_increasing_id()), "summed")
+
+    rare = summed.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), "x.times")
+    rest = rare.join(scored.where(~frequent), "word").groupBy("row").agg(
+        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_cold"), F.sum(F.col("times") * F.col("base")).alias("cold_base"), F.sum(F.col("times") * F.col("score")).alias("cold_score")
     )
-    out = scored.drop("words", "times", "paths").join(rest, "row", "left")
+    out = summed.drop("words", "times").join(rest, "row", "left")
     return out.select(
         "doc_id",
         "held_out",
