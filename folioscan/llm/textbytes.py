@@ -17,7 +17,7 @@ WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that are worked on together, unless one text is longer.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _rng = np.random.default_rng(7)
 _VALUES = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)

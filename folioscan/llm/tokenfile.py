@@ -121,7 +121,7 @@ def _written(folder: str, vocabulary: str, length: int, rows: int):
                 continue
             out = out or TokenFileWriter(uri, length, rows, kind)
             buf, offsets = tb.text_bytes(batch.column(1))
-            for lo, hi in tb.slices(offsets, 4 * tb.SLICE):
+            for lo, hi in tb.slices(offsets, 8 * tb.SLICE):
                 ids, n = own.encoded(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 ends = np.cumsum(n)
                 at, n = out.n + ends - n + np.arange(hi - lo), n + 1

@@ -3,7 +3,7 @@
 The vocabulary's pre-tokenizer drops white space and never joins a letter to what isn't one, so a text may be cut at
 ASCII white space, and between an ASCII letter and one of `SAFE` after it, without changing a token: normalization
 composes no character over such a cut, lower-casing looks at one character at a time, and the special strings hold
-neither. Most pieces recur, so each worker keeps the ids of those it has met, up to `PIECES` of them.
+neither. Capital A to Z may be lowered beforehand where no combining mark and no special string is near. Most pieces recur, so each worker keeps the ids of those it has met, up to `PIECES` of them.
 
 Documents above `HUGE` characters are encoded in chunks of `CHUNK` characters that overlap. Two neighbours are joined
 after the first white space of the overlap, if both give the same tokens, ids and offsets, from there to its last white
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -29,16 +30,26 @@ from folioscan.session import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SAFE = b',.;:!?*#$%&)"'
-PIECES = 400_000
+PIECES = 500_000
 HUGE, CHUNK, OVERLAP = 32_768, 16_384, 256
 LIMIT = 2048
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_SAFE = np.zeros(256, bool)
-_SAFE[list(SAFE)] = True
+_LETTER, _SAFE = 1, 2
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[list(SAFE)] = _SAFE
+
+
+def _joins(buf: np.ndarray) -> bool:
+    """Whether a mark that might combine with a letter (U+0300 to U+036F) is there."""
+    return bool(((buf == 0xCC) | (buf == 0xCD)).any())
+
+
+def _special(buf: np.ndarray) -> bool:
+    """Whether a special string might be there, in any case."""
+    return bool(((buf[:-1] == 60) & (buf[1:] == 124)).any())
 
 
 class Pieces:
@@ -68,7 +79,7 @@ class Pieces:
             some = pieces[lo : lo + 4096]
             found = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
+            flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
             at, n = len(self.known), len(some)
             while at + n > len(self.start):
                 self.start, self.length = np.concatenate((self.start, self.start)), np.concatenate((self.length, self.length))
@@ -85,11 +96,12 @@ class Pieces:
         n = len(buf)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        edge = np.zeros(n, bool)
-        edge[offsets[offsets < n]] = True
-        solid = ~tb.WHITE[buf]
-        start = edge.copy()
-        start[1:] |= ~solid[:-1] | (_LETTER[buf[:-1]] & _SAFE[buf[1:]])
+        if not (_joins(buf) or _special(buf)):
+            buf = tb.LOWER[buf]
+        solid, kind = ~tb.WHITE[buf], _CLASS[buf]
+        start = np.zeros(n, bool)
+        start[offsets[offsets < n]] = True
+        start[1:] |= ~solid[:-1] | ((kind[:-1] == _LETTER) & (kind[1:] == _SAFE))
         start[0] = True
         starts = np.flatnonzero(start & solid)
         words, code = tb.spelled(buf, starts, solid)
@@ -162,7 +174,7 @@ def _counted(vocabulary: str, huge: int, chunk: int, overlap: int):
             buf, offsets = tb.text_bytes(batch.column(1))
             size = np.diff(offsets)
             n = np.zeros(len(size), np.int64)
-            for lo, hi in tb.slices(offsets, 4 * tb.SLICE):
+            for lo, hi in tb.slices(offsets, 8 * tb.SLICE):
                 rows = np.arange(lo, hi)
                 long = rows[size[lo:hi] > huge]
                 if len(long):
