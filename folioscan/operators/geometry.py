@@ -111,3 +111,37 @@ def smooth(points: DataFrame, by: list[str], order: str, tension: float = 0.5) -
         return (2 * t3 - 3 * t2 + 1) * F.col(c) + (t3 - 2 * t2 + t) * m0 + (3 * t2 - 2 * t3) * F.col(f"_{c}2") + (t3 - t2) * m1
 
     return stepped.select(*by, order, "step", F.round(at("x"), 6).alias("x"), F.round(at("y"), 6).alias("y"))
+
+
+def page_size(box: Column, rotate: Column) -> dict[str, Column]:
+    """width and height of a page from its box (x1, y1, x2, y2), swapped when it is turned by a quarter or three; negative turns count from the other side."""
+    w, h = F.element_at(box, 3) - F.element_at(box, 1), F.element_at(box, 4) - F.element_at(box, 2)
+    turned = F.pmod(F.coalesce(rotate, F.lit(0)), F.lit(360)).isin(90, 270)
+    return {"width": F.when(turned, h).otherwise(w), "height": F.when(turned, w).otherwise(h)}
+
+
+def offset_at(x: Column, start: bool) -> Column:
+    """The character offset of an item (text, x, width) at a place: the first character that reaches it, or the first that begins beyond it."""
+    n = F.length("text")
+    glyph = F.col("width") / F.greatest(n, F.lit(1))
+    if start:
+        return F.greatest(F.lit(0), F.least(n - 1, F.ceil((x - 1 - F.col("x")) / glyph) - 1)).cast("int")
+    return F.greatest(F.lit(0), F.least(n, F.floor((x + 1 - F.col("x")) / glyph) + 1)).cast("int")
+
+
+def anchors_of_rects(items: DataFrame, rects: DataFrame) -> DataFrame:
+    """doc_id, item_id, start_item, start_offset, end_item, end_offset of the items that rects (doc_id, item_id, x, y, width, height) touch.
+
+    The first and the last rectangle in reading order give the offsets in the first and the last item touched.
+    """
+    ends = rects.groupBy("doc_id", "item_id").agg(F.min(F.struct("y", "x")).alias("_a"), F.max(F.struct("y", "x", "width")).alias("_b"))
+    ends = ends.select("doc_id", "item_id", F.col("_a.x").alias("_x1"), (F.col("_b.x") + F.col("_b.width")).alias("_x2"))
+    box = rects.select("doc_id", "item_id", *[F.col(c).alias(f"_{c}") for c in ("x", "y", "width", "height")])
+    near = (F.col("x") < F.col("_x") + F.col("_width") + NEAR_X) & (F.col("x") + F.col("width") > F.col("_x") - NEAR_X) & (F.col("y") < F.col("_y") + F.col("_height") + NEAR_Y) & (F.col("y") + F.col("height") > F.col("_y") - NEAR_Y)
+    touched = box.join(items, "doc_id").where(near).groupBy("doc_id", "item_id").agg(
+        F.min(F.struct("item_index", "text", "x", "width")).alias("s"), F.max(F.struct("item_index", "text", "x", "width")).alias("e")
+    )
+    both = touched.join(ends, ["doc_id", "item_id"])
+    first = both.select("doc_id", "item_id", "_x1", "_x2", "e", "s.*").withColumnRenamed("item_index", "start_item").withColumn("start_offset", offset_at(F.col("_x1"), True))
+    last = first.select("doc_id", "item_id", "start_item", "start_offset", "_x2", "e.*")
+    return last.select("doc_id", "item_id", "start_item", "start_offset", F.col("item_index").alias("end_item"), offset_at(F.col("_x2"), False).alias("end_offset"))

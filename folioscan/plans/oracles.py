@@ -111,6 +111,19 @@ SELECT doc_id, item_id, CASE WHEN actual = quote THEN 1.0::DOUBLE WHEN contains(
     "anchor_rects": f"""WITH {_EXACT}, c AS (SELECT x.doc_id, item_id, item_index, length(text) AS n, CASE WHEN item_index = start_item THEN start_offset ELSE 0 END AS a,
   CASE WHEN item_index = end_item THEN end_offset ELSE length(text) END AS b FROM x JOIN i ON x.doc_id = i.doc_id AND item_index BETWEEN start_item AND end_item WHERE text <> '')
 SELECT doc_id, item_id, item_index, (a * 6)::DOUBLE AS x, (item_index * 14)::DOUBLE AS y, greatest(1, (b - a) * 6)::DOUBLE AS width, 12.0::DOUBLE AS height FROM c WHERE b > a""",
+    "anchor_from_rects": f"""WITH {_EXACT}, c AS (SELECT x.doc_id, item_id, item_index, CASE WHEN item_index = start_item THEN start_offset ELSE 0 END AS a,
+  CASE WHEN item_index = end_item THEN end_offset ELSE length(text) END AS b FROM x JOIN i ON x.doc_id = i.doc_id AND item_index BETWEEN start_item AND end_item WHERE text <> ''),
+k AS (SELECT doc_id, item_id, item_index, a * 6 AS x1, greatest(a * 6 + 1, b * 6) AS x2 FROM c WHERE b > a),
+e AS (SELECT doc_id, item_id, arg_min(x1, item_index) AS x1, arg_max(x2, item_index) AS x2 FROM k GROUP BY ALL),
+n AS (SELECT k.doc_id, item_id, min(i.item_index) AS s, max(i.item_index) AS t FROM k JOIN i ON i.doc_id = k.doc_id AND abs(i.item_index - k.item_index) <= 1 AND i.text <> '' AND 0 < x2 + 8 AND length(i.text) * 6 > x1 - 8 GROUP BY ALL)
+SELECT n.doc_id, n.item_id, s::INTEGER AS start_item, greatest(0, least(length(f.text) - 1, ceil((x1 - 1) / 6.0) - 1))::INTEGER AS start_offset,
+  t::INTEGER AS end_item, greatest(0, least(length(l.text), floor((x2 + 1) / 6.0) + 1))::INTEGER AS end_offset
+FROM n JOIN e USING (doc_id, item_id) JOIN i f ON f.doc_id = n.doc_id AND f.item_index = s JOIN i l ON l.doc_id = n.doc_id AND l.item_index = t""",
+    "page_sizes": "SELECT p_partkey, CASE WHEN p_partkey % 5 IN (0, 2, 4) THEN p_retailprice ELSE p_size::DOUBLE END AS width, CASE WHEN p_partkey % 5 IN (0, 2, 4) THEN p_size::DOUBLE ELSE p_retailprice END AS height FROM part",
+    "ann_colors": """WITH c AS (SELECT event_id, event_id * 7919 % 16777216 AS n FROM events), p AS (SELECT event_id, (n // 65536)::INTEGER AS r, (n // 256 % 256)::INTEGER AS g, (n % 256)::INTEGER AS b FROM c)
+SELECT event_id, format('rgba({}, {}, {}, 0.35)', r, g, b) AS rgba, lower(format('#{:02x}{:02x}{:02x}', least(255, r + 24), least(255, g + 24), least(255, b + 24))) AS bright,
+CASE WHEN event_id % 3 = 0 THEN format('rgb({0}, {0}, {0})', floor((event_id % 5)::DOUBLE / 4 * 255 + 0.5)::INTEGER)
+ELSE format('rgb({}, {}, {})', floor((event_id % 3)::DOUBLE / 3 * 255 + 0.5)::INTEGER, floor((event_id % 5)::DOUBLE / 5 * 255 + 0.5)::INTEGER, floor((event_id % 7)::DOUBLE / 7 * 255 + 0.5)::INTEGER) END AS css FROM p""",
     "rect_bounds": f"WITH {_RECTS} SELECT l_orderkey, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height FROM r GROUP BY l_orderkey",
     "rect_intersections": f"WITH {_RECTS} SELECT a.l_orderkey, a.seq AS a_id, b.seq AS b_id FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.seq < b.seq WHERE a.x < b.x + b.width + 8 AND a.x + a.width > b.x - 8 AND a.y < b.y + b.height + 4 AND a.y + a.height > b.y - 4",
     "rect_merge": f"""WITH {_RECTS},

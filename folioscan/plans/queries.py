@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscan.functions import codecs
+from folioscan.functions import codecs, colors
 from folioscan.functions import text as T
 from folioscan.operators import anchors, annotations, geometry, graph
 from folioscan.session import materialize, table
@@ -71,6 +71,12 @@ def anchor_rects(spark: SparkSession, sf: str) -> DataFrame:
     return rects.select("doc_id", "item_id", "item_index", *[F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")])
 
 
+def anchor_from_rects(spark: SparkSession, sf: str) -> DataFrame:
+    docs, _, found = _anchors(spark, sf)
+    items = text_items(docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi"))
+    return geometry.anchors_of_rects(items, geometry.anchor_rects(items, found))
+
+
 def _rects(spark: SparkSession, sf: str) -> DataFrame:
     """Rectangles of a page for each order; the geometry is synthetic."""
     line = F.col("l_linenumber").cast("long")
@@ -152,6 +158,19 @@ def ann_stored(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("id", "x", "y", *[F.col(c).isNotNull().alias(f"has_{c}") for c in ("anchorRange", "textAnchor", "rect", "rects")])
 
 
+def ann_colors(spark: SparkSession, sf: str) -> DataFrame:
+    color = F.concat(F.lit("#"), F.lower(F.lpad(F.hex(F.col("event_id") * 7919 % 16777216), 6, "0")))
+    rows = table(spark, sf, "events").select("event_id", color.alias("color"))
+    parts = F.when(F.col("event_id") % 3 == 0, F.array(F.col("event_id") % 5 / 4)).otherwise(F.array(*[(F.col("event_id") % k) / k for k in (3, 5, 7)]))
+    return rows.select("event_id", colors.rgba(F.col("color"), 0.35).alias("rgba"), colors.brightened(F.col("color"), 24).alias("bright"), colors.css(parts).alias("css"))
+
+
+def page_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    box = F.array(F.lit(0.0), F.lit(0.0), F.col("p_size").cast("double"), F.col("p_retailprice"))
+    size = geometry.page_size(box, (F.col("p_partkey") % 5 - 1) * 90)
+    return table(spark, sf, "part").select("p_partkey", *[c.alias(k) for k, c in size.items()])
+
+
 def _replayed(log: DataFrame) -> DataFrame:
     return annotations.replay(log).select("id", F.col("born_seq.event_id").alias("born"), F.col("seq.event_id").alias("last"), "state", "n_updates")
 
@@ -231,6 +250,9 @@ QUERIES = {
     "anchor_text": anchor_text,
     "anchor_score": anchor_score,
     "anchor_rects": anchor_rects,
+    "anchor_from_rects": anchor_from_rects,
+    "page_sizes": page_sizes,
+    "ann_colors": ann_colors,
     "rect_bounds": rect_bounds,
     "rect_intersections": rect_intersections,
     "rect_merge": rect_merge,
