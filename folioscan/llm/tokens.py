@@ -30,7 +30,7 @@ from folioscan.session import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SAFE = b',.;:!?*#$%&)"'
-PIECES = 500_000
+PIECES = 1_500_000
 HUGE, CHUNK, OVERLAP = 32_768, 16_384, 256
 LIMIT = 2048
 
@@ -70,26 +70,29 @@ class Pieces:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        # pieces by their 64-bit hashes, in ascending order, and where their ids are
+        self.hashes, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        at = len(self.hashes)
         for lo in range(0, len(pieces), 4096):
-            some = pieces[lo : lo + 4096]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(pieces[lo : lo + 4096], add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-            at, n = len(self.known), len(some)
-            while at + n > len(self.start):
+            n, own = len(found), at + lo
+            while own + n > len(self.start):
                 self.start, self.length = np.concatenate((self.start, self.start)), np.concatenate((self.length, self.length))
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate((self.ids, self.ids))
-            self.start[at : at + n] = self.used + np.cumsum(sizes) - sizes
-            self.length[at : at + n] = sizes
+            self.start[own : own + n] = self.used + np.cumsum(sizes) - sizes
+            self.length[own : own + n] = sizes
             self.ids[self.used : self.used + len(flat)] = flat
             self.used += len(flat)
-            self.known.update(zip(some, range(at, at + n), strict=True))
+        order = np.argsort(hashes)
+        into = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.where = np.insert(self.hashes, into, hashes[order]), np.insert(self.where, into, at + order)
 
     def places(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each piece its place in the store, and its row."""
@@ -105,12 +108,18 @@ class Pieces:
         start[0] = True
         starts = np.flatnonzero(start & solid)
         words, code = tb.spelled(buf, starts, solid)
-        distinct = words.to_pylist()
-        if len(self.known) + len(distinct) > max(PIECES, len(distinct)):
+        if len(self.hashes) + len(words) > max(PIECES, len(words)):
             self._forget()
-        self._learn([x for x in distinct if x not in self.known])
-        where = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        return where[code], np.searchsorted(offsets, starts, "right") - 1
+        spelt, at = tb.text_bytes(words)
+        with np.errstate(over="ignore"):
+            hashes = tb.span_hashes(spelt, at[:-1], at[1:])
+        for _ in range(2):
+            place = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+            new = self.hashes[place] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
+            if not new.any():
+                break
+            self._learn(hashes[new], words.filter(pa.array(new)).to_pylist())
+        return self.where[place][code], np.searchsorted(offsets, starts, "right") - 1
 
     def counts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         place, row = self.places(buf, offsets)
