@@ -1,11 +1,15 @@
 """Exact substring dedup: removes each byte covered by a string of `LENGTH` bytes that also starts earlier.
 
-Sample, name, sort, compare. Every window of LENGTH bytes has one sampled place, the lowest-hashed string of `GRAM`
-bytes in it, so equal windows are sampled at the same offset. Sampled strings are named by their hash and counted;
-only names met twice go on, each with the windows that it was sampled for. Those are sorted by name, document and
-place, and windows of one name are compared: all but the first of equal windows repeat. Names met more than `HOT`
-times are compared one window at a row instead, with minima combined before the shuffle, so that no task gets them
-whole. See the README for why the sample is not a difference cover.
+Places are sampled by a difference cover of period `PERIOD`: for any two windows of LENGTH bytes there is an offset
+below the period at which both have a sampled place, so two equal windows have equal samples of LENGTH - PERIOD + 1
+bytes there. Samples are named by hash and counted; a name met once can't be in two equal windows, and goes. The others
+are sorted by name, document and place, each with the windows that reach over it, and windows of one name are compared
+with each other: all but the first of equal windows repeat. As no more than LENGTH bytes are ever compared, one level of
+names decides, and none is ranked again. Names met more than `HOT` times are compared one window at a row instead, with
+minima combined before the shuffle, so that no task gets them whole.
+
+`sampled` is another sample, with the same results: the lowest-hashed `GRAM` bytes of each window, which equal windows
+agree on, so that each window has one sample and not as many as the cover has places.
 
 Whole texts that are copies of an earlier one repeat from end to end and take no part beyond that.
 
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +33,10 @@ from folioscan.llm import textbytes as tb
 from folioscan.session import materialize, table
 
 LENGTH, GRAM = 100, 32
-#: Names, at 8 bytes each, that are broadcast to pick out windows where they are read; beyond it a join picks them.
+#: A perfect difference cover: every difference modulo PERIOD is one of two of COVER.
+PERIOD, COVER = 57, (0, 1, 6, 15, 22, 26, 45, 55)
+#: Names, at 8 bytes each, that are broadcast to pick out windows where they are read; beyond it a join picks the places,
+#: and another brings them to their texts.
 BROADCAST_NAMES = 8_000_000
 #: Rows (documents, spans) that are broadcast to join them to texts; beyond it that join shuffles the texts.
 BROADCAST_ROWS = 1_000_000
@@ -36,17 +44,12 @@ HOT = 100_000
 CHUNK = 30_000
 
 
-def _rolling(buf: np.ndarray, n: int) -> np.ndarray:
+def _hashes_at(buf: np.ndarray, at: np.ndarray | slice, n: int) -> np.ndarray:
     """A hash of the n bytes from each place."""
-    m = len(buf) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(m, np.uint64)
-    for k, base in enumerate(tb._BASES):
-        total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(tb._VALUES[k][buf] * tb._powers(base, len(buf)), out=total[1:])
-        out = tb.mix(out + (total[n:] - total[:m]) * tb._powers(pow(base, -1, 1 << 64), m) + np.uint64(k))
-    return out
+    base = tb._BASES[0]
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(tb._VALUES[0][buf] * tb._powers(base, len(buf)), out=total[1:])
+    return tb.mix((total[n:][at] - total[: len(total) - n][at]) * tb._powers(pow(base, -1, 1 << 64), len(buf) + 1)[: len(total) - n][at])
 
 
 def _sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
@@ -59,12 +62,28 @@ def _sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:m], ahead[w - 1 : w - 1 + m])
 
 
+def covered(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same as `sampled`, for the places of a difference cover: of two equal windows, some sample lies at the same offset in both.
+
+    The name is that of the LENGTH - PERIOD + 1 bytes from the place, and each window has as many samples as COVER.
+    """
+    gram, size = LENGTH - PERIOD + 1, np.diff(offsets)
+    every = np.arange(-(-int(size.max(initial=0)) // PERIOD) * PERIOD).reshape(-1, PERIOD)[:, COVER].reshape(-1)
+    count = np.searchsorted(every, np.where(size >= LENGTH, size - gram + 1, 0))
+    rows = np.repeat(np.arange(len(size)), count)
+    q = offsets[:-1][rows] + every[np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)]
+    if not len(q):
+        return np.zeros(0, np.uint64), rows, q, q
+    first, last = np.maximum(q - PERIOD + 1, offsets[:-1][rows]), np.minimum(q, offsets[1:][rows] - LENGTH)
+    return _hashes_at(buf, q, gram), rows, first, last
+
+
 def sampled(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Name, row, first and last window of each run of windows that share a sampled place; windows are places in buf."""
     none = np.zeros(0, np.int64)
     if len(buf) < LENGTH:
         return np.zeros(0, np.uint64), none, none, none
-    names = _rolling(buf, GRAM)
+    names = _hashes_at(buf, slice(None), GRAM)
     place_bits = max(1, int(len(names)).bit_length())
     mask = np.uint64((1 << place_bits) - 1)
     lowest = _sliding_minimum((tb.mix(names) & ~mask) | np.arange(len(names), dtype=np.uint64), LENGTH - GRAM + 1)
@@ -89,7 +108,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield lo, buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
-def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _name(batches: Iterator[pa.RecordBatch], sample) -> Iterator[pa.RecordBatch]:
     """(name, n) of a task's samples, put together before they are shuffled."""
     held, n = [], 0
 
@@ -100,7 +119,7 @@ def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
             for _, buf, offsets in _slices(batch):
-                held.append(sampled(buf, offsets)[0])
+                held.append(sample(buf, offsets)[0])
                 n += len(held[-1])
                 if n > 2_000_000:
                     yield put_together()
@@ -109,19 +128,41 @@ def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield put_together()
 
 
-def _windows(shared):
-    """Rows of the windows of each sample whose name is in shared (all, if it is None)."""
+def _places(batches: Iterator[pa.RecordBatch], sample) -> Iterator[pa.RecordBatch]:
+    """(name, doc_id, first, last): each sample and the places of its windows in its text."""
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            for lo, buf, offsets in _slices(batch):
+                names, rows, first, last = sample(buf, offsets)
+                yield pa.record_batch([pa.array(names.view(np.int64)), batch.column(0).take(pa.array(rows + lo)), pa.array(first - offsets[rows]), pa.array(last - offsets[rows])], names=["name", "doc_id", "first", "last"])
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of the places that each text comes with."""
+    for batch in batches:
+        buf, offsets = tb.text_bytes(batch.column(1))
+        out: dict[str, list] = {c: [] for c in ("name", "doc_id", "at", "content")}
+        for doc, lo, hi, places in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), batch.column(2).to_pylist(), strict=True):
+            for x in places:
+                if lo + x["last"] + LENGTH <= hi:
+                    for c, v in zip(out, (x["name"], doc, x["first"], buf[lo + x["first"] : lo + x["last"] + LENGTH].tobytes()), strict=True):
+                        out[c].append(v)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+
+
+def _windows(shared, sample):
+    """Rows of the windows of each sample whose name is in shared."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value if shared is not None else None
+        wanted = shared.value
         with np.errstate(over="ignore"):
             for batch in batches:
                 for lo, buf, offsets in _slices(batch):
-                    names, rows, first, last = sampled(buf, offsets)
-                    if wanted is not None:
-                        where = np.minimum(np.searchsorted(wanted, names), max(0, len(wanted) - 1))
-                        own = wanted[where] == names if len(wanted) else np.zeros(len(names), bool)
-                        names, rows, first, last = names[own], rows[own], first[own], last[own]
+                    names, rows, first, last = sample(buf, offsets)
+                    where = np.minimum(np.searchsorted(wanted, names), max(0, len(wanted) - 1))
+                    own = wanted[where] == names if len(wanted) else np.zeros(len(names), bool)
+                    names, rows, first, last = names[own], rows[own], first[own], last[own]
                     if not len(names):
                         continue
                     n = last - first + LENGTH
@@ -137,8 +178,13 @@ def _window_hashes(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.nda
     """The hash of each window of each row's content, and how many each row has."""
     buf, offsets = tb.text_bytes(batch.column("content"))
     n = np.diff(offsets) - LENGTH + 1
+    found = [np.zeros(0, np.uint64)]
     with np.errstate(over="ignore"):
-        every = np.concatenate([_rolling(buf[offsets[lo] : offsets[hi]], LENGTH)[np.repeat(offsets[lo:hi] - offsets[lo] - (np.cumsum(n[lo:hi]) - n[lo:hi]), n[lo:hi]) + np.arange(n[lo:hi].sum())] for lo, hi in tb.slices(offsets)] or [np.zeros(0, np.uint64)])
+        for lo, hi in tb.slices(offsets):
+            own = n[lo:hi]
+            at = np.repeat(offsets[lo:hi] - offsets[lo] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            found.append(_hashes_at(buf[offsets[lo] : offsets[hi]], at, LENGTH))
+    every = np.concatenate(found)
     return every, n
 
 
@@ -152,32 +198,45 @@ def _runs(repeat: np.ndarray, n: np.ndarray, at: np.ndarray, ids: pa.Array) -> p
     return pa.record_batch([ids.take(pa.array(row[first])), pa.array(place[first]), pa.array(place[last] + LENGTH)], names=["doc_id", "begin", "end"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
     """Rows come by name, document and place. A chunk is compared in itself and with the windows of the name that it goes on with."""
     held: list[pa.RecordBatch] = []
-    name, seen = None, np.zeros(0, np.uint64)
+    name, seen, first = None, np.zeros(0, np.uint64), np.zeros((2, 0), np.int64)
 
     def done() -> pa.RecordBatch:
-        nonlocal name, seen
+        nonlocal name, seen, first
         whole = pa.Table.from_batches(held).combine_chunks()
-        names = whole.column("name").to_numpy()
+        names, at = whole.column("name").to_numpy(), whole.column("at").to_numpy()
+        ids = whole.column("doc_id").combine_chunks()
+        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
         hashes, n = _window_hashes(whole)
-        order = np.argsort(hashes, kind="stable")
+        # a window comes with several samples: what repeats is another document or place
+        docs, rank = np.unique(ids.fill_null(np.iinfo(np.int64).min).to_numpy(), return_inverse=True)
+        key = np.repeat((rank.astype(np.int64) << 40) + at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        order = np.argsort(hashes)
+        sorted_ = hashes[order]
+        begin = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+        lowest = np.minimum.reduceat(key[order], begin)
         repeat = np.zeros(len(hashes), bool)
-        repeat[order[1:]] = hashes[order[1:]] == hashes[order[:-1]]
-        owner = np.repeat(names, n)
+        repeat[order] = key[order] != np.repeat(lowest, np.diff(np.append(begin, len(order))))
+        place = lambda k: np.stack((docs[k >> 40], k & ((1 << 40) - 1)))
         if name == names[0] and len(seen):
-            own = np.flatnonzero(owner == name)
-            repeat[own] |= seen[np.minimum(np.searchsorted(seen, hashes[own]), len(seen) - 1)] == hashes[own]
-        more = np.unique(hashes[owner == names[-1]])
-        name, seen = names[-1], np.union1d(seen, more) if name == names[-1] else more
-        ids = whole.column("doc_id").combine_chunks()
-        return _runs(repeat, n, whole.column("at").to_numpy(), ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids)
+            own = np.arange(n[names == name].sum())
+            k = np.minimum(np.searchsorted(seen, hashes[own]), len(seen) - 1)
+            repeat[own] |= (seen[k] == hashes[own]) & (first[:, k] != place(key[own])).any(axis=0)
+        more = np.unique(hashes[len(hashes) - n[names == names[-1]].sum() :])
+        places = place(lowest[np.searchsorted(sorted_[begin], more)])
+        if name == names[-1] and len(seen):
+            unseen = seen[np.minimum(np.searchsorted(seen, more), len(seen) - 1)] != more
+            more, places = np.concatenate((seen, more[unseen])), np.concatenate((first, places[:, unseen]), axis=1)
+        up = np.argsort(more)
+        name, seen, first = names[-1], more[up], places[:, up]
+        return _runs(repeat, n, at, ids)
 
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
-        if sum(x.num_rows for x in held) >= CHUNK:
+        if sum(x.num_rows for x in held) >= chunk:
             yield done()
             held = []
     if held:
@@ -196,30 +255,50 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def repeated_spans(texts: DataFrame) -> DataFrame:
+def repeated_spans(texts: DataFrame, sample=covered) -> DataFrame:
     """(doc_id, begin, end): bytes of each text (doc_id, text) covered by a window that also starts earlier. Spans may overlap."""
     spark = texts.sparkSession
-    names = texts.mapInArrow(_name, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
+    names = texts.mapInArrow(partial(_name, sample=sample), "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
     names = materialize(names, "names")
     shape = "name long, doc_id long, at long, content binary"
     if names.count() <= BROADCAST_NAMES:
         wanted = np.sort(names.select("name").toArrow().column(0).to_numpy().view(np.uint64))
-        rows = texts.mapInArrow(_windows(spark.sparkContext.broadcast(wanted)), shape)
+        rows = texts.mapInArrow(_windows(spark.sparkContext.broadcast(wanted), sample), shape)
     else:
-        rows = texts.mapInArrow(_windows(None), shape).join(names.select("name"), "name", "left_semi")
+        places = texts.mapInArrow(partial(_places, sample=sample), "name long, doc_id long, first long, last long").join(names.select("name"), "name", "left_semi")
+        listed = places.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("name", "first", "last")).alias("places"))
+        own = texts.join(listed, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "places")
+        rows = own.mapInArrow(_contents, shape)
     hot = materialize(names.where(F.col("n") > HOT).select("name"), "hot-names")
-    spans = "doc_id long, begin long, end long"
+    spans, compare = "doc_id long, begin long, end long", partial(_compare, chunk=CHUNK)
     if hot.isEmpty():
-        return rows.repartition("name").sortWithinPartitions("name", "doc_id", "at").mapInArrow(_compare, spans)
+        return rows.repartition("name").sortWithinPartitions("name", "doc_id", "at").mapInArrow(compare, spans)
     rows = materialize(rows, "windows")
     usual = rows.join(_sized(hot), "name", "left_anti").select("name", "doc_id", "at", "content")
-    usual = usual.repartition("name").sortWithinPartitions("name", "doc_id", "at").mapInArrow(_compare, spans)
+    usual = usual.repartition("name").sortWithinPartitions("name", "doc_id", "at").mapInArrow(compare, spans)
     single = rows.join(_sized(hot), "name", "left_semi").select("name", "doc_id", "at", "content").mapInArrow(_explode, "h long, doc_id long, begin long")
     first = single.groupBy("h").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = single.join(first, "h").where(~F.struct("doc_id", "begin").eqNullSafe(F.col("first")))
     return usual.unionByName(later.select("doc_id", "begin", (F.col("begin") + LENGTH).alias("end")))
 
 
+def _merge(spans: list[dict]) -> list[dict]:
+    """Spans that meet or overlap as one."""
+    merged: list[dict] = []
+    for x in sorted(spans, key=lambda x: x["begin"]):
+        if merged and x["begin"] <= merged[-1]["end"]:
+            merged[-1]["end"] = max(merged[-1]["end"], x["end"])
+        else:
+            merged.append(dict(x))
+    return merged
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+    for batch in batches:
+        yield pa.record_batch([batch.column(0), pa.array([_merge(x) for x in batch.column(1).to_pylist()], kind)], names=["doc_id", "spans"])
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, offsets = tb.text_bytes(batch.column("text"))
@@ -228,12 +307,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = buf[offsets[k] : offsets[k + 1]]
             if copy and len(own) >= LENGTH:
                 spans = [{"begin": 0, "end": len(own)}]
-            merged: list[list[int]] = []
-            for x in sorted(spans or [], key=lambda x: x["begin"]):
-                if merged and x["begin"] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], x["end"])
-                else:
-                    merged.append([x["begin"], x["end"]])
+            merged = [(x["begin"], x["end"]) for x in spans or []]
             digest, at = hashlib.sha256(), 0
             for a, b in merged:
                 digest.update(own[at:a])
@@ -245,7 +319,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(offsets)), *(pa.array(v, t) for v, t in zip(found.values(), kinds, strict=True))], names=["doc_id", "n_bytes", *found])
 
 
-def repeated_bytes(docs: DataFrame) -> DataFrame:
+def repeated_bytes(docs: DataFrame, sample=covered) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and begins and ends of the removed runs of bytes, for each row of docs."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     digests = texts.where(F.octet_length("text") >= LENGTH).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
@@ -253,8 +327,9 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     # a row of the first document's own id is no copy, and neither is one without an id
     copies = digests.join(firsts, "digest").where(F.col("doc_id").isNotNull() & ((F.col("nulls") > 0) | (F.col("doc_id") > F.col("first")))).select("doc_id", F.lit(True).alias("copy")).distinct()
     copies = _sized(materialize(copies, "copies"))
-    spans = repeated_spans(texts.join(copies, "doc_id", "left_anti"))
-    listed = _sized(materialize(spans.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "spans"))
+    spans = repeated_spans(texts.join(copies, "doc_id", "left_anti"), sample)
+    listed = spans.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    listed = _sized(materialize(listed.mapInArrow(_merged, "doc_id long, spans array<struct<begin: long, end: long>>"), "spans"))
     marked = texts.join(copies, "doc_id", "left").join(listed.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, begins array<long>, ends array<long>"
     return marked.select("doc_id", "text", "copy", "spans").mapInArrow(_kept, shape)

@@ -106,11 +106,13 @@ def test_pieces_are_the_librarys_tokens(text):
     assert ids.tolist() == want and n.tolist() == [0, len(want)]
 
 
-@pytest.mark.parametrize("hot, names", [(100_000, 8_000_000), (2, 8_000_000), (2, 0)])
-def test_repeated_bytes(docs, texts, monkeypatch, hot, names):
+@pytest.mark.parametrize("sample", [substrings.sampled, substrings.covered])
+@pytest.mark.parametrize("hot, names", [(100_000, 8_000_000), (2, 8_000_000), (100_000, 0)])
+def test_repeated_bytes(docs, texts, monkeypatch, hot, names, sample):
+    monkeypatch.setattr(substrings, "CHUNK", 40)
     monkeypatch.setattr(substrings, "HOT", hot)
     monkeypatch.setattr(substrings, "BROADCAST_NAMES", names)
-    got, seen = by_id(substrings.repeated_bytes(docs)), set()
+    got, seen = by_id(substrings.repeated_bytes(docs, sample)), set()
     for i in sorted(texts):
         data = (texts[i] or "").encode()
         gone = bytearray(len(data))
