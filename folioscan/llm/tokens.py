@@ -30,7 +30,7 @@ from folioscan.session import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SAFE = b',.;:!?*#$%&)"'
-PIECES = 1_500_000
+PIECES = 600_000
 HUGE, CHUNK, OVERLAP = 32_768, 16_384, 256
 LIMIT = 2048
 
