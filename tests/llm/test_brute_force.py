@@ -244,6 +244,13 @@ def test_a_chain_is_the_best_ordered_one():
         assert score == pytest.approx(best)
 
 
+def test_chains_of_distant_passages_do_not_hide_each_other():
+    for first, gap, second in ((60, 80, 100), (200, 900, 100), (1000, 3000, 100)):
+        one = [(x, x) for x in range(0, first, 7)]
+        two = [(x, x) for x in range(first + gap, first + gap + second, 7)]
+        assert sorted(chains.chains(one + two)) == [one, two]
+
+
 def test_surrogates(docs, texts):
     got = by_id(surrogates.protect(docs))
     first, second = got[81]["text"], got[82]["text"]
