@@ -251,6 +251,19 @@ def test_chains_of_distant_passages_do_not_hide_each_other():
         assert sorted(chains.chains(one + two)) == [one, two]
 
 
+def test_a_passage_whose_parts_are_older_is_found_to_its_ends(spark):
+    rng = random.Random(17)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    parts = [prose(32) for _ in range(8)]
+    rows = [(k, f"{prose(90)} {x} {prose(60)}") for k, x in enumerate(parts)]
+    rows += [(20, f"{prose(50)} {parts[0]} {parts[1]} {prose(50)}"), (30, f"{prose(70)} {parts[0]} {parts[1]} {prose(20)}")]
+    rows += [(40, f"{prose(50)} {' '.join(parts)} {prose(9)}"), (50, f"{prose(9)} {' '.join(parts)} {prose(50)}")]
+    found = chains.fuzzy_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r["doc_id"], r["other_id"]): (r["begin"], r["end"], r["other_begin"], r["other_end"], r["n_same"]) for r in found}
+    assert got[30, 20] == (70, 134, 50, 114, 64)
+    assert got[50, 40] == (9, 265, 50, 306, 256)
+
+
 def test_surrogates(docs, texts):
     got = by_id(surrogates.protect(docs))
     first, second = got[81]["text"], got[82]["text"]
