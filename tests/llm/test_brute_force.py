@@ -264,6 +264,33 @@ def test_a_passage_whose_parts_are_older_is_found_to_its_ends(spark):
     assert got[50, 40] == (9, 265, 50, 306, 256)
 
 
+def test_altered_passages_are_aligned(spark):
+    rng = random.Random(23)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(40):
+        passage = prose(60)
+        altered = passage[:]
+        for at in range(k % 6, 60, 6) if k % 2 else rng.sample(range(60), 9):
+            altered[at] = "other"
+        rows += [(k, " ".join(prose(50) + passage + prose(30))), (100 + k, " ".join(prose(70) + altered + prose(60)))]
+        want.add((100 + k, k))
+    found = chains.fuzzy_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r["doc_id"], r["other_id"]) for r in found}
+    assert got <= want and len(got) >= 39
+
+
+def test_common_words_are_counted():
+    rng = random.Random(29)
+    for _ in range(100):
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(12))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert chains.common(np.array(a, int), np.array(b, int)) == best[-1][-1]
+
+
 def test_surrogates(docs, texts):
     got = by_id(surrogates.protect(docs))
     first, second = got[81]["text"], got[82]["text"]
