@@ -264,6 +264,19 @@ def test_a_passage_whose_parts_are_older_is_found_to_its_ends(spark):
     assert got[50, 40] == (9, 265, 50, 306, 256)
 
 
+def test_second_copies_are_found(spark):
+    rng = random.Random(31)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    one, two = prose(60), prose(60)
+    rows = [(1, f"{prose(50)} {one} {prose(50)}"), (2, f"{one} {prose(90)} {one} {prose(9)}"), (3, f"{two} {prose(90)} {two}"), (4, "der " * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["other_id"], r["begin"], r["end"], r["other_begin"]) for r in chains.fuzzy_repeats(df).collect()}
+    assert got == {(2, 1, 0, 60, 50), (2, 1, 150, 210, 50)}
+    own = {(r["doc_id"], r["other_id"], r["begin"], r["end"], r["other_begin"]) for r in chains.fuzzy_repeats(df, within=True).collect()}
+    assert {r for r in own if r[0] != 4} == got | {(3, 3, 150, 210, 0)}
+    assert all(r[1] == 4 for r in own if r[0] == 4)
+
+
 def test_altered_passages_are_aligned(spark):
     rng = random.Random(23)
     prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
