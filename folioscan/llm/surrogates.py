@@ -52,8 +52,8 @@ IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,
 SECRET = r"(?<![\p{L}\p{N}])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,64}(?![\p{L}\p{N}])"
 PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{WOMEN}|{MEN})\.? \p{{Lu}}[\p{{L}}]+(?: \p{{Lu}}[\p{{L}}]+)?"
 ENTITY = f"{EMAIL}|{IP}|{CARD}|{SSN}|{PHONE}|{IBAN}|{SECRET}|{PERSON}"
-#: What any entity has somewhere: most texts without one are passed over at the cost of this search.
-HINT = rf"[0-9]{{2}}|@|(?:{WOMEN}|{MEN})\.? \p{{Lu}}"
+#: What any entity has somewhere, IPs of single digits and secrets included: most texts without one are passed over at the cost of this search.
+HINT = rf"[0-9]{{2}}|@|[0-9]\.[0-9]|[0-9a-fA-F]{{32}}|(?:{WOMEN}|{MEN})\.? \p{{Lu}}"
 
 
 def _sql(pattern: str) -> str:

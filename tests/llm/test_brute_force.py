@@ -320,6 +320,14 @@ def test_surrogates(docs, texts):
     assert {i: r["text"] for i, r in got.items() if i not in (81, 82)} == {i: x for i, x in texts.items() if i not in (81, 82)}
 
 
+def test_each_kind_alone_in_a_text_is_replaced(spark):
+    alone = ["8.8.8.8", "1.1.1.1", "a1b2c3d4" * 4, "abcdefab" * 4, "A1B2C3D4" * 8, "x@y.example", "4111-1111-1111-1111", "123-45-6789"]
+    alone += ["(555) 010-9999", "+4 555 010 9999", "DE12 ABCD EFGH JKLM", "Mrs. Doe", "Herr Doe", "Κύριος Πέτρος"]
+    df = spark.createDataFrame([(k, f"it is {x} here") for k, x in enumerate(alone)], "doc_id long, text string")
+    for k, r in by_id(surrogates.protect(df)).items():
+        assert r["_entities"] == 1 and alone[k] not in r["text"]
+
+
 def test_clashing_surrogates_are_drawn_again(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "CORE", "concat(substring(x.d, 1, 1), '@example.net')")
     rows = [(k, f"to user{k}@mail.example.com and user{k + 1}@mail.example.com") for k in range(9)]
