@@ -106,13 +106,11 @@ def test_pieces_are_the_librarys_tokens(text):
     assert ids.tolist() == want and n.tolist() == [0, len(want)]
 
 
-@pytest.mark.parametrize("sample", [substrings.sampled, substrings.covered])
-@pytest.mark.parametrize("hot, names", [(100_000, 8_000_000), (2, 8_000_000), (100_000, 0)])
-def test_repeated_bytes(docs, texts, monkeypatch, hot, names, sample):
-    monkeypatch.setattr(substrings, "CHUNK", 40)
-    monkeypatch.setattr(substrings, "HOT", hot)
-    monkeypatch.setattr(substrings, "BROADCAST_NAMES", names)
-    got, seen = by_id(substrings.repeated_bytes(docs, sample)), set()
+@pytest.mark.parametrize("hot, bits, limit", [(20_000, 29, 1 << 26), (2, 29, 1 << 26), (20_000, 16, 0)])
+def test_repeated_bytes(docs, texts, monkeypatch, hot, bits, limit):
+    for name, value in (("CHUNK", 40), ("HELD_ROWS", 90), ("HELD_NAMES", 900), ("HOT", hot), ("MOST_BITS", bits), ("BROADCAST_BYTES", limit)):
+        monkeypatch.setattr(substrings, name, value)
+    got, seen = by_id(substrings.repeated_bytes(docs)), set()
     for i in sorted(texts):
         data = (texts[i] or "").encode()
         gone = bytearray(len(data))
