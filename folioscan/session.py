@@ -48,7 +48,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioscan/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that `materialize` wrote for df, once nothing reads it any more."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._scratch)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded(df: DataFrame, size: int, limit: int) -> DataFrame:
