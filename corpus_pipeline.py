@@ -3,9 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
 columns of documents; `run` writes each stage's rows as Parquet in the shared folder and reads them for the next.
 
-Defined cases: rows with null texts or fewer than 50 words go with the quality rules; rows that repeat a doc_id stay or
-go together; a null doc_id is kept where its text is; an empty table passes through every stage; other columns, whatever
-their names, pass through to the last stage, which returns doc_id, start, n_tokens and ids_crc32, and the file and place.
+Defined cases: rows with null texts or fewer than 50 words go with the quality rules; every row is judged by its own
+text, so rows that share a doc_id, or have none, stay or go one by one; of rows that repeat doc_id and text one stays; an
+empty table passes through every stage; other columns, whatever their names, pass through to the last stage, which
+returns doc_id, start, n_tokens and ids_crc32, and the file and place.
 """
 
 from __future__ import annotations
@@ -13,30 +14,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folioscan.llm import decontaminate, minhash, mixing, quality, tokenfile
 from folioscan.session import materialize, table
 
-#: Ids of rejected documents that are broadcast, at 8 bytes each; beyond it that join shuffles.
-BROADCAST_IDS = 2_000_000
-
-
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the ids in gone (`_gone`)."""
-    gone = materialize(gone, "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the current policy."""
-    judged = quality.apply_policy(quality.ledger(docs))
-    return _without(docs, judged.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
+    return quality.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return _without(docs, minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
+    return minhash.first_of_each(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
