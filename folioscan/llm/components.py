@@ -5,24 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.session import materialize
+from folioscan.session import bounded, discard, materialize
+
+#: Neighbours of a node that are told its label by one row of it; a node with more has as many more rows.
+NEIGHBOURS = 2_000
+BROADCAST_BYTES = 32 << 20
 
 
 def connected(links: DataFrame) -> DataFrame:
     """(node, label) for each node of links (a, b): label is the lowest node of its component.
 
     Each round takes the lowest label among a node and its neighbours, then the label's own label, so that long paths
-    shrink by half; minima are combined before they are shuffled, so a node with very many links is no hot group.
-    Rounds end when no label changes; their number grows with the logarithm of the longest path.
+    shrink by half; rounds end when no label changes, and their number grows with the logarithm of the longest path.
+    Minima are combined before they are shuffled. A node with very many links is dealt out with shares of its
+    neighbours, and labels are only looked up where they moved, one row for each label and not for each node.
     """
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = materialize(both, "links-both-ways")
+    heavy = materialize(both.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > NEIGHBOURS).select("b", F.ceil(F.col("n") / NEIGHBOURS).cast("int").alias("shares")), "hubs")
+    heavy = bounded(heavy, heavy.count() * 12, BROADCAST_BYTES)
+    edges = materialize(both.join(heavy, "b", "left").select("a", "b", F.when(F.col("shares").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), F.col("shares"))).cast("int").alias("share")), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    discard(both)
     while True:
-        told = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label")
-        lowest = told.unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
-        upper = lowest.select(F.col("node").alias("label"), F.col("label").alias("_up"))
-        jumped = lowest.join(upper, "label", "left").select("node", F.least("label", F.coalesce("_up", "label")).alias("label"))
-        fresh = materialize(jumped, "labels")
-        if fresh.join(labels.withColumnRenamed("label", "_was"), "node").where("label <> _was").isEmpty():
+        told = labels.withColumnRenamed("node", "b").join(heavy, "b", "left").select("b", "label", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share"))
+        lowest = edges.join(told, ["b", "share"]).select(F.col("a").alias("node"), "label").unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
+        lowest = materialize(lowest, "lowest")
+        moved = lowest.select("label").distinct().join(lowest.select(F.col("node").alias("label"), F.col("label").alias("_up")), "label").where("_up <> label")
+        moved = materialize(moved, "moved-labels")
+        n = moved.count()
+        fresh = lowest
+        if n:
+            fresh = materialize(lowest.join(bounded(moved, 16 * n, BROADCAST_BYTES), "label", "left").select("node", F.coalesce("_up", "label").alias("label")), "labels")
+            discard(lowest)
+        same = not n and fresh.join(labels.withColumnRenamed("label", "_was"), "node").where("label <> _was").isEmpty()
+        discard(labels)
+        if same:
             return fresh
         labels = fresh

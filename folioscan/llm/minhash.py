@@ -3,8 +3,8 @@
 A text's set holds its distinct shingles of `SHINGLE` words. Two collections of `HALVES` half keys, each of `ROWS`
 minhashes, give HALVES * HALVES table keys by pairing every half key of the first with every one of the second: 2 *
 HALVES * ROWS minhashes do the work of HALVES ** 2 * 2 * ROWS. At a similarity of 0.75, two sets share a table but for
-5 cases in 10,000, at 0.8 but for 7 in 100,000. Texts with equal sets are one class from the start, so copies are
-never paired.
+10 cases in 10,000, at 0.8 but for 6 in 100,000; of sets with a similarity of 0.3 one pair in ten shares one, of 0.2 one
+in a hundred. Texts with equal sets are one class from the start, so copies are never paired.
 
 Links are confirmed on whole sets. In each table the class with most company in all its tables is paired with each of
 the others, which finds most links at a cost in proportion to the tables. Classes that share tables, directly or by
@@ -15,7 +15,8 @@ out: so no pair that shares a table is lost, and no pair becomes a row before it
 Defined cases: a null, empty or wordless text has an empty set and is a component of its own; a text of fewer words
 than `SHINGLE` has its whole sequence as its one shingle; ties go to the smaller doc_id; rows that repeat a doc_id and
 text share a class and are all returned; a null doc_id takes part, and never names a component unless all of its
-component's ids are null; an empty table gives an empty result; other columns are not read.
+component's ids are null; rows of one id with different texts are documents of their own, told apart by a digest; an
+empty table gives an empty result; other columns are not read, or pass through `first_of_each`, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,13 +30,13 @@ from pyspark.sql import functions as F
 
 from folioscan.llm import textbytes as tb
 from folioscan.llm.components import connected
-from folioscan.session import materialize, table
+from folioscan.session import bounded, materialize, table
 
 SHINGLE = 5
 SIMILAR = (75, 100)
-HALVES, ROWS = 10, 2
-#: Ids that are broadcast to pick out the texts to confirm links on, at 8 bytes each; beyond it that join shuffles.
-BROADCAST_IDS = 2_000_000
+HALVES, ROWS = 14, 3
+#: Bytes of ids that are broadcast to pick out texts; beyond it that join shuffles.
+BROADCAST_BYTES = 32 << 20
 #: Shingles in a block of sets.
 BLOCK = 400_000
 
@@ -79,13 +80,13 @@ def half_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return keys
 
 
-SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("halves", pa.list_(pa.int64()))])
+SIGNATURE = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("halves", pa.list_(pa.int64()))])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
-            buf, offsets = tb.text_bytes(batch.column(1))
+            buf, offsets = tb.text_bytes(batch.column("text"))
             for lo, hi in tb.slices(offsets):
                 own = offsets[lo : hi + 1]
                 h, at = shingle_sets(tb.LOWER[buf[own[0] : own[-1]]], own - own[0], SHINGLE)
@@ -99,13 +100,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keys = half_keys(h, at[full])
                 ends = np.concatenate(([0], np.cumsum((size > 0) * 2 * HALVES))).astype(np.int32)
                 halves = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), halves], schema=SIGNATURE)
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), halves], schema=SIGNATURE)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
-            buf, offsets = tb.text_bytes(batch.column(1))
+            buf, offsets = tb.text_bytes(batch.column("text"))
             for lo, hi in tb.slices(offsets):
                 own = offsets[lo : hi + 1]
                 h, at = shingle_sets(tb.LOWER[buf[own[0] : own[-1]]], own - own[0], SHINGLE)
@@ -179,13 +180,19 @@ def _across(stars: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(pairs.mapInArrow(_compare, "a long, b long"), "links-across")
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """doc_id, digest and text: what tells documents apart, also where ids are null or repeated."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "text")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(texts.mapInArrow(_sign, "doc_id long, n_shingles long, set_a long, set_b long, halves array<long>"), "signatures")
+    """doc_id, digest, n_shingles, component_id, kept and first for each row of docs; first: the component's first document, by doc_id (nulls last) and digest."""
+    texts = _identified(docs)
+    signed = materialize(texts.mapInArrow(_sign, "doc_id long, digest long, n_shingles long, set_a long, set_b long, halves array<long>"), "signatures")
     full = signed.where("n_shingles > 0")
     identity = ["set_a", "set_b", "n_shingles"]
-    classes = full.groupBy(*identity).agg(F.min("doc_id").alias("low"), F.first("halves").alias("halves"))
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    classes = full.groupBy(*identity).agg(F.min(own).alias("low"), F.first("halves").alias("halves"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     keys = classes.select(
@@ -194,27 +201,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     shared = keys.groupBy("key").agg(F.min("node").alias("_first"), F.max("node").alias("_last"), F.count("*").alias("n")).where("_first < _last").select("key", "n")
     members = materialize(keys.join(shared, "key"), "tables")
-    company = members.groupBy("node").agg(F.sum("n").alias("w"))
+    company = materialize(members.groupBy("node").agg(F.sum("n").alias("w")), "company")
     hubs = members.join(company, "node").groupBy("key").agg(F.max(F.struct("w", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
     stars = materialize(members.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
 
-    wanted = classes.join(company.select("node"), "node", "left_semi").select("node", *identity, "low")
-    picked = full.join(wanted, identity).where(F.col("doc_id").eqNullSafe(F.col("low"))).groupBy("node").agg(F.first("doc_id").alias("doc_id"))
-    picked = materialize(picked, "picked")
-    small = picked.count() <= BROADCAST_IDS
-    chosen = texts.join(F.broadcast(picked) if small else picked, texts["doc_id"].eqNullSafe(picked["doc_id"])).select("node", "text")
+    picked = classes.join(company.select("node"), "node", "left_semi").select("node", F.col("low.doc_id").alias("_id"), F.col("low.digest").alias("_digest"))
+    picked = bounded(picked, company.count() * 24, BROADCAST_BYTES)
+    chosen = texts.join(picked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("node", "text")
     sets = materialize(chosen.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
     links = materialize(_confirmed(_fitting(stars, classes), sets), "links")
     every = links.unionByName(_across(stars, links, sets))
     labels = connected(every)
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    known = named.join(lowest, "label").select(*[F.col(c).alias(f"_{c}") for c in identity], "component_id")
-    out = full.join(known, [F.col(c) == F.col(f"_{c}") for c in identity]).select("doc_id", "n_shingles", "component_id")
-    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    lowest = named.groupBy("label").agg(F.min("low").alias("lowest"))
+    known = named.join(lowest, "label").select(*[F.col(c).alias(f"_{c}") for c in identity], "lowest")
+    first = F.col("doc_id").eqNullSafe(F.col("lowest.doc_id")) & (F.col("digest") == F.col("lowest.digest"))
+    out = full.join(known, [F.col(c) == F.col(f"_{c}") for c in identity]).select("doc_id", "digest", "n_shingles", F.col("lowest.doc_id").alias("component_id"), first.alias("first"))
+    alone = signed.where("n_shingles = 0").select("doc_id", "digest", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs without those of near-duplicates of an earlier document: one row of each component stays, of rows that repeat doc_id and text as well."""
+    judged = materialize(near_duplicates(docs), "judged")
+    gone = judged.where("NOT first").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    again = judged.where("first AND n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).count().where("count > 1").drop("count")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+    def of(side: DataFrame, label: str):
+        side = materialize(side, label)
+        n = side.count()
+        same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("_digest"))
+        return bounded(side, 16 * n, BROADCAST_BYTES), same, n
+
+    gone, same, _ = of(gone, "gone")
+    rows = rows.join(gone, same, "left_anti")
+    again, same, n = of(again, "repeated-rows")
+    if n:
+        once = rows.join(again, same, "left_semi").withColumns({"_id": F.col("row.doc_id"), "_text": F.col("row.text")}).dropDuplicates(["_id", "_text"]).select("row")
+        rows = rows.join(again, same, "left_anti").unionByName(once)
+    return rows.select("row.*")
+
+
 def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

@@ -7,7 +7,8 @@ on nothing but the document and the seed, so reruns and retried tasks agree.
 
 Defined cases: a null text has size 0 and so has an empty one; null sources form one source of their own, last in
 order; a source of size 0 has target 0 and rate 0; repeated rows are documents of their own and draw alike; a null
-doc_id draws from the seed alone; an empty table gives an empty result; other columns pass through `mix` unread.
+doc_id draws from the seed alone; an empty table gives an empty result; other columns, whatever their names, pass
+through `mix` unread.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ BROADCAST_SOURCES = 100_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """docs with `_size` (words) and `_draw`, a number from 0 to 1 exclusive."""
-    digest = F.md5(F.concat_ws(":", F.lit(SEED).cast("string"), F.col("doc_id").cast("string")).cast("binary"))
+    """Each row of docs as `row`, with its source, its `size` (words) and `draw`, a number from 0 to 1 exclusive."""
+    digest = F.md5(F.concat_ws(":", F.lit(SEED).cast("string"), F.col("row.doc_id").cast("string")).cast("binary"))
     draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    return docs.withColumns({"_size": F.size(words_of(F.col("text"))).cast("long"), "_draw": draw})
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return whole.select("row", F.col("row.source").alias("source"), F.size(words_of(F.col("row.text"))).cast("long").alias("size"), draw.alias("draw"))
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -58,29 +60,24 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return settled.withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "weight", "target", "rate")
 
 
-def _rated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs as sized(), and its sources' targets under names of their own."""
-    work = sized(docs)
-    targets = materialize(source_targets(work.select("source", F.col("_size").alias("size"))), "targets")
-    targets = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
-    return work, F.broadcast(targets) if targets.count() <= BROADCAST_SOURCES else targets
-
-
 def rated(docs: DataFrame) -> DataFrame:
-    """docs with _size, _source_size, _target, _rate and _copies."""
-    work, targets = _rated(docs)
-    copies = F.floor("_rate") + F.when(F.col("_draw") < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    return work.join(targets, F.col("source").eqNullSafe(F.col("_source")), "inner").withColumn("_copies", copies.cast("int"))
+    """Each row of docs as `row`, with size, source_size, target, rate and copies."""
+    work = sized(docs)
+    targets = materialize(source_targets(work.select("source", "size")), "targets").withColumnRenamed("source", "of")
+    if targets.count() <= BROADCAST_SOURCES:
+        targets = F.broadcast(targets)
+    copies = F.floor("rate") + F.when(F.col("draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    return work.join(targets, F.col("source").eqNullSafe(F.col("of")), "inner").select("row", "size", "source_size", "target", "rate", copies.cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; documents that it takes no copy of are left out."""
-    return rated(docs).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rated(docs).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rated(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
+    return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate", "copies")
 
 
 OP9_SQL = r"""

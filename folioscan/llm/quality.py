@@ -7,7 +7,7 @@ that rule r failed. Policies are versioned sets of rules, so a changed policy ne
 
 Defined cases: a null text has no words and fails `few_words`; an empty text does the same; a null doc_id is passed
 through; repeated rows are judged one by one; an empty table gives an empty ledger; other columns of the input are not
-read. Nothing is shuffled for the ledger: each row is measured where it is read.
+read, or pass through `passing`, whatever their names. Nothing is shuffled for the ledger: each row is measured where it is read.
 """
 
 from __future__ import annotations
@@ -64,16 +64,16 @@ POLICIES = {
 CURRENT = 3
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the measurements of each document.
+def _measured(rows: DataFrame) -> DataFrame:
+    """`row`, whatever it is, and the measurements of `text` beside it.
 
     Windows of three words are compared by their 64-bit hashes. Most texts repeat none, which one pass over the hashes
     shows; only the others sort (hash, position) pairs, so that a text of n words costs n log n at most.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    first = docs.select(
-        "doc_id",
+    first = rows.select(
+        "row",
         words_of(text).alias("_w"),
         lines.alias("_l"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -81,7 +81,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long").alias("n_capitals"),
     )
     hashed = first.select(
-        "doc_id",
+        "row",
         "n_symbols",
         "n_exclamations",
         "n_capitals",
@@ -101,17 +101,27 @@ def measured(docs: DataFrame) -> DataFrame:
     covered = "CASE WHEN _p IS NULL OR size(_p) = 0 THEN 0L ELSE aggregate(transform(_p, (x, k) -> CASE WHEN k + 1 < size(_p) THEN least(3, _p[least(k + 1, size(_p) - 1)] - x) ELSE 3 END), 0L, (a, x) -> a + x) END"
     found = repeats.withColumn("n_repeat_words", F.expr(covered)).drop("_h", "_s", "_p")
     # as a generated row, so that a filter on a measurement isn't rewritten into the expressions that it comes from
-    rest = [c for c in found.columns if c != "doc_id"]
-    return found.select("doc_id", F.inline(F.array(F.struct(*rest))))
+    rest = [c for c in found.columns if c != "row"]
+    return found.select("row", F.inline(F.array(F.struct(*rest))))
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """The measurements of each document and `failed`, the bits of the rules that it fails."""
+def _judged(rows: DataFrame) -> DataFrame:
     bits = [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)) for r in RULES]
     mask = bits[0]
     for b in bits[1:]:
         mask = mask.bitwiseOR(b)
-    return measured(docs).withColumn("failed", mask.cast("long"))
+    return _measured(rows).withColumn("failed", mask.cast("long"))
+
+
+def ledger(docs: DataFrame) -> DataFrame:
+    """doc_id, the measurements of each document and `failed`, the bits of the rules that it fails."""
+    return _judged(docs.select(F.col("doc_id").alias("row"), "text")).withColumnRenamed("row", "doc_id")
+
+
+def passing(docs: DataFrame, version: int = CURRENT) -> DataFrame:
+    """The rows of docs that pass the policy, each judged by its own text."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", "row.text")
+    return apply_policy(_judged(rows), version).where("kept").select("row.*")
 
 
 def apply_policy(entries: DataFrame, version: int = CURRENT, into: str = "kept") -> DataFrame:

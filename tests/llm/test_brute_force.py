@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import hashlib
+import hmac
 import math
 import random
 import re
@@ -12,6 +13,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from folioscan.llm import chains, decontaminate, latticelm, minhash, mixing, quality, substrings, surrogates, tokenfile, tokens
@@ -308,7 +310,7 @@ def test_surrogates(docs, texts):
     for secret in ("jane.doe@mail", "12.34.56.78", "010-9999", "4111", "ab12ab12", "Jane", "Doe"):
         assert secret not in first + second
     mail = re.search(r"\S+@\S+\w", first)[0]
-    assert mail in second and got[81]["_entities"] == 5 and got[82]["_entities"] == 4
+    assert mail in second and got[81]["n_entities"] == 5 and got[82]["n_entities"] == 4
     names = re.findall(r"Mrs\. (\w+ \w+)", first)
     assert names[0] == names[1] and names[0].split(" ")[0] in surrogates.GIVEN["woman", "latin"]
     card = re.search(r"(\d{4}) (\d{4}) (\d{4}) (\d{4}) \((\d{4})-(\d{4})-(\d{4})-(\d{4})\)", second)
@@ -323,7 +325,104 @@ def test_each_kind_alone_in_a_text_is_replaced(spark):
     alone += ["(555) 010-9999", "+4 555 010 9999", "DE12 ABCD EFGH JKLM", "Mrs. Doe", "Herr Doe", "Κύριος Πέτρος"]
     df = spark.createDataFrame([(k, f"it is {x} here") for k, x in enumerate(alone)], "doc_id long, text string")
     for k, r in by_id(surrogates.protect(df)).items():
-        assert r["_entities"] == 1 and alone[k] not in r["text"]
+        assert r["n_entities"] == 1 and alone[k] not in r["text"]
+
+
+def test_a_person_stays_one_person(spark):
+    rows = [(1, "Mrs. Jane Doe met us. Jane Doe left; Mrs. Doe wrote, and JANE too. Doeskin is none."), (2, "Mr. John Doe and Mrs. Jane Roe; GB29 NWBK 6016 1331 9268 19")]
+    got = by_id(surrogates.protect(spark.createDataFrame(rows, "doc_id long, text string"), key="it's"))
+    one, two = got[1]["text"], got[2]["text"]
+    given, last = re.match(r"Mrs\. (\w+) (\w+) met us", one).groups()
+    assert one == f"Mrs. {given} {last} met us. {given} {last} left; Mrs. {last} wrote, and {given.upper()} too. Doeskin is none."
+    him, same, her, other, iban = re.match(r"Mr\. (\w+) (\w+) and Mrs\. (\w+) (\w+); (.*)", two).groups()
+    assert same == last and her == given and other != last and him in surrogates.GIVEN["man", "latin"]
+    assert re.fullmatch(r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d", iban) and iban != "GB29 NWBK 6016 1331 9268 19"
+    packed = iban.replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4])) % 97 == 1
+
+
+def test_surrogates_by_plain_python(spark, docs, texts):
+    """Kinds, units, keyed digests, attempts and formats, written once more without Spark."""
+    s, key = surrogates, "k'€"
+    extra = {200 + k: x for k, x in enumerate(("8.8.8.8 and 8.8.8.8, call +49 30 1234 5678 or (555) 010-9999", "Frau Vera Müller, DE89 3704 0044 0532 0130 00, Vera", "Госпожа Анна Иванова; Анна", "SSN 123-45-6789 " + "aB3f" * 8, "Mr. Doe, Ms. DOE"))}
+    every = texts | extra
+    kinds = [("ip", s.IP), ("card", s.CARD), ("ssn", s.SSN), ("secret", s.SECRET), ("iban", s.IBAN), ("person", s.TITLE[1:] + ".*"), ("name", r"\p{L}+")]
+
+    def units(e: str, roles: dict) -> list[tuple[str, str, str]]:
+        kind = "email" if "@" in e else next((k for k, p in kinds if regex.fullmatch(p, e)), "phone")
+        if kind == "person":
+            words = regex.sub(s.TITLE, "", e).split(" ")
+            return [(w, "surname" if k == len(words) - 1 else "woman" if regex.match(s.WOMEN, e) else "man", w.lower()) for k, w in enumerate(words)]
+        canon = re.sub("[^0-9]", "", e) if kind in ("card", "ssn", "phone") else e.replace(" ", "") if kind == "iban" else e.lower()
+        return [(e, roles[e.lower()] if kind == "name" else kind, canon)]
+
+    def found(text: str) -> tuple[str, dict]:
+        roles: dict[str, str] = {}
+        spelt: list[str] = []
+        for m in regex.finditer(s.ENTITY, text):
+            if regex.match(s.TITLE, m[0]):
+                for w, kind, _ in units(m[0], {}):
+                    roles.setdefault(w.lower(), kind)
+                    spelt += [w, w.upper()]
+        return (s.ENTITY + (r"|(?<![\p{L}\p{N}])(?:" + "|".join(dict.fromkeys(spelt)) + r")(?![\p{L}\p{N}])" if roles else "")), roles
+
+    def core(kind: str, canon: str, attempt: int) -> str:
+        d = hmac.new(key.encode(), f"{kind}|{attempt}|{canon}".encode(), hashlib.sha256).hexdigest()
+        d += hashlib.sha256(d.encode()).hexdigest()
+        at = [0, *bytes.fromhex(d)]
+        digits = lambda a, b: "".join(str(at[i] % 10) for i in range(a, b + 1))
+        script = "cyrillic" if regex.search(r"\p{IsCyrillic}", canon) else "greek" if regex.search(r"\p{IsGreek}", canon) else "latin"
+        syllables = lambda n: "".join(s.SYLLABLES[script][(256 * at[1 + 2 * i] + at[2 + 2 * i]) % len(s.SYLLABLES[script])] for i in range(1, n + 1))
+        if kind == "email":
+            return f"user.{d[:12]}@example.net"
+        if kind == "ip":
+            return ".".join(map(str, (240 + at[1] % 15, *at[2:5])))
+        if kind == "card":
+            body = canon[0] + digits(1, 14)
+            return body + str(-sum(int(c) if k % 2 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(body)) % 10)
+        if kind == "ssn":
+            return "9" + digits(1, 8)
+        if kind == "phone":
+            return digits(1, len(canon)) if len(canon) < 10 else canon[:-10] + digits(1, 3) + str(at[4] % 2) + digits(5, 10)
+        if kind == "secret":
+            return d[: len(canon)]
+        if kind == "iban":
+            account = "".join(str(at[i] % 10) if c.isdigit() else chr(65 + at[i] % 26) for i, c in enumerate(canon[4:], 1))
+            return f"{canon[:2]}{98 - int(''.join(str(int(c, 36)) for c in account + canon[:2] + '00')) % 97:02d}{account}"
+        if kind == "surname":
+            return syllables(4 + attempt)
+        names = s.GIVEN[kind, script]
+        return names[at[1] % len(names)].lower() + syllables(attempt)
+
+    matched = {i: (x, *found(x)) for i, x in every.items() if x}
+    real = sorted({u[1:] for x, pattern, roles in matched.values() for m in regex.finditer(pattern, x) for u in units(m[0], roles)})
+    attempts = dict.fromkeys(real, 0)
+    while True:
+        drawn = defaultdict(list)
+        for kind, canon in real:
+            drawn[kind, core(kind, canon, attempts[kind, canon])].append(canon)
+        again = [(kind, c) for (kind, x), own in drawn.items() for k, c in enumerate(own) if k or (kind, x) in attempts]
+        if not again:
+            break
+        for u in again:
+            attempts[u] += 1
+
+    def new(m, roles) -> str:
+        out = []
+        for e, kind, canon in units(m[0], roles):
+            x = core(kind, canon, attempts[kind, canon])
+            if kind in ("card", "ssn", "phone", "iban"):
+                letters = iter(x)
+                out.append("".join(next(letters) if regex.match(r"[\p{L}\p{N}]", c) else c for c in e))
+            else:
+                out.append(x.upper() if e == e.upper() else x.capitalize() if kind in ("woman", "man", "surname") else x)
+        before = regex.match(s.TITLE, m[0])
+        return (before[0] if before else "") + " ".join(out)
+
+    got = by_id(s.protect(docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(extra.items()), "doc_id long, text string")), key=key))
+    for i, x in every.items():
+        want = regex.sub(matched[i][1], lambda m: new(m, matched[i][2]), x) if x else x
+        assert got[i]["text"] == want
 
 
 def test_clashing_surrogates_are_drawn_again(spark, monkeypatch):
@@ -333,10 +432,12 @@ def test_clashing_surrogates_are_drawn_again(spark, monkeypatch):
     drawn = [re.findall(r"\S+@\S+", out[k]["text"]) for k in range(9)]
     assert all(drawn[k][1] == drawn[k + 1][0] for k in range(8))
     assert len({x for pair in drawn for x in pair}) == 10
+    with pytest.raises(ValueError):
+        surrogates.protect(spark.createDataFrame([(k, f"user{k}@mail.example.com") for k in range(17)], "doc_id long, text string"))
 
 
 def test_mix(docs, texts):
-    rated = [r.asDict() for r in mixing.rated(docs.select("doc_id", "text", "source")).collect()]
+    rated = [r.asDict(True) for r in mixing.rated(docs.select("doc_id", "text", "source")).collect()]
     size = {i: len(WORD.findall(x or "")) for i, x in texts.items()}
     total = sum(size.values())
     of = {s: sum(size[i] for i in texts if ["a", "b", None][i % 3] == s) for s in ("a", "b", None)}
@@ -353,10 +454,10 @@ def test_mix(docs, texts):
             left -= target[s]
         open_ -= full
     for r in rated:
-        assert r["_size"] == size[r["doc_id"]] and r["_target"] == pytest.approx(target[r["source"]])
-        assert r["_copies"] in (math.floor(r["_rate"]), math.floor(r["_rate"]) + 1) and r["_copies"] <= 3
+        assert r["size"] == size[r["row"]["doc_id"]] and r["target"] == pytest.approx(target[r["row"]["source"]])
+        assert r["copies"] in (math.floor(r["rate"]), math.floor(r["rate"]) + 1) and r["copies"] <= 3
     mixed = mixing.mix(docs)
-    assert mixed.columns == docs.columns and mixed.count() == sum(r["_copies"] for r in rated)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in rated)
 
 
 def test_ablations(docs):
