@@ -3,13 +3,13 @@
 A text is a run of words and one end. A word's lattice has an edge for each vocabulary piece at each place; the word
 begins with the vocabulary's word mark, which no later piece holds, so a text's lattice is a chain of its words'
 lattices and its log probability their sum. A character that no piece spells takes its UTF-8 bytes' pieces. The
-forward recursion runs in log space and sums over all paths. A word seen in training has one more edge, from its
-beginning to its end: of its count, all but `DISCOUNT` goes to that edge, and what is taken off all words together is
-the share of the paths through pieces. The probabilities of all texts sum to 1.
+forward recursion runs in log space and sums over all paths. The end is one more piece, so that the probabilities of all
+runs of pieces that close with an end sum to 1.
 
 The pieces' weights start from the vocabulary's own scores, ranks taken as a Zipf law, and `ROUNDS` rounds of
-expectation maximisation over all distinct training words fit them to the corpus; each round sums expected counts by
-piece, so the driver gets one number for each piece of the fixed vocabulary and nothing that grows with the corpus.
+expectation maximisation over all training tokens fit them to the corpus: each distinct word counts as often as it
+stands in training texts. A round sums expected counts by piece, so the driver gets one number for each piece of the
+fixed vocabulary and nothing that grows with the corpus.
 
 Every distinct word of the corpus is scored once. The most frequent words, `HOT` at most, are broadcast; the other
 words of each document are joined with the table of scores, in which no key is frequent.
@@ -38,7 +38,6 @@ from folioscan.session import materialize, table
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 FOLDS, HELD_OUT = 5, 1
 ROUNDS = 2
-DISCOUNT = 0.75
 HOT = 400_000
 #: Counts that each piece has beside those expected in the corpus.
 PRIOR = 0.01
@@ -136,14 +135,14 @@ class Lattice:
                 out[own] = self.forward(codes)[0][:, -1]
         return out
 
-    def expect(self, words: list[str], into: np.ndarray) -> None:
-        """Add each piece's expected number in the words."""
+    def expect(self, words: list[str], times: np.ndarray, into: np.ndarray) -> None:
+        """Add each piece's expected number in the words, each as often as it comes."""
         with np.errstate(over="ignore"):
-            for _, codes in self.groups(words):
+            for own, codes in self.groups(words):
                 alpha, ids, weights, strange = self.forward(codes)
                 n = codes.shape[1]
                 share = np.zeros_like(alpha)  # expected passes through each place
-                share[:, n] = 1.0
+                share[:, n] = times[own]
                 for e in range(n, 0, -1):
                     lo = max(0, e - self.longest)
                     part = share[:, e : e + 1] * np.exp(alpha[:, lo:e] + weights[e - 1] - alpha[:, e : e + 1])
@@ -190,28 +189,29 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fitted(counts: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS) -> tuple[dict[str, int], np.ndarray]:
-    """The vocabulary's pieces and their log probabilities after `rounds` rounds over the distinct words of counts."""
+def fitted(counts: DataFrame, n_texts: int, path: str = VOCABULARY, rounds: int = ROUNDS) -> tuple[dict[str, int], np.ndarray, float]:
+    """The vocabulary's pieces, their log probabilities after `rounds` rounds over the words of counts, and that of the end."""
     pieces = vocabulary(path)
-    weights = first_weights(path, pieces)
+    weights, end = first_weights(path, pieces), 0.0
     for _ in range(rounds):
         shared = counts.sparkSession.sparkContext.broadcast((pieces, weights))
 
         def expected(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lattice, into = Lattice(*shared.value), np.zeros(len(shared.value[1]))
             for batch in batches:
-                lattice.expect(batch.column(0).to_pylist(), into)
+                lattice.expect(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float), into)
             found = np.flatnonzero(into)
             yield pa.record_batch([pa.array(found), pa.array(into[found])], names=["piece", "n"])
 
-        sums = counts.where("c > 0").select("word").mapInArrow(expected, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        sums = counts.where("c > 0").select("word", "c").mapInArrow(expected, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         total = np.zeros(len(weights))
         total[list(pieces.values())] = PRIOR
         for row in sums:
             total[row["piece"]] += row["n"]
         with np.errstate(divide="ignore"):
-            weights = np.log(total / total.sum())
-    return pieces, weights
+            weights = np.log(total / (total.sum() + n_texts + PRIOR))
+        end = math.log((n_texts + PRIOR) / (total.sum() + n_texts + PRIOR))
+    return pieces, weights, end
 
 
 def with_paths(counts: DataFrame, pieces: dict[str, int], weights: np.ndarray) -> DataFrame:
@@ -273,12 +273,9 @@ def lattice_scores(docs: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     total, distinct = sums["n"] + n_texts, sums["v"] + (n_texts > 0)
     norm = total + 0.5 * (distinct + 1)
-    gamma = (DISCOUNT * sums["v"] + 0.5) / (total + 1)
-    pieces, weights = fitted(counts, path, rounds)
+    pieces, weights, end = fitted(counts, n_texts, path, rounds)
     c = F.col("c")
-    through_pieces = F.lit(math.log10(gamma)) + F.col("path") / LOG10
-    both = F.log10((c - DISCOUNT) / F.lit(total + 1.0) + F.lit(gamma) * F.exp("path"))
-    scored = with_paths(counts, pieces, weights).select("word", "c", F.log10((c + 0.5) / F.lit(norm)).alias("base"), F.when(c > 0, both).otherwise(through_pieces).alias("score"))
+    scored = with_paths(counts, pieces, weights).select("word", "c", F.log10((c + 0.5) / F.lit(norm)).alias("base"), (F.col("path") / LOG10).alias("score"))
     scored = materialize(scored, "word-scores")
 
     # the lowest count, in eighths of an octave, that at most hot_words words reach
@@ -307,7 +304,7 @@ def lattice_scores(docs: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS
         (F.col("n_hot") + F.coalesce("n_cold", F.lit(0)) + F.lit(int(n_texts > 0))).cast("long").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("hot_base") + F.coalesce("cold_base", F.lit(0.0)) + F.lit(math.log10((n_texts + 0.5) / norm))).alias("base_score"),
-        (F.col("hot_score") + F.coalesce("cold_score", F.lit(0.0)) + F.lit(math.log10((n_texts + 0.5) / (total + 1)))).alias("score"),
+        (F.col("hot_score") + F.coalesce("cold_score", F.lit(0.0)) + F.lit(end / LOG10)).alias("score"),
     )
 
 

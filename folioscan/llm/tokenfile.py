@@ -92,10 +92,10 @@ class TokenFile:
             self._last = k, pa.ipc.read_record_batch(pa.ipc.read_message(data), self.schema)
         return self._last[1]
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of sequence i, without a copy, and its mask."""
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """The ids of sequence i and its mask, both without a copy: an array over the file's numbers, and one over its bits."""
         ids, mask = (c.slice(i % self.rows, 1).flatten() for c in self.batch(i // self.rows).columns)
-        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
+        return ids.to_numpy(), mask
 
     def span(self, at: int, n: int) -> np.ndarray:
         """n ids from position at of the file."""

@@ -5,9 +5,12 @@ ASCII white space, and between an ASCII letter and one of `SAFE` after it, witho
 composes no character over such a cut, lower-casing looks at one character at a time, and the special strings hold
 neither. Capital A to Z may be lowered beforehand where no combining mark and no special string is near. Most pieces recur, so each worker keeps the ids of those it has met, up to `PIECES` of them.
 
-Documents above `HUGE` characters are encoded in chunks of `CHUNK` characters that overlap. Two neighbours are joined
-after the first white space of the overlap, if both give the same tokens, ids and offsets, from there to its last white
-space; if not, or if it has no whole word, the overlap doubles, and where it reaches the whole chunk, the two become one.
+Documents above `HUGE` characters are encoded in chunks of `CHUNK` characters that overlap. Two neighbours are joined at
+a run of `ALIKE` tokens of the overlap that both have, with the same ids and offsets, away from the ends of both. That is
+a stable boundary: pieces are merged by rank within words, where a run of tokens is the encoding of its text if and only
+if each two neighbours are the encoding of theirs; the pairs before the common tokens are proven by the left chunk, those
+after them by the right one. If there is no such run, the overlap doubles, and where it reaches the whole chunk, the two
+become one of twice the length, so that each character is encoded a bounded number of times whatever the text holds.
 
 Defined cases: a null text counts as empty and has no tokens; repeated rows are counted one by one; a text without any
 white space is one piece; an empty table gives an empty result; other columns are not read.
@@ -33,6 +36,7 @@ SAFE = b',.;:!?*#$%&)"'
 PIECES = 600_000
 HUGE, CHUNK, OVERLAP = 32_768, 16_384, 256
 LIMIT = 2048
+ALIKE = 3
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
@@ -140,17 +144,15 @@ def _tokens(tokenizer: Tokenizer, text: str, lo: int, hi: int) -> list[tuple[int
     return [(i, lo + a, lo + b) for i, (a, b) in zip(e.ids, e.offsets, strict=True)]
 
 
-def _joint(text: str, left: list, right: list, lo: int, hi: int) -> int | None:
-    """Where left and right, encodings up to and beyond hi of a text, can be joined in text[lo:hi].
-
-    The words between the first and the last white space of the overlap are whole in both, so their tokens must agree.
-    """
-    white = [i for c in " \t\n\x0b\x0c\r" for i in (text.find(c, lo, hi), text.rfind(c, lo, hi)) if i >= 0]
-    if not white:
-        return None
-    at, stop = min(white) + 1, max(white)
-    sure = [t for t in left if t[1] >= at and t[2] <= stop]
-    return at if sure and sure == [t for t in right if t[1] >= at and t[2] <= stop] else None
+def _joint(left: list, right: list) -> tuple[int, int] | None:
+    """Places in left and right, encodings up to and from beyond a place of a text, of a run of common tokens inside both."""
+    where = {t: k for k, t in enumerate(right[1:], 1)}
+    run = 0
+    for k, t in enumerate(left[:-1]):
+        run = run + 1 if t in where and (not run or where[t] == where[left[k - 1]] + 1) else int(t in where)
+        if run == ALIKE:
+            return k, where[t]
+    return None
 
 
 def resynchronised(tokenizer: Tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
@@ -162,15 +164,17 @@ def resynchronised(tokenizer: Tokenizer, text: str, chunk: int = CHUNK, overlap:
     while hi < n:
         wide, to = overlap, min(n, hi + chunk)
         while True:
-            begin = max(lo, hi - wide)
-            if begin == lo:  # no stable boundary in the whole chunk
-                hi, left = to, _tokens(tokenizer, text, lo, to)
+            begin = hi - wide
+            if begin <= lo:  # no stable boundary in the whole chunk
+                hi = min(n, 2 * hi - lo)
+                left = _tokens(tokenizer, text, lo, hi)
                 break
             right = _tokens(tokenizer, text, begin, to)
-            at = _joint(text, left, right, begin, hi)
+            first = next((k for k in range(len(left) - 1, -1, -1) if left[k][1] < begin), -1) + 1
+            at = _joint(left[first:], right)
             if at is not None:
-                ids += [t[0] for t in left if t[1] < at]
-                left, lo, hi = [t for t in right if t[1] >= at], at, to
+                ids += [t[0] for t in left[: first + at[0]]]
+                left, lo, hi = right[at[1] :], right[at[1]][1], to
                 break
             wide *= 2
     return ids + [t[0] for t in left]
