@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("node").alias("_first"), F.max("node").alias("_last"), F.count("*").alias("n")).where("_first < _last").select("key", "n")
     members = materialize(keys.join(shared, "key"), "tables")
     company = materialize(members.groupBy("node").agg(F.sum("n").alias("w")), "company")
-    hubs = members.join(company, "node").groupBy("key").agg(F.max(F.struct("w", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
+    hubs = members.join(company, "node").groupBy("key").agg(F.max_by("node", "w").alias("hub"))
     stars = materialize(members.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
 
     picked = classes.join(company.select("node"), "node", "left_semi").select("node", F.col("low.doc_id").alias("_id"), F.col("low.digest").alias("_digest"))

@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.llm import textbytes as tb
+from folioscan.llm.common import common_names, known, text_slices
 from folioscan.session import bounded, materialize, table
 
 LENGTH = 100
@@ -49,15 +50,11 @@ PERIOD, COVER = 57, (0, 1, 6, 15, 22, 26, 45, 55)
 GRAM, BEFORE, WIDTH = LENGTH - PERIOD + 1, PERIOD - 1, LENGTH + PERIOD - 1
 #: Names met more often are compared a window a row; others are whole groups of so many rows at most.
 HOT = 20_000
-#: The table of names' bits has 2 to this power at most (64 MB).
-MOST_BITS = 29
-#: Rows that are compared together, unless one name has more; names and rows that a task holds before it passes them on.
-CHUNK, HELD_NAMES, HELD_ROWS = 30_000, 2_000_000, 60_000
+#: Rows that are compared together, unless one name has more; rows that a task holds before it passes them on.
+CHUNK, HELD_ROWS = 30_000, 60_000
 #: Bytes that are broadcast to join them to texts; beyond it that join shuffles the texts.
 BROADCAST_BYTES = 64 << 20
 
-LONG = np.uint64(64)
-
 
 def _hashes_at(buf: np.ndarray, at: np.ndarray | slice, n: int, which: int = 0) -> np.ndarray:
     """A hash of the n bytes from each place."""
@@ -77,6 +74,10 @@ def samples(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (_hashes_at(buf, q, GRAM) if len(q) else np.zeros(0, np.uint64)), rows, q
 
 
+def sample_names(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return samples(buf, offsets)[0]
+
+
 def reach(own: np.ndarray, rows: np.ndarray, q: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the samples `own` those with windows, and how far before the sample they begin, at least and at most."""
     begin, end = offsets[rows[own]], offsets[rows[own] + 1]
@@ -85,89 +86,6 @@ def reach(own: np.ndarray, rows: np.ndarray, q: np.ndarray, offsets: np.ndarray)
     return own[some], nearest[some], farthest[some]
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    buf, offsets = tb.text_bytes(batch.column("text"))
-    for lo, hi in tb.slices(offsets):
-        yield lo, buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-
-
-def _name(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """The names of a task's samples, sorted, in a row for each 2 ** bits-th of them: those met once, and the others with their numbers."""
-    held, n = [], 0
-
-    def put_together() -> pa.RecordBatch:
-        names, count = np.unique(np.concatenate(held), return_counts=True)
-        out: dict[str, list] = {c: [] for c in ("bucket", "once", "more", "times")}
-        edges = np.append(np.searchsorted(names, np.arange(1 << bits, dtype=np.uint64) << (LONG - np.uint64(bits))), len(names))
-        for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            if lo < hi:
-                single = count[lo:hi] == 1
-                for c, v in zip(out, (k, names[lo:hi][single].tobytes(), names[lo:hi][~single].tobytes(), count[lo:hi][~single].tobytes()), strict=True):
-                    out[c].append(v)
-        return pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=list(out))
-
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            for _, buf, offsets in _slices(batch):
-                held.append(samples(buf, offsets)[0])
-                n += len(held[-1])
-                if n > HELD_NAMES:
-                    yield put_together()
-                    held, n = [], 0
-    if held:
-        yield put_together()
-
-
-def _shared(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
-    """Of a partition's names, sorted, those met more than once, and those met more than `hot` times."""
-    held: list[list[np.ndarray]] = [[], [], []]
-    for batch in batches:
-        for k, c in enumerate(("once", "more", "times")):
-            held[k].append(tb.text_bytes(batch.column(c))[0].copy().view(np.int64 if c == "times" else np.uint64))
-    if not held[0]:
-        return
-    once, more, times = map(np.concatenate, held)
-    names = np.sort(np.concatenate((once, more)))
-    begin = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(names) else np.zeros(0, np.int64)
-    names, count = names[begin], np.diff(np.append(begin, len(names)))
-    np.add.at(count, np.searchsorted(names, more), times - 1)
-    own = names[count > 1]
-    yield pa.record_batch([pa.array([own.tobytes()], pa.binary()), pa.array([len(own)]), pa.array([names[count > hot].view(np.int64)], pa.list_(pa.int64()))], names=["names", "n", "hot"])
-
-
-def _bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of 2 ** 16 of 2 ** bits bits, where each name sets the bit of its leading ones."""
-    for batch in batches:
-        names = tb.text_bytes(batch.column("names"))[0].copy().view(np.uint64)
-        at = np.unique(names >> (LONG - np.uint64(bits))).astype(np.int64)
-        blocks, begin = np.unique(at >> 16, return_index=True)
-        out = []
-        for own in np.split(at & 0xFFFF, begin[1:]) if len(blocks) else []:
-            on = np.zeros(1 << 16, bool)
-            on[own] = True
-            out.append(np.packbits(on, bitorder="little").tobytes())
-        yield pa.record_batch([pa.array(blocks, pa.int64()), pa.array(out, pa.binary())], names=["block", "on"])
-
-
-def common_names(texts: DataFrame) -> tuple[np.ndarray, int, DataFrame]:
-    """A table of bits that has those of all names met more than once, the power of two that is its size, and the names (name) met more than HOT times."""
-    spark = texts.sparkSession
-    bits = max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    dealt = texts.mapInArrow(partial(_name, bits=bits), "bucket int, once binary, more binary, times binary").repartition("bucket")
-    shared = materialize(dealt.mapInArrow(partial(_shared, hot=HOT), "names binary, n long, hot array<long>"), "names")
-    n = shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    size = min(MOST_BITS, max(16, (64 * n).bit_length()))
-    table_ = np.zeros(1 << (size - 3), np.uint8)
-    for row in shared.select("names").mapInArrow(partial(_bits, bits=size), "block long, on binary").toLocalIterator():
-        table_[row["block"] << 13 : (row["block"] + 1) << 13] |= np.frombuffer(row["on"], np.uint8)
-    return table_, size, shared.select(F.explode("hot").alias("name"))
-
-
-def _known(names: np.ndarray, table_: np.ndarray, size: int) -> np.ndarray:
-    at = (names >> (LONG - np.uint64(size))).astype(np.int64)
-    return (table_[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
 def _content(buf: np.ndarray, offsets: np.ndarray, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     """The WIDTH bytes around each sample; 0 beyond the ends of its text."""
     padded = np.concatenate((np.zeros(BEFORE, np.uint8), buf, np.zeros(LENGTH, np.uint8)))
@@ -260,9 +178,9 @@ def _windows(shared, hot):
         with np.errstate(over="ignore"):
             for batch in batches:
                 digests = batch.column("digest").to_numpy()
-                for lo, buf, offsets in _slices(batch):
+                for lo, buf, offsets in text_slices(batch):
                     name, rows, q = samples(buf, offsets)
-                    own, nearest, farthest = reach(np.flatnonzero(_known(name, table_, size)), rows, q, offsets)
+                    own, nearest, farthest = reach(np.flatnonzero(known(name, table_, size)), rows, q, offsets)
                     if len(skipped):
                         usual = skipped[np.minimum(np.searchsorted(skipped, name[own]), len(skipped) - 1)] != name[own]
                         own, nearest, farthest = own[usual], nearest[usual], farthest[usual]
@@ -287,9 +205,9 @@ def _hot_windows(shared, hot):
         with np.errstate(over="ignore"):
             for batch in batches:
                 digests = batch.column("digest").to_numpy()
-                for lo, buf, offsets in _slices(batch):
+                for lo, buf, offsets in text_slices(batch):
                     name, rows, q = samples(buf, offsets)
-                    own, nearest, farthest = reach(np.flatnonzero(_known(name, table_, size)), rows, q, offsets)
+                    own, nearest, farthest = reach(np.flatnonzero(known(name, table_, size)), rows, q, offsets)
                     mine = wanted[np.minimum(np.searchsorted(wanted, name[own]), len(wanted) - 1)] == name[own]
                     own, n, first = own[mine], (farthest - nearest + 1)[mine], (q[own] - farthest)[mine]
                     place = np.unique(np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()))
@@ -382,7 +300,7 @@ def _compare(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.Recor
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """doc_id, digest, begins and ends: bytes of each text (doc_id, digest, text) covered by a window that also starts earlier. Spans of several rows may overlap."""
     spark = texts.sparkSession
-    table_, size, hot = common_names(texts)
+    table_, size, hot = common_names(texts, sample_names, HOT)
     hot = np.sort(hot.toArrow().column(0).to_numpy().view(np.uint64))
     shared, skipped = spark.sparkContext.broadcast((table_, size)), spark.sparkContext.broadcast(hot)
     rows = texts.mapInArrow(_windows(shared, skipped), ROWS).repartition("name").sortWithinPartitions("name")

@@ -16,7 +16,7 @@ import pytest
 import regex
 from tokenizers import Tokenizer
 
-from folioscan.llm import chains, decontaminate, latticelm, minhash, mixing, quality, substrings, surrogates, tokenfile, tokens
+from folioscan.llm import chains, common, decontaminate, latticelm, minhash, mixing, quality, substrings, surrogates, tokenfile, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, name string, key string, word string"
@@ -137,8 +137,8 @@ def test_chunks_take_linear_time():
 
 @pytest.mark.parametrize("hot, bits, limit", [(20_000, 29, 1 << 26), (2, 29, 1 << 26), (20_000, 16, 0)])
 def test_repeated_bytes(docs, texts, monkeypatch, hot, bits, limit):
-    for name, value in (("CHUNK", 40), ("HELD_ROWS", 90), ("HELD_NAMES", 900), ("HOT", hot), ("MOST_BITS", bits), ("BROADCAST_BYTES", limit)):
-        monkeypatch.setattr(substrings, name, value)
+    for module, name, value in ((substrings, "CHUNK", 40), (substrings, "HELD_ROWS", 90), (common, "HELD_NAMES", 900), (substrings, "HOT", hot), (common, "MOST_BITS", bits), (substrings, "BROADCAST_BYTES", limit)):
+        monkeypatch.setattr(module, name, value)
     got, seen = by_id(substrings.repeated_bytes(docs)), set()
     for i in sorted(texts):
         data = (texts[i] or "").encode()
