@@ -21,7 +21,7 @@ from folioscan.session import materialize
 #: The table of names' bits has 2 to this power at most (64 MB).
 MOST_BITS = 29
 #: Names that a task holds before it passes them on.
-HELD_NAMES = 2_000_000
+HELD_NAMES = 500_000
 HOT = 20_000
 
 LONG = np.uint64(64)
