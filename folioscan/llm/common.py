@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from folioscan.llm import textbytes as tb
 from folioscan.session import materialize
 
-#: The table of names' bits has 2 to this power at most (64 MB).
-MOST_BITS = 29
+#: The table of names' bits has 2 to this power at most (32 MB).
+MOST_BITS = 28
 #: Names that a task holds before it passes them on.
 HELD_NAMES = 500_000
 HOT = 20_000
@@ -102,7 +102,7 @@ def common_names(texts: DataFrame, sample, hot: int = HOT) -> tuple[np.ndarray,
     dealt = texts.mapInArrow(partial(_name, sample=sample, bits=bits), "bucket int, once binary, more binary, times binary").repartition("bucket")
     shared = materialize(dealt.mapInArrow(partial(_shared, hot=hot), "names binary, n long, hot array<long>"), "names")
     n = shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    size = min(MOST_BITS, max(16, (64 * n).bit_length()))
+    size = min(MOST_BITS, max(16, (32 * n).bit_length()))
     table_ = np.zeros(1 << (size - 3), np.uint8)
     for row in shared.select("names").mapInArrow(partial(_bits, bits=size), "block long, on binary").toLocalIterator():
         table_[row["block"] << 13 : (row["block"] + 1) << 13] |= np.frombuffer(row["on"], np.uint8)
