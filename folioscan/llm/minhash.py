@@ -193,6 +193,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     identity = ["set_a", "set_b", "n_shingles"]
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
     classes = full.groupBy(*identity).agg(F.min(own).alias("low"), F.first("halves").alias("halves"))
+    # dealt out again, as every class becomes many rows
+    classes = classes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "set_a")
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     keys = classes.select(
@@ -201,7 +203,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     shared = keys.groupBy("key").agg(F.min("node").alias("_first"), F.max("node").alias("_last"), F.count("*").alias("n")).where("_first < _last").select("key", "n")
     members = materialize(keys.join(shared, "key"), "tables")
-    company = materialize(members.groupBy("node").agg(F.sum("n").alias("w")), "company")
+    # of classes with equal company the same one is the hub everywhere
+    tie = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / float(1 << 20)
+    company = materialize(members.groupBy("node").agg(F.sum("n").alias("w")).withColumn("w", F.col("w") + tie), "company")
     hubs = members.join(company, "node").groupBy("key").agg(F.max_by("node", "w").alias("hub"))
     stars = materialize(members.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
 
