@@ -59,3 +59,107 @@ def replay(log: DataFrame) -> DataFrame:
     return born.join(changed, "id", "left").select(
         "id", F.col("_born.seq").alias("born_seq"), F.coalesce("_last.seq", "_born.seq").alias("seq"), F.coalesce("_last.state", "_born.state").alias("state"), F.coalesce("n_updates", F.lit(0)).alias("n_updates")
     )
+
+
+def replace_page(rows: DataFrame, page: int, new: DataFrame) -> DataFrame:
+    """rows with those of one page replaced by the rows of new that are on it."""
+    return rows.where(F.col("page_index") != page).unionByName(new.where(F.col("page_index") == page))
+
+
+def page_lists(rows: DataFrame) -> DataFrame:
+    """page_index and the ids on it in the order of seq."""
+    return rows.groupBy("page_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "id"))), lambda x: x["id"]).alias("ids"))
+
+
+def preview(rows: DataFrame) -> DataFrame:
+    """id and the list's label: the type, and a note's first 50 characters or a drawing's number of points (n_points)."""
+    text = F.coalesce("text", F.lit(""))
+    note = F.when(text == "", "(Empty note)").when(F.length(text) > 50, F.concat(F.substring(text, 1, 50), F.lit("..."))).otherwise(text)
+    label = F.when(F.col("type") == "note", note).when(F.col("type") == "drawing", F.concat(F.col("n_points").cast("string"), F.lit(" points"))).otherwise(F.trim(text))
+    return rows.select("id", F.initcap("type").alias("kind"), label.alias("label"))
+
+
+def new_notes(places: DataFrame, color: str) -> DataFrame:
+    """Notes at places (page_index, x, y, text, created_at), with ids from what they are made of: the same on a rerun."""
+    key = F.sha2(F.concat_ws("|", "page_index", "x", "y", F.coalesce("text", F.lit("")), F.unix_millis("created_at")), 256)
+    made = F.concat(F.lit("ann_"), F.unix_millis("created_at").cast("string"), F.lit("_"), F.substring(key, 1, 9))
+    return places.select(made.alias("id"), F.lit("note").alias("type"), F.lit(color).alias("color"), "page_index", "x", "y", F.coalesce("text", F.lit("")).alias("text"), "created_at")
+
+
+# The colours and widths to choose from.
+CATALOG = {
+    "drawing": {"Red": "#E91E63", "Blue": "#2196F3", "Green": "#4CAF50", "Black": "#333333", "Orange": "#FF5722"},
+    "highlight": {"Yellow": "#FFEB3B", "Green": "#4CAF50", "Blue": "#2196F3", "Pink": "#E91E63", "Orange": "#FF5722"},
+    "note": {"Yellow": "#FFEB3B", "Green": "#4CAF50", "Blue": "#2196F3", "Pink": "#E91E63", "Orange": "#FF5722"},
+    "width": {"Thin": "1", "Normal": "2", "Thick": "4", "Extra Thick": "6"},
+}
+
+
+def with_catalog_color(rows: DataFrame) -> DataFrame:
+    """rows (type, color_name) with `color`, that name's value for the type."""
+    values = F.create_map(*[F.lit(x) for kind, own in CATALOG.items() for name, value in own.items() for x in (f"{kind}/{name}", value)])
+    return rows.withColumn("color", values[F.concat_ws("/", "type", "color_name")])
+
+
+def history_entries(log: DataFrame) -> DataFrame:
+    """id, seq, before and after of each change of a log (id, seq, action, state): an addition has no before, a removal no after."""
+    from pyspark.sql import Window
+
+    was = F.lag("state").over(Window.partitionBy("id").orderBy("seq"))
+    return log.select("id", "seq", F.when(F.col("action") != "add", was).alias("before"), F.when(F.col("action") != "remove", F.col("state")).alias("after"))
+
+
+def undone(log: DataFrame) -> DataFrame:
+    """doc, place and change of the changes in force after a log (doc, seq, action, change) of changes, undos and redos, in the order of seq.
+
+    A change clears what may be redone. The log is dealt out by document and sorted; a task goes through it holding the
+    two stacks of one document.
+    """
+    names = ["doc", "place", "change"]
+
+    def fold(batches):
+        import pyarrow as pa
+
+        own, done, back = None, [], []
+        rows: list[list] = [[], [], []]
+
+        def close() -> None:
+            rows[0].extend([own] * len(done))
+            rows[1].extend(range(1, len(done) + 1))
+            rows[2].extend(done)
+
+        for batch in batches:
+            for doc, action, change in zip(*(batch.column(c).to_pylist() for c in ("doc", "action", "change")), strict=True):
+                if doc != own:
+                    close()
+                    own, done, back = doc, [], []
+                if action == "undo":
+                    if done:
+                        back.append(done.pop())
+                elif action == "redo":
+                    if back:
+                        done.append(back.pop())
+                else:
+                    done.append(change)
+                    back = []
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in rows], names=names)
+            rows = [[], [], []]
+        close()
+        yield pa.record_batch([pa.array(x, pa.int64()) for x in rows], names=names)
+
+    ordered = log.repartition("doc").sortWithinPartitions("doc", "seq").select("doc", "action", "change")
+    return ordered.mapInArrow(fold, "doc long, place long, change long")
+
+
+def latest_epoch(results: DataFrame, by: list[str]) -> DataFrame:
+    """Of results (*by, epoch, ...) those of the latest epoch; late ones of earlier epochs go."""
+    last = results.groupBy(*by).agg(F.max("epoch").alias("epoch"))
+    return results.join(last, [*by, "epoch"], "left_semi")
+
+
+def changed_renders(requests: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Of requests (*by, render_key, ...) in their order those whose key differs from the one before."""
+    from pyspark.sql import Window
+
+    was = F.lag("render_key").over(Window.partitionBy(*by).orderBy(order))
+    return requests.withColumn("_was", was).where(~F.col("_was").eqNullSafe(F.col("render_key"))).drop("_was")

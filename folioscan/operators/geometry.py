@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Tolerances of an intersection, in units of the page.
 NEAR_X, NEAR_Y = 8.0, 4.0
+#: Rectangles whose y differ by less are on one line.
+LINE = 4.0
 
 
 def clip(start: Column, end: Column) -> dict[str, Column]:
@@ -63,7 +65,7 @@ def intersecting(a: DataFrame, b: DataFrame, by: list[str], ids: tuple[str, str]
 
 
 def merge(rects: DataFrame, by: list[str], same_y: float = 6.0, same_height: float = 8.0, gap: float = 20.0) -> DataFrame:
-    """Rectangles of each group with neighbours on a line merged, in reading order (y, x).
+    """Rectangles of each group with neighbours on a line merged, in reading order: lines, which are runs of y less than LINE apart, and x.
 
     Each rectangle is compared with the last merged one, whose edges move: an ordered fold over a page's rectangles.
     """
@@ -75,7 +77,10 @@ def merge(rects: DataFrame, by: list[str], same_y: float = 6.0, same_height: flo
         f" 'height', greatest({last}.height, r.height))"
     )
     fold = f"aggregate(_r, CAST(array() AS array<struct<x: double, y: double, width: double, height: double>>), (a, r) -> CASE WHEN {meets} THEN concat(slice(a, 1, size(a) - 1), array({joined})) ELSE concat(a, array({rect})) END)"
-    page = rects.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("y", "x", "width", "height"))).alias("_r"))
+    above = F.lag("y").over(Window.partitionBy(*by).orderBy("y"))
+    lined = rects.withColumn("_new", F.coalesce((F.col("y") - above >= LINE).cast("int"), F.lit(0)))
+    lined = lined.withColumn("_line", F.sum("_new").over(Window.partitionBy(*by).orderBy("y")))
+    page = lined.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_line", "x", "width", "y", "height"))).alias("_r"))
     return page.select(*by, F.posexplode(F.expr(fold)).alias("line", "m")).select(*by, "line", "m.*")
 
 
@@ -134,8 +139,9 @@ def anchors_of_rects(items: DataFrame, rects: DataFrame) -> DataFrame:
 
     The first and the last rectangle in reading order give the offsets in the first and the last item touched.
     """
-    ends = rects.groupBy("doc_id", "item_id").agg(F.min(F.struct("y", "x")).alias("_a"), F.max(F.struct("y", "x", "width")).alias("_b"))
-    ends = ends.select("doc_id", "item_id", F.col("_a.x").alias("_x1"), (F.col("_b.x") + F.col("_b.width")).alias("_x2"))
+    whole = Window.partitionBy("doc_id", "item_id")
+    ranked = rects.withColumns({"_top": F.col("y") < F.min("y").over(whole) + LINE, "_low": F.col("y") > F.max("y").over(whole) - LINE})
+    ends = ranked.groupBy("doc_id", "item_id").agg(F.min(F.when(F.col("_top"), F.col("x"))).alias("_x1"), F.max_by(F.col("x") + F.col("width"), F.when(F.col("_low"), F.struct("x", "width"))).alias("_x2"))
     box = rects.select("doc_id", "item_id", *[F.col(c).alias(f"_{c}") for c in ("x", "y", "width", "height")])
     near = (F.col("x") < F.col("_x") + F.col("_width") + NEAR_X) & (F.col("x") + F.col("width") > F.col("_x") - NEAR_X) & (F.col("y") < F.col("_y") + F.col("_height") + NEAR_Y) & (F.col("y") + F.col("height") > F.col("_y") - NEAR_Y)
     touched = box.join(items, "doc_id").where(near).groupBy("doc_id", "item_id").agg(
@@ -145,3 +151,104 @@ def anchors_of_rects(items: DataFrame, rects: DataFrame) -> DataFrame:
     first = both.select("doc_id", "item_id", "_x1", "_x2", "e", "s.*").withColumnRenamed("item_index", "start_item").withColumn("start_offset", offset_at(F.col("_x1"), True))
     last = first.select("doc_id", "item_id", "start_item", "start_offset", "_x2", "e.*")
     return last.select("doc_id", "item_id", "start_item", "start_offset", F.col("item_index").alias("end_item"), offset_at(F.col("_x2"), False).alias("end_offset"))
+
+
+def spans(items: DataFrame, scale: float) -> DataFrame:
+    """The items that show something and have a size, at scale 1."""
+    shown = (F.trim("text") != "") & (F.col("width") != 0) & (F.col("height") != 0)
+    return rescale(items.where(shown), 1 / scale)
+
+
+def rescale_path(paths: DataFrame, factor: float) -> DataFrame:
+    """Paths (path: array of x, y) by a factor."""
+    return paths.withColumn("path", F.transform("path", lambda p: F.struct((p["x"] * factor).alias("x"), (p["y"] * factor).alias("y"))))
+
+
+def selected(rects: DataFrame, width: Column, height: Column) -> DataFrame:
+    """Rectangles of more than one unit each way that overlap a layer of that size, edges included."""
+    inside = (F.col("x") + F.col("width") >= 0) & (F.col("x") <= width) & (F.col("y") + F.col("height") >= 0) & (F.col("y") <= height)
+    return rects.where((F.col("width") > 1) & (F.col("height") > 1) & inside)
+
+
+def highlight_rects(anchored: DataFrame, legacy: DataFrame, by: list[str]) -> DataFrame:
+    """The anchored rectangles of each highlight, or its legacy ones where it has none of those."""
+    names = [*by, "x", "y", "width", "height"]
+    return anchored.select(names).unionByName(legacy.join(anchored.select(by).distinct(), by, "left_anti").select(names))
+
+
+def note_y(notes: DataFrame, items: DataFrame, by: list[str]) -> DataFrame:
+    """notes (*by, note_id, y, item_index) with `at`: the middle of the item that a note is anchored to, else its own y, else 16."""
+    middle = items.select(*by, "item_index", (F.col("y") + F.col("height") / 2).alias("_middle"))
+    return notes.join(middle, [*by, "item_index"], "left").withColumn("at", F.coalesce("_middle", "y", F.lit(16.0))).drop("_middle")
+
+
+def place_notes(notes: DataFrame, items: DataFrame, by: list[str], height: float) -> DataFrame:
+    """Notes without an anchor get that of the nearest item, and their y is kept 16 off the page's edges."""
+    free = notes.where("item_index IS NULL")
+    found = nearest(items, free.select(*by, F.col("note_id").alias("point_id"), "y"), by).select(*by, F.col("point_id").alias("note_id"), F.col("item_index").alias("_near"))
+    clamped = F.greatest(F.lit(16.0), F.least(F.lit(height - 16), F.col("y")))
+    placed = free.drop("item_index").join(found, [*by, "note_id"], "left").withColumn("y", clamped).withColumnRenamed("_near", "item_index")
+    return notes.where("item_index IS NOT NULL").unionByName(placed.select(notes.columns))
+
+
+#: How far a hit may be from a note's middle and from a drawing's points, on either axis.
+NOTE_HALF, POINT_NEAR = 12.0, 8.0
+
+
+def hit_shapes(rects: DataFrame, notes: DataFrame, points: DataFrame, probes: DataFrame, by: list[str], cell: float = 64.0) -> DataFrame:
+    """For each probe (*by, point_id, px, py) the last annotation (by seq) that it hits.
+
+    Highlights (seq, x, y, width, height) are hit inside, edges included; notes (seq, x, y) within a box around their
+    middle; drawings (seq, x, y: a row a point) near a point. All become boxes, which are dealt to grid cells.
+    """
+    around = lambda df, d: df.select(*by, "seq", (F.col("x") - d).alias("x1"), (F.col("y") - d).alias("y1"), (F.col("x") + d).alias("x2"), (F.col("y") + d).alias("y2"))
+    boxes = rects.select(*by, "seq", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("width")).alias("x2"), (F.col("y") + F.col("height")).alias("y2"))
+    boxes = boxes.unionByName(around(notes, NOTE_HALF)).unionByName(around(points, POINT_NEAR))
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
+    dealt = boxes.withColumn("_cx", cells("x1", "x2")).withColumn("_cy", cells("y1", "y2"))
+    asked = probes.withColumns({"_cx": F.floor(F.col("px") / cell), "_cy": F.floor(F.col("py") / cell)})
+    inside = F.col("px").between(F.col("x1"), F.col("x2")) & F.col("py").between(F.col("y1"), F.col("y2"))
+    return asked.join(dealt, [*by, "_cx", "_cy"]).where(inside).groupBy(*by, "point_id").agg(F.max("seq").alias("seq"))
+
+
+def box_selection(items: DataFrame, boxes: DataFrame, by: list[str]) -> DataFrame:
+    """For each box (*by, box_id, x1, y1, x2, y2: any two corners) the bounds of the items that it overlaps and their text, or the box itself and no text."""
+    low = {f"_{c}": F.least(f"{c}1", f"{c}2") for c in "xy"}
+    high = {f"_{c}{c}": F.greatest(f"{c}1", f"{c}2") for c in "xy"}
+    asked = boxes.select(*by, "box_id", *[v.alias(k) for k, v in (low | high).items()])
+    over = (F.col("x") + F.col("width") > F.col("_x")) & (F.col("x") < F.col("_xx")) & (F.col("y") + F.col("height") > F.col("_y")) & (F.col("y") < F.col("_yy"))
+    found = asked.join(items, by).where(over).groupBy(*by, "box_id").agg(
+        F.min("x").alias("fx"), F.min("y").alias("fy"), F.max(F.col("x") + F.col("width")).alias("fr"), F.max(F.col("y") + F.col("height")).alias("fb"), F.array_sort(F.collect_list(F.struct("item_index", "text"))).alias("t")
+    )
+    text = F.array_join(F.transform("t", lambda t: t["text"]), " ")
+    x, y = F.coalesce("fx", "_x"), F.coalesce("fy", "_y")
+    return asked.join(found, [*by, "box_id"], "left").select(*by, "box_id", x.alias("x"), y.alias("y"), (F.coalesce("fr", "_xx") - x).alias("width"), (F.coalesce("fb", "_yy") - y).alias("height"), text.alias("text"))
+
+
+def drawing_bounds(points: DataFrame, *by: str) -> DataFrame:
+    """The bounding rectangle and the number of points of each drawing of two points at least."""
+    boxes = points.groupBy(*by).agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x")).alias("width"), (F.max("y") - F.min("y")).alias("height"), F.count("*").alias("n_points"))
+    return boxes.where("n_points >= 2")
+
+
+def image_bounds(images: DataFrame, width: float, height: float) -> DataFrame:
+    """image_id, x, y, width, height in whole pixels of images given by three corners (x1, y1 .. x3, y3) as shares of a canvas; empty ones go."""
+    side = lambda c, size: (F.greatest(F.lit(0), F.floor(F.least(*[F.col(f"{c}{k}") * size for k in (1, 2, 3)]))), F.least(F.lit(size).cast("long"), F.ceil(F.greatest(*[F.col(f"{c}{k}") * size for k in (1, 2, 3)]))))
+    (x1, x2), (y1, y2) = side("x", width), side("y", height)
+    return images.select("image_id", x1.alias("x"), y1.alias("y"), (x2 - x1).alias("width"), (y2 - y1).alias("height")).where("width > 0 AND height > 0")
+
+
+def current_page(pages: DataFrame, middle: Column) -> DataFrame:
+    """view_id and the first page (view_id, page_index, top, bottom) that spans the middle of the view."""
+    return pages.where((F.col("top") < middle) & (F.col("bottom") > middle)).groupBy("view_id").agg(F.min("page_index").alias("page_index"))
+
+
+def selection_anchor(items: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The anchor of each selection (doc_id, item_id, from_item, from_offset, to_item, to_offset) from the items with text that it touches: offsets within the first and the last of them."""
+    inside = ranges.join(items.where("text <> ''"), "doc_id").where("item_index BETWEEN from_item AND to_item")
+    a = F.when(F.col("item_index") == F.col("from_item"), F.least("from_offset", F.length("text"))).otherwise(0)
+    b = F.when(F.col("item_index") == F.col("to_item"), F.least("to_offset", F.length("text"))).otherwise(F.length("text"))
+    segments = inside.select("doc_id", "item_id", "item_index", a.alias("a"), b.alias("b")).where("b > a")
+    return segments.groupBy("doc_id", "item_id").agg(
+        F.min("item_index").alias("start_item"), F.min_by("a", "item_index").alias("start_offset"), F.max("item_index").alias("end_item"), F.max_by("b", "item_index").alias("end_offset")
+    )

@@ -162,3 +162,78 @@ SELECT doc_id, page_index, current_page, abs(page_index - current_page) <= 2 AS
     "page_text": f"WITH {_LINES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY item_index) - 1)::INTEGER AS seq, text, 0.0::DOUBLE AS x, (item_index * 14)::DOUBLE AS y FROM i WHERE text <> ''",
     **{k: _CODEC for k in ("codec_hex", "codec_ascii85", "codec_run_length", "codec_lzw", "codec_flate", "codec_png")},
 }
+
+_UNEVEN = f"{_RECTS}, e AS (SELECT * REPLACE (y + ((width - 1)::BIGINT % 2) * 1.5 AS y), y AS base FROM r)"
+
+
+def _merged(gap: int) -> str:
+    return f"""WITH {_UNEVEN},
+o AS (SELECT *, max(x + width) OVER (PARTITION BY l_orderkey, base ORDER BY x, width, y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS edge FROM e),
+s AS (SELECT *, sum(CASE WHEN edge IS NULL OR x > edge + {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey, base ORDER BY x, width, y ROWS UNBOUNDED PRECEDING) AS island FROM o),
+m AS (SELECT l_orderkey, base, island, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(height) AS height FROM s GROUP BY ALL)
+SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY base, x) - 1)::BIGINT AS line, x, y, width, height FROM m"""
+
+
+_NOTES = "n AS (SELECT o_orderkey AS l_orderkey, o_custkey AS note_id, (o_custkey % 60)::DOUBLE AS y, CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 9 END AS item_index FROM orders)"
+_LOG = "g AS (SELECT user_id AS id, ts, event_id, value AS state, CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'remove' ELSE 'update' END AS action FROM events WHERE event_type IN ('signup', 'click', 'view', 'purchase', 'error'))"
+_CATALOG = ", ".join(
+    f"('{kind}', '{name}', '{value}')"
+    for kinds, own in (
+        (("drawing",), "Red #E91E63 Blue #2196F3 Green #4CAF50 Black #333333 Orange #FF5722"),
+        (("highlight", "note"), "Yellow #FFEB3B Green #4CAF50 Blue #2196F3 Pink #E91E63 Orange #FF5722"),
+        (("width",), "Thin 1 Normal 2 Thick 4"),
+    )
+    for kind in kinds
+    for name, value in zip(own.split(" ")[::2], own.split(" ")[1::2], strict=True)
+)
+_SCORE = f"""{_TEXT}, s AS (SELECT t.doc_id, t.item_id, {_c('t.text')} AS actual, quote FROM t JOIN q USING (item_id)),
+z AS (SELECT doc_id, item_id, CASE WHEN actual = '' THEN 0.0::DOUBLE WHEN actual = quote THEN 1.0::DOUBLE WHEN contains(actual, quote) OR contains(quote, actual) THEN least(length(actual), length(quote))::DOUBLE / greatest(length(actual), length(quote)) END AS score FROM s)"""
+
+ORACLES |= {
+    "rect_merge_uneven": _merged(20),
+    "rect_merge_selection": _merged(6),
+    "rect_selected": f"WITH {_RECTS} SELECT * FROM r WHERE width > 1 AND height > 1 AND x + width >= 0 AND x <= 250 AND y + height >= 0 AND y <= 14",
+    "rect_rescaled": f"WITH {_RECTS} SELECT l_orderkey, seq, x * 1.5 AS x, y * 1.5 AS y, width * 1.5 AS width, height * 1.5 AS height FROM r",
+    "path_rescaled": f"WITH {_RECTS} SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY seq, x, y, width) - 1 AS k, x * 0.25 AS x, y * 0.25 AS y FROM r",
+    "text_spans": f"WITH {_LINES} SELECT doc_id, item_index, 0.0::DOUBLE AS x, round(item_index * 14 / 1.5::DOUBLE, 6) AS y, round(length(text) * 6 / 1.5::DOUBLE, 6) AS width, 8.0::DOUBLE AS height FROM i WHERE trim(text) <> ''",
+    "highlight_rects": f"""WITH {_RECTS}, a AS (SELECT * FROM r WHERE l_orderkey % 3 = 0 AND width > 20)
+SELECT l_orderkey, x, y, width, height FROM a UNION ALL SELECT l_orderkey, x, y, width, height FROM r WHERE width <= 20 AND l_orderkey NOT IN (SELECT l_orderkey FROM a)""",
+    "note_y": f"WITH {_RECTS}, {_NOTES} SELECT n.l_orderkey, note_id, coalesce(r.y + r.height / 2, n.y, 16) AS at FROM n LEFT JOIN r ON r.l_orderkey = n.l_orderkey AND r.seq = n.item_index",
+    "note_placed": f"""WITH {_RECTS}, {_NOTES}, k AS (SELECT n.l_orderkey, note_id, n.y, seq, row_number() OVER (PARTITION BY n.l_orderkey, note_id ORDER BY abs(r.y + r.height / 2 - n.y), seq) AS k FROM n LEFT JOIN r USING (l_orderkey) WHERE item_index IS NULL)
+SELECT l_orderkey, note_id, y, item_index FROM n WHERE item_index IS NOT NULL UNION ALL SELECT l_orderkey, note_id, greatest(16, least(34, y)), seq FROM k WHERE k = 1""",
+    "hit_shapes": f"""WITH {_RECTS}, p AS (SELECT o_orderkey AS l_orderkey, o_custkey AS point_id, (o_custkey % 500)::DOUBLE AS px, (o_custkey % 40)::DOUBLE AS py FROM orders)
+SELECT l_orderkey, point_id, max(seq) AS seq FROM r JOIN p USING (l_orderkey)
+WHERE CASE seq % 3 WHEN 0 THEN px BETWEEN x AND x + width AND py BETWEEN y AND y + height WHEN 1 THEN abs(px - x) <= 12 AND abs(py - y) <= 12 ELSE abs(px - x) <= 8 AND abs(py - y) <= 8 END GROUP BY ALL""",
+    "box_selection": f"""WITH {_RECTS}, b AS (SELECT o_orderkey AS l_orderkey, o_custkey AS box_id, least(o_custkey % 500, o_custkey % 300)::DOUBLE AS a, greatest(o_custkey % 500, o_custkey % 300)::DOUBLE AS b, (o_custkey % 20)::DOUBLE AS c, 30.0::DOUBLE AS d FROM orders),
+f AS (SELECT l_orderkey, box_id, min(x) AS x, min(y) AS y, max(x + width) AS r, max(y + height) AS l, string_agg('w' || seq, ' ' ORDER BY seq) AS text FROM b JOIN r USING (l_orderkey) WHERE x + width > a AND x < b AND y + height > c AND y < d GROUP BY ALL)
+SELECT b.l_orderkey, b.box_id, coalesce(x, a) AS x, coalesce(y, c) AS y, coalesce(r, b) - coalesce(x, a) AS width, coalesce(l, d) - coalesce(y, c) AS height, text FROM b LEFT JOIN f USING (l_orderkey, box_id)""",
+    "drawing_bounds": f"WITH {_RECTS} SELECT l_orderkey, min(x) AS x, min(y) AS y, max(x) - min(x) AS width, max(y) - min(y) AS height, count(*) AS n_points FROM r GROUP BY ALL HAVING count(*) > 1",
+    "image_bounds": """WITH i AS (SELECT p_partkey AS image_id, [(p_partkey * k % 16) / 16.0::DOUBLE - 0.125 for k in [1, 2, 3]] AS xs, [(p_partkey * k % 16) / 16.0::DOUBLE - 0.125 for k in [4, 5, 6]] AS ys FROM part),
+b AS (SELECT image_id, greatest(0, floor(list_min(xs) * 640))::BIGINT AS x, least(640, ceil(list_max(xs) * 640))::BIGINT AS r, greatest(0, floor(list_min(ys) * 480))::BIGINT AS y, least(480, ceil(list_max(ys) * 480))::BIGINT AS l FROM i)
+SELECT image_id, x, y, r - x AS width, l - y AS height FROM b WHERE r > x AND l > y""",
+    "current_page": """SELECT o_orderkey AS view_id, min(k)::INTEGER AS page_index FROM orders, range(5) t(k) WHERE k * 300 - o_custkey % 900 < 200 AND k * 300 + 290 - o_custkey % 900 > 200 GROUP BY ALL""",
+    "selection_anchor": f"""WITH {_LINES}, k AS (SELECT doc_id, coalesce(doc_id, 0) AS k FROM documents),
+s AS (SELECT k.doc_id, item_index, CASE WHEN item_index = k % 3 THEN least(k % 7, length(text)) ELSE 0 END AS a, CASE WHEN item_index = k % 3 + k % 5 THEN least(k % 11, length(text)) ELSE length(text) END AS b
+  FROM k JOIN i USING (doc_id) WHERE text <> '' AND item_index BETWEEN k % 3 AND k % 3 + k % 5)
+SELECT doc_id, 0 AS item_id, min(item_index) AS start_item, arg_min(a, item_index)::INTEGER AS start_offset, max(item_index) AS end_item, arg_max(b, item_index)::INTEGER AS end_offset FROM s WHERE b > a GROUP BY ALL""",
+    "ann_page_replaced": f"WITH {_ANN} SELECT * FROM a WHERE page_index <> 3 UNION ALL SELECT * REPLACE ('new' AS text) FROM a WHERE page_index = 3 AND seq % 2 = 0",
+    "ann_page_lists": f"WITH {_ANN} SELECT page_index, string_agg(id, ',' ORDER BY seq) AS ids FROM a GROUP BY ALL",
+    "ann_preview": f"""WITH {_ANN} SELECT id, upper(type[1]) || type[2:] AS kind, CASE WHEN type = 'drawing' THEN (seq % 40) || ' points' WHEN type = 'highlight' THEN trim(coalesce(text, ''))
+  WHEN coalesce(text, '') = '' THEN '(Empty note)' WHEN length(text) > 50 THEN text[:50] || '...' ELSE text END AS label FROM a""",
+    "ann_notes_made": """SELECT 'ann_' || (epoch_us(ts::TIMESTAMP) // 1000) || '_' || sha256(concat_ws('|', user_id % 10, event_id % 600, event_id % 800, coalesce(event_type, ''), (epoch_us(ts::TIMESTAMP) // 1000)))[:9] AS id, 'note' AS type, '#FFEB3B' AS color,
+  user_id % 10 AS page_index, event_id % 600 AS x, event_id % 800 AS y, coalesce(event_type, '') AS text FROM events""",
+    "ann_catalog": f"""WITH {_ANN}, c(kind, name, value) AS (VALUES {_CATALOG}), n AS (SELECT id, CASE WHEN seq % 10 = 0 THEN 'width' ELSE type END AS type, ['Red', 'Green', 'Pink', 'Thick'][seq % 4 + 1] AS color_name FROM a)
+SELECT id, type, color_name, value AS color FROM n LEFT JOIN c ON kind = type AND name = color_name""",
+    "history_entries": f"WITH {_LOG} SELECT id, event_id, CASE WHEN action <> 'add' THEN lag(state) OVER (PARTITION BY id ORDER BY ts, event_id) END AS before, CASE WHEN action <> 'remove' THEN state END AS after FROM g",
+    "history_undone": """WITH RECURSIVE e AS (SELECT user_id AS doc, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+s AS (SELECT DISTINCT doc, 0::BIGINT AS k, []::BIGINT[] AS u, []::BIGINT[] AS r FROM e UNION ALL
+  SELECT s.doc, e.k, CASE WHEN event_type = 'error' THEN list_slice(u, 1, len(u) - 1) WHEN event_type = 'signup' THEN CASE WHEN len(r) > 0 THEN list_append(u, r[len(r)]) ELSE u END ELSE list_append(u, event_id) END,
+    CASE WHEN event_type = 'error' THEN CASE WHEN len(u) > 0 THEN list_append(r, u[len(u)]) ELSE r END WHEN event_type = 'signup' THEN list_slice(r, 1, len(r) - 1) ELSE [] END
+  FROM s JOIN e ON e.doc = s.doc AND e.k = s.k + 1),
+f AS (SELECT doc, arg_max(u, k) AS u FROM s GROUP BY doc)
+SELECT doc, unnest(generate_series(1, len(u))) AS place, unnest(u) AS change FROM f WHERE len(u) > 0""",
+    "session_latest": "SELECT user_id, epoch, event_id FROM (SELECT user_id, event_id % 4 AS epoch, event_id, max(event_id % 4) OVER (PARTITION BY user_id) AS last FROM events) WHERE epoch = last",
+    "render_changed": "SELECT user_id, event_id, event_type AS render_key FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events) WHERE was IS DISTINCT FROM event_type",
+    "anchor_stands": f"""WITH {_EXACT.replace('x AS MATERIALIZED', 'w AS MATERIALIZED')}, x AS (SELECT * REPLACE (greatest(start_item, end_item - item_id % 3)::INTEGER AS end_item) FROM w), {_SCORE}
+SELECT w.doc_id, w.item_id, CASE WHEN score IS NOT NULL AND (score >= 0.92 OR (w.item_id % 5 > 0 AND 1.0 <= score + 0.03)) THEN 'current' ELSE 'recovered' END AS stands FROM w LEFT JOIN z USING (doc_id, item_id)""",
+}

@@ -238,6 +238,142 @@ def codec_png(spark: SparkSession, sf: str) -> DataFrame:
     back = codecs.apply(sized, "data", [lambda x: codecs.png_encode(x, 64), lambda x: codecs.png_decode(x, 64)])
     return _digest(back.select("doc_id", F.expr("substring(data, 1, n)").alias("data")))
 
+def _uneven(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rectangles, with y off by 1.5 for half of them."""
+    return _rects(spark, sf).withColumn("y", F.col("y") + (F.col("width") - 1) % 2 * 1.5)
+
+
+def rect_merge_uneven(spark: SparkSession, sf: str) -> DataFrame:
+    return geometry.merge(_uneven(spark, sf), ["l_orderkey"]).select("l_orderkey", F.col("line").cast("long").alias("line"), "x", "y", "width", "height")
+
+
+def rect_merge_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return geometry.merge(_uneven(spark, sf), ["l_orderkey"], 4.0, 6.0, 6.0).select("l_orderkey", F.col("line").cast("long").alias("line"), "x", "y", "width", "height")
+
+
+def rect_selected(spark: SparkSession, sf: str) -> DataFrame:
+    return geometry.selected(_rects(spark, sf), F.lit(250.0), F.lit(14.0)).select("l_orderkey", "seq", "x", "y", "width", "height")
+
+
+def rect_rescaled(spark: SparkSession, sf: str) -> DataFrame:
+    return geometry.rescale(_rects(spark, sf), 1.5)
+
+
+def path_rescaled(spark: SparkSession, sf: str) -> DataFrame:
+    paths = _rects(spark, sf).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y", "width"))).alias("p"))
+    paths = paths.select("l_orderkey", F.transform("p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("path"))
+    return geometry.rescale_path(paths, 0.25).select("l_orderkey", F.posexplode("path").alias("k", "p")).select("l_orderkey", F.col("k").cast("long").alias("k"), "p.x", "p.y")
+
+
+def text_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return geometry.spans(_items(spark, sf), 1.5).select("doc_id", "item_index", *[F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")])
+
+
+def highlight_rects(spark: SparkSession, sf: str) -> DataFrame:
+    rects = _rects(spark, sf)
+    return geometry.highlight_rects(rects.where("l_orderkey % 3 = 0 AND width > 20"), rects.where("width <= 20"), ["l_orderkey"])
+
+
+def _notes(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("o_custkey")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), key.alias("note_id"), (key % 60).cast("double").alias("y"), F.when(key % 4 > 0, key % 9).alias("item_index"))
+
+
+def note_y(spark: SparkSession, sf: str) -> DataFrame:
+    items = _rects(spark, sf).withColumnRenamed("seq", "item_index")
+    return geometry.note_y(_notes(spark, sf), items, ["l_orderkey"]).select("l_orderkey", "note_id", "at")
+
+
+def note_placed(spark: SparkSession, sf: str) -> DataFrame:
+    items = _rects(spark, sf).withColumnRenamed("seq", "item_index")
+    return geometry.place_notes(_notes(spark, sf), items, ["l_orderkey"], 50.0).select("l_orderkey", "note_id", "y", "item_index")
+
+
+def hit_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Highlights, notes and drawings by the line's number modulo 3."""
+    rects = _rects(spark, sf)
+    probes = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("point_id"), (F.col("o_custkey") % 500).cast("double").alias("px"), (F.col("o_custkey") % 40).cast("double").alias("py"))
+    return geometry.hit_shapes(rects.where("seq % 3 = 0"), rects.where("seq % 3 = 1"), rects.where("seq % 3 = 2"), probes, ["l_orderkey"])
+
+
+def box_selection(spark: SparkSession, sf: str) -> DataFrame:
+    items = _rects(spark, sf).withColumn("text", F.concat(F.lit("w"), F.col("seq"))).withColumnRenamed("seq", "item_index")
+    key = F.col("o_custkey")
+    boxes = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), key.alias("box_id"), (key % 500).cast("double").alias("x1"), F.lit(30.0).alias("y1"), (key % 300).cast("double").alias("x2"), (key % 20).cast("double").alias("y2"))
+    return geometry.box_selection(items, boxes, ["l_orderkey"])
+
+
+def drawing_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    return geometry.drawing_bounds(_rects(spark, sf), "l_orderkey")
+
+
+def image_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    part = lambda k, n: (F.col("p_partkey") * k % n) / n
+    images = table(spark, sf, "part").select(F.col("p_partkey").alias("image_id"), *[(part(k + 3 * i, 16) - 0.125).alias(f"{c}{k}") for i, c in enumerate("xy") for k in (1, 2, 3)])
+    return geometry.image_bounds(images, 640.0, 480.0)
+
+
+def current_page(spark: SparkSession, sf: str) -> DataFrame:
+    views = table(spark, sf, "orders").select(F.col("o_orderkey").alias("view_id"), (F.col("o_custkey") % 900).cast("double").alias("scroll"))
+    pages = views.withColumn("page_index", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("view_id", "page_index", (F.col("page_index") * 300 - F.col("scroll")).alias("top"), (F.col("page_index") * 300 + 290 - F.col("scroll")).alias("bottom"))
+    return geometry.current_page(pages, F.lit(200.0))
+
+
+def selection_anchor(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    key = F.coalesce("doc_id", F.lit(0))
+    ranges = docs.select("doc_id", F.lit(0).alias("item_id"), (key % 3).cast("int").alias("from_item"), (key % 7).cast("int").alias("from_offset"), (key % 3 + key % 5).cast("int").alias("to_item"), (key % 11).cast("int").alias("to_offset"))
+    return geometry.selection_anchor(text_items(docs), ranges)
+
+
+def ann_page_replaced(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _annotations(spark, sf)
+    return annotations.replace_page(rows, 3, rows.where("seq % 2 = 0").withColumn("text", F.lit("new")))
+
+
+def ann_page_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return annotations.page_lists(_annotations(spark, sf)).select("page_index", F.array_join("ids", ",").alias("ids"))
+
+
+def ann_preview(spark: SparkSession, sf: str) -> DataFrame:
+    return annotations.preview(_annotations(spark, sf).withColumn("n_points", F.col("seq") % 40))
+
+
+def ann_notes_made(spark: SparkSession, sf: str) -> DataFrame:
+    places = table(spark, sf, "events").select((F.col("user_id") % 10).alias("page_index"), (F.col("event_id") % 600).alias("x"), (F.col("event_id") % 800).alias("y"), F.col("event_type").alias("text"), F.col("ts").cast("timestamp").alias("created_at"))
+    return annotations.new_notes(places, "#FFEB3B").select("id", "type", "color", "page_index", "x", "y", "text")
+
+
+def ann_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in ("Red", "Green", "Pink", "Thick")])
+    rows = _annotations(spark, sf).select("id", F.when(F.col("seq") % 10 == 0, "width").otherwise(F.col("type")).alias("type"), names[(F.col("seq") % 4).cast("int")].alias("color_name"))
+    return annotations.with_catalog_color(rows)
+
+
+def history_entries(spark: SparkSession, sf: str) -> DataFrame:
+    return annotations.history_entries(changes.change_log(table(spark, sf, "events"))).select("id", F.col("seq.event_id").alias("event_id"), "before", "after")
+
+
+def history_undone(spark: SparkSession, sf: str) -> DataFrame:
+    action = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("change")
+    return annotations.undone(table(spark, sf, "events").select(F.col("user_id").alias("doc"), F.struct("ts", "event_id").alias("seq"), action.alias("action"), F.col("event_id").alias("change")))
+
+
+def session_latest(spark: SparkSession, sf: str) -> DataFrame:
+    return annotations.latest_epoch(table(spark, sf, "events").select("user_id", (F.col("event_id") % 4).alias("epoch"), "event_id"), ["user_id"])
+
+
+def render_changed(spark: SparkSession, sf: str) -> DataFrame:
+    return annotations.changed_renders(table(spark, sf, "events").select("user_id", "event_id", F.col("event_type").alias("render_key")), ["user_id"], "event_id")
+
+
+def anchor_stands(spark: SparkSession, sf: str) -> DataFrame:
+    """Which anchor is to stand, where the current one is from quotes that miss their end and the recovered one is exact."""
+    docs, quotes, found = _anchors(spark, sf)
+    current = anchors.scores(docs, found.withColumn("end_item", F.greatest("start_item", F.col("end_item") - F.col("item_id") % 3)), quotes).withColumn("has_rects", F.col("item_id") % 5 > 0)
+    return anchors.reanchor(current, anchors.scores(docs, found, quotes))
+
+
 
 QUERIES = {
     "text_items": text_items_,
@@ -277,4 +413,29 @@ QUERIES = {
     "codec_lzw": _round_trip(codecs.lzw_encode, codecs.lzw_decode),
     "codec_flate": _round_trip(zlib.compress, codecs.flate_decode),
     "codec_png": codec_png,
+    "rect_merge_uneven": rect_merge_uneven,
+    "rect_merge_selection": rect_merge_selection,
+    "rect_selected": rect_selected,
+    "rect_rescaled": rect_rescaled,
+    "path_rescaled": path_rescaled,
+    "text_spans": text_spans,
+    "highlight_rects": highlight_rects,
+    "note_y": note_y,
+    "note_placed": note_placed,
+    "hit_shapes": hit_shapes,
+    "box_selection": box_selection,
+    "drawing_bounds": drawing_bounds,
+    "image_bounds": image_bounds,
+    "current_page": current_page,
+    "selection_anchor": selection_anchor,
+    "ann_page_replaced": ann_page_replaced,
+    "ann_page_lists": ann_page_lists,
+    "ann_preview": ann_preview,
+    "ann_notes_made": ann_notes_made,
+    "ann_catalog": ann_catalog,
+    "history_entries": history_entries,
+    "history_undone": history_undone,
+    "session_latest": session_latest,
+    "render_changed": render_changed,
+    "anchor_stands": anchor_stands,
 }
