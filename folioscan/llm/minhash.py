@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from folioscan.llm import textbytes as tb
 from folioscan.llm.components import connected
-from folioscan.session import bounded, materialize, table
+from folioscan.session import bounded, materialize, small_batches, table
 
 SHINGLE = 5
 SIMILAR = (75, 100)
@@ -188,7 +188,8 @@ def _identified(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, digest, n_shingles, component_id, kept and first for each row of docs; first: the component's first document, by doc_id (nulls last) and digest."""
     texts = _identified(docs)
-    signed = materialize(texts.mapInArrow(_sign, "doc_id long, digest long, n_shingles long, set_a long, set_b long, halves array<long>"), "signatures")
+    with small_batches(docs.sparkSession):
+        signed = materialize(texts.mapInArrow(_sign, "doc_id long, digest long, n_shingles long, set_a long, set_b long, halves array<long>"), "signatures")
     full = signed.where("n_shingles > 0")
     identity = ["set_a", "set_b", "n_shingles"]
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
@@ -212,7 +213,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     picked = classes.join(company.select("node"), "node", "left_semi").select("node", F.col("low.doc_id").alias("_id"), F.col("low.digest").alias("_digest"))
     picked = bounded(picked, company.count() * 24, BROADCAST_BYTES)
     chosen = texts.join(picked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("node", "text")
-    sets = materialize(chosen.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    with small_batches(docs.sparkSession):
+        sets = materialize(chosen.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
     links = materialize(_confirmed(_fitting(stars, classes), sets), "links")
     every = links.unionByName(_across(stars, links, sets))
