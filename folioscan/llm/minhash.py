@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.llm import textbytes as tb
-from folioscan.llm.components import connected
+from folioscan.llm.components import connected, joined
 from folioscan.session import bounded, materialize, small_batches, table
 
 SHINGLE = 5
@@ -159,10 +159,10 @@ def _parts(lists: pa.ListArray) -> list[np.ndarray]:
     return [values[at[k] : at[k + 1]] for k in range(len(lists))]
 
 
-def _across(stars: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+def _across(stars: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between the components of each cluster that holds more than one; at least one of each such pair of components that has any."""
-    clusters = connected(stars).withColumnRenamed("label", "cluster")
-    own = clusters.join(connected(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    clusters = joined(components, stars).withColumnRenamed("label", "cluster")
+    own = clusters.join(components, "node", "left").withColumn("label", F.coalesce("label", "node"))
     parts = own.groupBy("cluster", "label").agg(F.count("*").alias("n"))
     open_ = parts.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("cluster", F.col("most.label").alias("main"))
     # bands of sizes: sets of enough similarity are in the same band or in the next
@@ -217,8 +217,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sets = materialize(chosen.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
     links = materialize(_confirmed(_fitting(stars, classes), sets), "links")
-    every = links.unionByName(_across(stars, links, sets))
-    labels = connected(every)
+    components = connected(links)
+    labels = joined(components, _across(stars, components, sets))
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("low").alias("lowest"))
     known = named.join(lowest, "label").select(*[F.col(c).alias(f"_{c}") for c in identity], "lowest")

@@ -569,3 +569,24 @@ def test_null_ids_and_repeated_rows(spark, texts):
         (latticelm.lattice_scores(df), 6),
     ):
         assert len(out.collect()) == n
+
+
+def test_components_of_random_links(spark, monkeypatch):
+    from folioscan.llm import components
+
+    monkeypatch.setattr(components, "NEIGHBOURS", 3)
+    rng = random.Random(37)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(k, k + 1) for k in range(400, 430)] + [(500, k) for k in range(501, 540)]
+    links = [(a, b) for a, b in links if a != b]
+
+    def lowest(own: list) -> dict:
+        low = {x: x for pair in own for x in pair}
+        for _ in range(100):
+            for a, b in own:
+                low[a] = low[b] = min(low[a], low[b])
+        return low
+
+    table = lambda own: spark.createDataFrame(own, "a long, b long")
+    first = components.connected(table(links[::2]))
+    assert {r["node"]: r["label"] for r in first.collect()} == lowest(links[::2])
+    assert {r["node"]: r["label"] for r in components.joined(first, table(links[1::2])).collect()} == lowest(links)
