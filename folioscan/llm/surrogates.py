@@ -158,8 +158,9 @@ def _with_entities(rows: DataFrame) -> DataFrame:
 
 
 def _units(rows: DataFrame) -> DataFrame:
-    some = _with_entities(rows).where(F.size("found") > 0).withColumn("units", F.flatten(F.expr(f"transform({UNITS}, e -> e.units)")))
-    return some.select(*rows.columns, F.explode("units").alias("x"))
+    units = _with_entities(rows).withColumn("units", F.flatten(F.expr(f"transform({UNITS}, e -> e.units)")))
+    # filtered afterwards: a filter on `found` or `units` would be pushed below them and find everything twice
+    return units.select(*rows.columns, F.explode_outer("units").alias("x")).where("x IS NOT NULL")
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
