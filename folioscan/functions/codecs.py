@@ -202,6 +202,26 @@ def png_decode(data: bytes, columns: int, colors: int = 1) -> bytes:
     return bytes(out)
 
 
+def tiff_decode(data: bytes, columns: int, colors: int = 1) -> bytes:
+    """Adds to each byte the one `colors` before it in its row of `columns` bytes; a last row that isn't whole too."""
+    whole = np.frombuffer(data + bytes(-len(data) % columns), np.uint8).reshape(-1, columns)
+    out = np.empty_like(whole)
+    for k in range(min(colors, columns)):
+        out[:, k::colors] = np.cumsum(whole[:, k::colors], axis=1, dtype=np.uint8)
+    return out.tobytes()[: len(data)]
+
+
+def unpredicted(data: bytes, told: dict[str, int]) -> bytes:
+    """data after its predictor: 2 is the TIFF one, 10 and above PNG's, any other none."""
+    kind, colors, bits = told.get("Predictor", 1), told.get("Colors", 1), told.get("BitsPerComponent", 8)
+    row = -(-told.get("Columns", 1) * colors * bits // 8)
+    if row <= 0 or kind == 1:
+        return data
+    if kind == 2:
+        return tiff_decode(data, row, colors)
+    return png_decode(data, row, -(-colors * bits // 8)) if kind >= 10 else data
+
+
 #: Decoders by a filter's full and short names.
 DECODERS: dict[str, Callable[[bytes], bytes]] = {
     **dict.fromkeys(("ASCII85Decode", "A85"), a85_decode),

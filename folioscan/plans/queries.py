@@ -217,6 +217,22 @@ def page_text(spark: SparkSession, sf: str) -> DataFrame:
     return back.select(F.col("path").cast("long").alias("doc_id"), "seq", "text", "x", "y")
 
 
+def _page_files(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(pdf.objects(pdf.write_pages(_items(spark, sf))), "objects")
+
+
+def page_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """The objects of the documents' page files."""
+    return _page_files(spark, sf).select(F.col("path").cast("long").alias("doc_id"), "obj", "gen", F.col("stream").isNotNull().alias("has_stream"))
+
+
+def page_operators(spark: SparkSession, sf: str) -> DataFrame:
+    """The content operators of the documents' page files."""
+    found = _page_files(spark, sf)
+    ops = pdf.content_ops(pdf.page_contents(found, pdf.pages(found)))
+    return ops.select(F.col("path").cast("long").alias("doc_id"), "seq", "op", F.size("args").alias("n_args"))
+
+
 def _payload(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
 
@@ -406,6 +422,8 @@ QUERIES = {
     "ref_resolve": ref_resolve,
     "tree_flatten": tree_flatten,
     "page_window": page_window,
+    "page_objects": page_objects,
+    "page_operators": page_operators,
     "page_text": page_text,
     "codec_hex": codec_hex,
     "codec_ascii85": _round_trip(codecs.a85_encode, codecs.a85_decode),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,63 @@ def test_page_files(spark):
     ]
 
 
+def read(spark, data):
+    rows = pdf.read_text(spark.createDataFrame([("p", bytearray(data))], "path string, content binary")).orderBy("page_index", "seq").collect()
+    return [r["text"] for r in rows]
+
+
+def page_file(*objects, contents=b"4 0 R"):
+    return b"%PDF-1.5\n1 0 obj <</Type /Pages /Kids [2 0 R]>> endobj\n2 0 obj <</Type /Page /Parent 1 0 R /Contents " + contents + b">> endobj\n" + b"\n".join(objects)
+
+
+def stream(number, data, more=b"", length=True):
+    size = b"/Length %d" % len(data) if length else b"/Length 99 0 R"
+    return b"%d 0 obj <<%s %s>> stream\n%s\nendstream endobj" % (number, size, more, data)
+
+
+def test_contents_arrays(spark):
+    parts = [stream(4, b"BT (a) T"), stream(5, b"j ET"), stream(6, b"BT (b) Tj"), stream(7, b"(c) Tj ET")]
+    assert read(spark, page_file(*parts, contents=b"[6 0 R 7 0 R]")) == ["b", "c"]
+    assert read(spark, page_file(*parts, b"8 0 obj [7 0 R 6 0 R] endobj", contents=b"8 0 R")) == ["c", "b"]
+    assert read(spark, page_file(*parts, contents=b"[4 0 R 5 0 R]")) == []
+    assert read(spark, page_file(*parts, contents=b"[40 0 R 6 0 R]")) == ["b"]
+
+
+def test_content_lexing(spark):
+    deep = b"(" * 3000 + b"x" + b")" * 3000
+    assert read(spark, page_file(stream(4, b"BT (a(b(c(d)e)f)g) Tj % (comment) Tj\n(\\)\\() Tj " + deep + b" Tj (" + b"y" * 50000 + b") Tj ET"))) == [
+        "a(b(c(d)e)f)g", ")(", deep[1:-1].decode(), "y" * 50000,
+    ]
+    assert read(spark, page_file(stream(4, b"BI /W 1 /H 1 ID (no) Tj EI BT 1.2.3 2-3 Td (in) Tj (open"))) == ["in"]
+    assert list(pdf._lexed(b"/A#20B 1.2.3 1-2 -.5 gs [(x)-3 true]TJ")) == [("gs", ["/A B", "1.2", "1", "-.5"]), ("TJ", ["[", "(x)", "-3", "true", "]"])]
+    assert list(pdf._lexed(b"")) == list(pdf._lexed(b"(")) == list(pdf._lexed(b") > % x")) == []
+
+
+def test_stream_lengths(spark):
+    data = b"BT (endstream endobj 9 0 obj) Tj ET"
+    assert read(spark, page_file(stream(4, data))) == ["endstream endobj 9 0 obj"]
+    assert read(spark, page_file(stream(4, b"BT (n) Tj ET", length=False))) == ["n"]
+    assert read(spark, page_file(b"4 0 obj <</Length 3>> stream\r\nBT (wrong length) Tj ET\r\nendstream")) == ["wrong length"]
+    assert read(spark, b"") == read(spark, b"no objects") == []
+
+
+def test_filters_with_predictors(spark):
+    data = b"BT (predicted) Tj ET".ljust(24)
+    rows = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    up = b"".join(b"\x02" + bytes(r) for r in np.diff(rows, axis=0, prepend=np.zeros((1, 6), np.uint8)))
+    tiff = np.concatenate([rows[:, :2], rows[:, 2:] - rows[:, :-2]], axis=1).tobytes()
+    assert read(spark, page_file(stream(4, zlib.compress(up), b"/Filter /FlateDecode /DecodeParms <</Predictor 12 /Columns 6>>"))) == ["predicted"]
+    hexed = zlib.compress(tiff).hex().encode() + b">"
+    assert read(spark, page_file(stream(4, hexed, b"/Filter [/AHx /Fl] /DecodeParms [null <</Predictor 2 /Columns 3 /Colors 2>>]"))) == ["predicted"]
+
+
+def test_object_streams(spark):
+    members = [b"<</Type /Pages /Kids [2 0 R]>>", b"<</Type /Page /Parent 1 0 R /Contents 4 0 R>>"]
+    head = b"1 0 2 %d " % (len(members[0]) + 1)
+    held = stream(3, zlib.compress(head + b" ".join(members)), b"/Type /ObjStm /N 2 /First %d /Filter /FlateDecode" % len(head))
+    assert read(spark, b"%PDF-1.5\n" + held + b"\n" + stream(4, b"BT (held) Tj ET")) == ["held"]
+
+
 def test_replay(spark):
     log = [("a", 1, "update", 0.0), ("a", 2, "add", 1.0), ("a", 3, "add", 9.0), ("a", 4, "update", 2.0), ("b", 5, "add", 1.0), ("b", 6, "remove", None), ("c", 7, "add", 5.0)]
     got = annotations.replay(spark.createDataFrame(log, "id string, seq long, action string, state double"))
