@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from folioscan.session import materialize
 
@@ -22,16 +23,19 @@ def resolve(refs: DataFrame, objects: DataFrame, on: str) -> DataFrame:
 def flatten(nodes: DataFrame, depth: int = 50) -> DataFrame:
     """Nodes (id, parent, ord, kind, attr) below the roots (parent null) with `path`, the ordinals from the root, and `inherited`, the nearest attr.
 
+    An array as attr is several attributes, each inherited by itself.
     A level a step, by a join on the parent. Ordered by path, the rows are the tree in pre-order. A node whose id is
     among its ancestors is left out, so cycles end; levels beyond `depth` do too.
     """
     own = materialize(nodes, "nodes")
+    several = isinstance(own.schema["attr"].dataType, ArrayType)
+    nearest = F.zip_with("attr", "_inherited", lambda a, b: F.coalesce(a, b)) if several else F.coalesce("attr", "_inherited")
     level = own.where("parent IS NULL").select("id", "kind", F.array("ord").alias("path"), F.col("attr").alias("inherited"), F.array("id").alias("_seen"))
     out = level
     for _ in range(depth):
         up = level.select(F.col("id").alias("parent"), F.col("path").alias("_path"), F.col("inherited").alias("_inherited"), "_seen")
         below = own.join(up, "parent").where(~F.array_contains("_seen", F.col("id")))
-        level = below.select("id", "kind", F.concat("_path", F.array("ord")).alias("path"), F.coalesce("attr", "_inherited").alias("inherited"), F.concat("_seen", F.array("id")).alias("_seen"))
+        level = below.select("id", "kind", F.concat("_path", F.array("ord")).alias("path"), nearest.alias("inherited"), F.concat("_seen", F.array("id")).alias("_seen"))
         level = materialize(level, "tree-level")
         if level.isEmpty():
             break

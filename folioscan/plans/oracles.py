@@ -161,6 +161,7 @@ SELECT id, kind, path, inherited FROM r UNION ALL SELECT id, kind, path, inherit
 SELECT doc_id, page_index, current_page, abs(page_index - current_page) <= 2 AS render FROM p JOIN c USING (doc_id) WHERE abs(page_index - current_page) <= 6""",
     "page_objects": "SELECT doc_id, unnest([1, 2, 3, 4, 5, 6])::BIGINT AS obj, 0::INTEGER AS gen, unnest([false, false, false, true, false, true]) AS has_stream FROM documents",
     "page_operators": f"WITH {_LINES}, o AS (SELECT doc_id, 2 * item_index + 2 AS seq, 'Tm' AS op, 6 AS n_args FROM i UNION ALL SELECT doc_id, 2 * item_index + 3, 'Tj', 1 FROM i UNION ALL SELECT DISTINCT doc_id, 2 * n + 2, 'ET', 0 FROM i UNION ALL SELECT doc_id, 0, 'BT', 0 FROM l UNION ALL SELECT doc_id, 1, 'Tf', 2 FROM l) SELECT doc_id, seq::INTEGER AS seq, op, n_args::INTEGER AS n_args FROM o",
+    "page_text_mapped": f"WITH {_LINES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY item_index) - 1)::INTEGER AS seq, text FROM i WHERE text <> ''",
     "page_text": f"WITH {_LINES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY item_index) - 1)::INTEGER AS seq, text, 0.0::DOUBLE AS x, (item_index * 14)::DOUBLE AS y FROM i WHERE text <> ''",
     **{k: _CODEC for k in ("codec_hex", "codec_ascii85", "codec_run_length", "codec_lzw", "codec_flate", "codec_png")},
 }

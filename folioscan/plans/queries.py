@@ -233,6 +233,11 @@ def page_operators(spark: SparkSession, sf: str) -> DataFrame:
     return ops.select(F.col("path").cast("long").alias("doc_id"), "seq", "op", F.size("args").alias("n_args"))
 
 
+def page_text_mapped(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents' lines, written in codes of two bytes and read back through the fonts' maps to Unicode."""
+    return pdf.read_text(pdf.write_pages(_items(spark, sf), mapped=True)).select(F.col("path").cast("long").alias("doc_id"), "seq", "text")
+
+
 def _payload(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
 
@@ -425,6 +430,7 @@ QUERIES = {
     "page_objects": page_objects,
     "page_operators": page_operators,
     "page_text": page_text,
+    "page_text_mapped": page_text_mapped,
     "codec_hex": codec_hex,
     "codec_ascii85": _round_trip(codecs.a85_encode, codecs.a85_decode),
     "codec_run_length": _round_trip(codecs.rle_encode, codecs.rle_decode),

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.functions import codecs
+from folioscan.functions import codecs, fonts
 from folioscan.functions import text as T
 from folioscan.operators import anchors, annotations, geometry, graph
 from folioscan.sources import files, pdf
@@ -204,6 +204,37 @@ def test_object_streams(spark):
     assert read(spark, b"%PDF-1.5\n" + held + b"\n" + stream(4, b"BT (held) Tj ET")) == ["held"]
 
 
+FONT = {"two_byte": False, "encoding": None, "differences": {}, "unicode": None}
+
+
+@pytest.mark.parametrize(
+    "token, font, want",
+    [
+        ("<80>", {"encoding": "WinAnsiEncoding"}, "€"), ("<80>", {}, "\x80"), ("<FEFF0041>", {"unicode": {65: "no"}}, "A"),
+        ("<0041>", {}, "A"), ("<0102>", {"unicode": {0x102: "ffi"}}, "ffi"), ("<0102>", {"unicode": {1: "x"}}, "x\x02"),
+        ("<0102>", {"unicode": {1: "x"}, "two_byte": True}, "\u0102"), ("(ab)", {"differences": {97: "fi"}}, "fib"), ("()", {}, ""),
+        ("(a\\\r\nb)", {}, "ab"),
+    ],
+)
+def test_strings_in_fonts(token, font, want):
+    assert pdf.string(token, {**FONT, **font}) == want
+
+
+def test_font_maps():
+    chars = b"2 beginbfchar\n<01> <0041>\n<0002> <00660069>\nendbfchar 3 beginbfrange <10> <12> <0061> <20><21>[<0078> <D83DDE00>]\nendbfrange"
+    assert fonts.unicode_map(chars) == {1: "A", 2: "fi", 16: "a", 17: "b", 18: "c", 32: "x", 33: "\U0001f600"}
+    assert fonts.unicode_map(b"") == {} == fonts.differences("<<>>")
+    names = "<</Differences [39 /quotesingle /A 200/sevenoldstyle /Bsmall /uni20AC /fi /nosuchname]>>"
+    assert fonts.differences(names) == {39: "'", 40: "A", 200: "7", 201: "b", 202: "€", 203: "fi", 204: "?"}
+
+
+def test_fonts_of_pages(spark):
+    page = b"%PDF-1.5\n1 0 obj <</Type /Pages /Kids [2 0 R 3 0 R] /Resources 8 0 R>> endobj\n2 0 obj <</Type /Page /Contents 4 0 R>> endobj\n"
+    page += b"3 0 obj <</Type /Page /Resources <</Font <</F1 6 0 R>>>> /Contents 4 0 R>> endobj\n8 0 obj <</Font 9 0 R>> endobj\n9 0 obj <</F1 5 0 R>> endobj\n"
+    page += b"5 0 obj <</Type /Font /ToUnicode 7 0 R>> endobj\n6 0 obj <</Type /Font /Encoding 10 0 R>> endobj\n10 0 obj <</Differences [97 /bullet]>> endobj\n"
+    assert read(spark, page + stream(4, b"BT /F1 1 Tf (abc) Tj /F2 1 Tf (abc) Tj ET") + b"\n" + stream(7, b"beginbfchar <61> <0078> endbfchar")) == ["xbc", "abc", "•bc", "abc"]
+
+
 def test_replay(spark):
     log = [("a", 1, "update", 0.0), ("a", 2, "add", 1.0), ("a", 3, "add", 9.0), ("a", 4, "update", 2.0), ("b", 5, "add", 1.0), ("b", 6, "remove", None), ("c", 7, "add", 5.0)]
     got = annotations.replay(spark.createDataFrame(log, "id string, seq long, action string, state double"))
