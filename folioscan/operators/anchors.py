@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,41 +120,121 @@ SPAN, LEAST, ACCEPT = 180, 12, 0.72
 KEEP, MARGIN = 0.92, 0.03
 
 
-def candidates(docs: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(doc_id, item_id) of documents that share a whole normalized line of LEAST compact characters with a quote."""
-    line = lambda c: F.explode(F.array_distinct(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: T.compact(x))))
-    theirs = quotes.select("item_id", line("text").alias("line")).where(F.length("line") >= LEAST)
-    return docs.select("doc_id", line("text").alias("line")).where(F.length("line") >= LEAST).join(theirs, "line").select("doc_id", "item_id").distinct()
+#: Cells of a matrix in a task, at most; single quotes or windows may take more.
+CELLS = 4 << 20
+
+
+def _grams(compact: str) -> np.ndarray:
+    """The bigrams of a text of a-z and 0-9 as numbers."""
+    codes = np.frombuffer(compact.encode("ascii"), np.uint8).astype(np.int64)
+    codes = np.where(codes < 97, codes - 48, codes - 87)
+    return codes[:-1] * 36 + codes[1:]
+
+
+class _Quotes:
+    """A few quotes as rows of zeros and ones, a column for the first, second, ... time a bigram occurs: the bigrams that two texts share, with repeats, are the product of their rows."""
+
+    def __init__(self, own: list[tuple[int, str]]):
+        self.items = [item for item, _ in own]
+        self.sizes = np.array([len(quote) for _, quote in own])
+        counted = [np.unique(_grams(quote), return_counts=True) for _, quote in own]
+        levels = np.zeros(36 * 36, np.int64)
+        for grams, counts in counted:
+            levels[grams] = np.maximum(levels[grams], counts)
+        first = np.cumsum(levels) - levels
+        self.gram = np.repeat(np.arange(36 * 36), levels)
+        self.level = np.arange(len(self.gram)) - first[self.gram] + 1
+        self.rows = np.zeros((len(own), len(self.gram)), np.float32)
+        for row, (grams, counts) in zip(self.rows, counted, strict=True):
+            row[np.repeat(first[grams], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)] = 1
+
+    def best(self, items: list[str]) -> list[tuple[int, int, int, float]]:
+        """(item_id, first, last, score) of the window of items most like each quote, where that is like enough."""
+        top, where = np.zeros(len(self.items)), np.zeros((len(self.items), 2), np.int64)
+        longest, step = self.sizes.max() * 1.65 + 24, max(1, CELLS // max(len(self.gram), len(self.items)))
+        for begin in range(0, len(items), SPAN):
+            own = items[begin : begin + 2 * SPAN]
+            at = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+            grams = _grams("".join(own))
+            held = np.bincount(np.repeat(np.arange(len(own)), np.diff(at))[:-1] * 1296 + grams, minlength=len(own) * 1296).reshape(-1, 1296)
+            upto = np.concatenate([np.zeros((1, 1296), np.int64), np.cumsum(held, axis=0)])
+            # windows by their first and last item, in this order
+            firsts = np.arange(min(SPAN, len(own)))
+            ends = np.minimum(np.minimum(np.searchsorted(at, at[firsts] + longest, "right"), firsts + SPAN), len(own))
+            first = np.repeat(firsts, ends - firsts)
+            last = np.arange(len(first)) - np.repeat(np.cumsum(ends - firsts) - (ends - firsts), ends - firsts) + first
+            for k in range(0, len(first), step):
+                a, z = first[k : k + step], last[k : k + step]
+                counts = upto[z + 1] - upto[a]
+                cut = np.flatnonzero(z + 1 < len(own))  # the bigram that leads out of the window
+                counts[cut, grams[at[z[cut] + 1] - 1]] -= 1
+                common = (counts[:, self.gram] >= self.level).astype(np.float32) @ self.rows.T
+                total, before = (at[z + 1] - at[a])[:, None], (at[z] - at[a])[:, None]
+                score = 2.0 * common.astype(np.float64) / np.maximum(total + self.sizes - 2, 1)
+                score[(before > self.sizes * 1.65 + 24) | (total < np.maximum(LEAST, self.sizes * 0.45))] = 0.0
+                at_best = score.argmax(axis=0)
+                value = score[at_best, np.arange(len(self.items))]
+                better = value > top
+                top[better], where[better] = value[better], np.stack([a[at_best], z[at_best]], axis=1)[better] + begin
+        return [(self.items[i], int(where[i, 0]), int(where[i, 1]), float(top[i])) for i in np.flatnonzero(top >= ACCEPT)]
+
+
+def _grouped(block: list[tuple[int, str]]) -> Iterator[_Quotes]:
+    """The quotes of a block by length, in groups whose matrix stays within CELLS."""
+    own, size = [], 0
+    for item, quote in sorted(block, key=lambda x: len(x[1])):
+        if own and (len(own) + 1) * (size + len(quote)) > 4 * CELLS:
+            yield _Quotes(own)
+            own, size = [], 0
+        own.append((item, quote))
+        size += len(quote)
+    if own:
+        yield _Quotes(own)
+
+
+FUZZY = "doc_id long, item_id long, start_item int, start_offset int, end_item int, end_offset int, score double"
 
 
-def fuzzy(docs: DataFrame, quotes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For pairs (doc_id, item_id): the window of items most like the quote, if its Dice score is at least ACCEPT.
+def fuzzy(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """For each document and quote: the window of items most like the quote, if its Dice score is at least ACCEPT.
 
     Windows from each item grow while they are no longer than 1.65 quotes and 24 characters, by SPAN items at most, and
-    count from 0.45 quotes on; of equal scores the earliest and then the shortest window wins.
+    count from LEAST characters and 0.45 quotes on; of equal scores the earliest and then the shortest window wins. All
+    windows of all documents meet all quotes; nothing is shuffled. Quotes below two compact characters are nowhere.
     """
-    wanted = quotes.select("item_id", T.compact(T.normalize(F.col("text"))).alias("quote")).where("quote <> ''")
-    items = text_items(_of_found(docs, pairs)).select("doc_id", "item_index", F.length("text").alias("_len"), T.compact(F.col("text")).alias("_c")).where("_c <> ''")
-    order = Window.partitionBy("doc_id").orderBy("item_index")
-    ahead = F.collect_list(F.struct("item_index", "_len", "_c")).over(order.rowsBetween(0, SPAN - 1))
-    starts = items.select("doc_id", "item_index", ahead.alias("_w")).join(pairs, "doc_id").join(wanted, "item_id")
-    # lengths of the windows that begin here, up to the first beyond the limit
-    grown = F.expr("aggregate(_w, CAST(array() AS array<int>), (a, x) -> CASE WHEN size(a) > 0 AND a[size(a) - 1] > length(quote) * 1.65 + 24 THEN a ELSE concat(a, array(coalesce(try_element_at(a, -1), 0) + length(x._c))) END)")
-    sized = starts.withColumn("_g", grown).withColumn("_k", F.explode(F.sequence(F.lit(1), F.size("_g"))))
-    fit = sized.where("_g[_k - 1] >= greatest(12, length(quote) * 0.45)")
-    window = fit.withColumn("_t", F.expr("array_join(transform(slice(_w, 1, _k), x -> x._c), '')")).withColumn("_e", F.expr("_w[_k - 1]"))
-    scored = window.withColumn("score", T.dice(F.col("_t"), F.col("quote")))
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("item_index")).alias("s"), (-F.col("_k")).alias("k"), F.col("_e.item_index").alias("end_item"), F.col("_e._len").alias("end_offset"))).alias("b"))
-    return best.where(F.col("b.score") >= ACCEPT).select("doc_id", "item_id", (-F.col("b.s")).alias("start_item"), F.lit(0).alias("start_offset"), "b.end_item", "b.end_offset", F.round("b.score", 9).alias("score"))
+    spark = docs.sparkSession
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(lines, lambda x: T.compact(x)).alias("compacts"), F.transform(lines, lambda x: F.length(x)).alias("sizes"))
+    wanted = quotes.select(F.col("item_id").cast("long").alias("item_id"), T.compact(T.normalize(F.col("text"))).alias("quote")).where("length(quote) > 1")
+    out = spark.createDataFrame([], FUZZY)
+    for block in _blocks(wanted):
+        shared = spark.sparkContext.broadcast(block)
+
+        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            groups = list(_grouped(shared.value))
+            for batch in batches:
+                rows = []
+                for doc, compacts, sizes in zip(*(batch.column(i) for i in range(3)), strict=True):
+                    compacts, sizes = compacts.as_py(), sizes.as_py()
+                    kept = [i for i, x in enumerate(compacts) if x]
+                    own = [compacts[i] for i in kept]
+                    if sum(map(len, own)) >= LEAST:
+                        rows += [(doc.as_py(), item, kept[a], 0, kept[z], sizes[kept[z]], score) for group in groups for item, a, z, score in group.best(own)]
+                columns = list(zip(*rows, strict=True)) or [()] * 7
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in FUZZY.split(", ")])
+
+        out = out.unionByName(texts.mapInArrow(find, FUZZY))
+    return out.withColumn("score", F.round("score", 9))
 
 
 def resolve(docs: DataFrame, quotes: DataFrame) -> DataFrame:
-    """The anchor of each quote in each candidate document: exact, else normalized, else fuzzy; `how` says which."""
+    """The anchor of each quote in each document: exact, else normalized, else fuzzy; `how` says which."""
     columns = ["doc_id", "item_id", "start_item", "start_offset", "end_item", "end_offset"]
     first = exact(docs, quotes).select(*columns, F.lit("exact").alias("how"))
     second = normalized(docs, quotes).join(first, ["doc_id", "item_id"], "left_anti").select(*columns, F.lit("normalized").alias("how"))
     found = first.unionByName(second)
-    third = fuzzy(docs, quotes, candidates(docs, quotes).join(found, ["doc_id", "item_id"], "left_anti"))
+    third = fuzzy(docs, quotes).join(found, ["doc_id", "item_id"], "left_anti")
     return found.unionByName(third.select(*columns, F.lit("fuzzy").alias("how")))
 
 

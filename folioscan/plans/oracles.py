@@ -91,18 +91,16 @@ SELECT f.doc_id, item_id, min(item_index)::INTEGER AS start_item, 0::INTEGER AS
 FROM f JOIN p ON f.doc_id = p.doc_id AND b > pos AND b - length(nt) < pos + n GROUP BY f.doc_id, item_id""",
     "anchor_fuzzy": f"""WITH {_LINES},
 k AS (SELECT doc_id, item_index, length(text) AS len, {_c('text')} AS c FROM i), m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY item_index) AS p FROM k WHERE c <> ''),
-ql AS (SELECT DISTINCT item_id, {_c('l')} AS c FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS l FROM benchmark)),
-z AS MATERIALIZED (SELECT DISTINCT doc_id, item_id FROM m JOIN ql USING (c) WHERE length(c) >= 12),
 q AS MATERIALIZED (SELECT item_id, {_c('text')} AS quote FROM benchmark),
-w AS (SELECT z.doc_id, z.item_id, quote, s.p AS sp, s.item_index AS si, e.p - s.p + 1 AS n, e.item_index AS ei, e.len AS elen,
+w AS MATERIALIZED (SELECT *, row_number() OVER () AS id FROM (SELECT s.doc_id, s.p AS sp, s.item_index AS si, e.p - s.p + 1 AS n, e.item_index AS ei, e.len AS elen,
   sum(length(e.c)) OVER v AS total, sum(length(e.c)) OVER v - length(e.c) AS before, string_agg(e.c, '') OVER v AS t
-  FROM z JOIN q USING (item_id) JOIN m s ON s.doc_id = z.doc_id JOIN m e ON e.doc_id = z.doc_id AND e.p BETWEEN s.p AND s.p + 179
-  WINDOW v AS (PARTITION BY z.doc_id, z.item_id, s.p ORDER BY e.p ROWS UNBOUNDED PRECEDING)),
-y AS MATERIALIZED (SELECT * FROM w WHERE before <= length(quote) * 1.65 + 24 AND total >= greatest(12, length(quote) * 0.45)),
-g AS (SELECT doc_id, item_id, sp, n, substr(t, o, 2) AS gram, count(*) AS k FROM (SELECT *, unnest(generate_series(1, length(t) - 1)) AS o FROM y) GROUP BY ALL),
+  FROM m s JOIN m e ON e.doc_id = s.doc_id AND e.p BETWEEN s.p AND s.p + 179
+  WINDOW v AS (PARTITION BY s.doc_id, s.p ORDER BY e.p ROWS UNBOUNDED PRECEDING)) WHERE before <= (SELECT max(length(quote)) FROM q) * 1.65 + 24),
+y AS MATERIALIZED (SELECT w.*, item_id, quote FROM w, q WHERE quote <> '' AND before <= length(quote) * 1.65 + 24 AND total >= greatest(12, length(quote) * 0.45)),
+g AS (SELECT id, substr(t, o, 2) AS gram, count(*) AS k FROM (SELECT id, t, unnest(generate_series(1, length(t) - 1)) AS o FROM w) GROUP BY ALL),
 h AS (SELECT item_id, substr(quote, o, 2) AS gram, count(*) AS k FROM (SELECT *, unnest(generate_series(1, length(quote) - 1)) AS o FROM q) GROUP BY ALL),
-c AS (SELECT g.doc_id, g.item_id, sp, n, sum(least(g.k, h.k)) AS common FROM g JOIN h USING (item_id, gram) GROUP BY ALL),
-s AS (SELECT y.*, CASE WHEN t = quote THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(common, 0)::DOUBLE / (length(t) + length(quote) - 2)::DOUBLE END AS score FROM y LEFT JOIN c USING (doc_id, item_id, sp, n)),
+c AS (SELECT id, item_id, sum(least(g.k, h.k)) AS common FROM g JOIN h USING (gram) GROUP BY ALL),
+s AS (SELECT y.*, CASE WHEN t = quote THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(common, 0)::DOUBLE / (length(t) + length(quote) - 2)::DOUBLE END AS score FROM y LEFT JOIN c USING (id, item_id)),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, si, n) AS k FROM s)
 SELECT doc_id, item_id, si::INTEGER AS start_item, 0::INTEGER AS start_offset, ei::INTEGER AS end_item, elen::INTEGER AS end_offset, round(score, 9) AS score FROM b WHERE k = 1 AND score >= 0.72""",
     "anchor_text": f"WITH {_EXACT}, {_TEXT} SELECT * FROM t",
@@ -240,3 +238,8 @@ SELECT doc, unnest(generate_series(1, len(u))) AS place, unnest(u) AS change FRO
     "anchor_stands": f"""WITH {_EXACT.replace('x AS MATERIALIZED', 'w AS MATERIALIZED')}, x AS (SELECT * REPLACE (greatest(start_item, end_item - item_id % 3)::INTEGER AS end_item) FROM w), {_SCORE}
 SELECT w.doc_id, w.item_id, CASE WHEN score IS NOT NULL AND (score >= 0.92 OR (w.item_id % 5 > 0 AND 1.0 <= score + 0.03)) THEN 'current' ELSE 'recovered' END AS stands FROM w LEFT JOIN z USING (doc_id, item_id)""",
 }
+
+_RANGE = "doc_id, item_id, start_item, start_offset, end_item, end_offset"
+ORACLES["anchor_resolved"] = f"""WITH e AS MATERIALIZED ({ORACLES['anchor_exact']}), n AS MATERIALIZED ({ORACLES['anchor_normalized']}), f AS MATERIALIZED ({ORACLES['anchor_fuzzy']})
+SELECT {_RANGE}, 'exact' AS how FROM e UNION ALL SELECT {_RANGE}, 'normalized' FROM n WHERE NOT EXISTS (FROM e WHERE e.doc_id = n.doc_id AND e.item_id = n.item_id)
+UNION ALL SELECT {_RANGE}, 'fuzzy' FROM f WHERE NOT EXISTS (FROM e WHERE e.doc_id = f.doc_id AND e.item_id = f.item_id) AND NOT EXISTS (FROM n WHERE n.doc_id = f.doc_id AND n.item_id = f.item_id)"""

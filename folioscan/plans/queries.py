@@ -51,8 +51,11 @@ def anchor_normalized(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def anchor_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    docs, quotes = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    return anchors.fuzzy(docs, quotes, materialize(anchors.candidates(docs, quotes), "candidates"))
+    return anchors.fuzzy(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def anchor_resolved(spark: SparkSession, sf: str) -> DataFrame:
+    return anchors.resolve(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
 def anchor_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -404,6 +407,7 @@ QUERIES = {
     "anchor_exact": anchor_exact,
     "anchor_normalized": anchor_normalized,
     "anchor_fuzzy": anchor_fuzzy,
+    "anchor_resolved": anchor_resolved,
     "anchor_text": anchor_text,
     "anchor_score": anchor_score,
     "anchor_rects": anchor_rects,

@@ -57,6 +57,39 @@ def test_resolve_falls_back_to_normalized_and_fuzzy(spark):
     assert {(r["doc_id"], r["item_id"], r["start_item"], r["end_item"], r["how"]) for r in anchors.resolve(docs, quotes).collect()} == {(1, 1, 0, 0, "normalized"), (2, 2, 0, 1, "fuzzy")}
 
 
+def test_fuzzy_finds_what_shares_no_line(spark):
+    text = "the quick brown fox jumps over\nthe lazy dog and runs away\ninto the deep dark wood"
+    docs = spark.createDataFrame([(1, text), (2, "x\n" * 400 + text.replace("quick", "quack")), (3, None), (4, ""), (5, "nothing of the sort is to be found here")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, "the quick brawn fox jumped over the lazy dog and runs away"), (2, "a"), (3, None), (4, "")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["start_item"], r["end_item"]) for r in anchors.fuzzy(docs, quotes).collect()}
+    assert {(d, i, a % 400, z % 400) for d, i, a, z in got} == {(1, 1, 0, 1), (2, 1, 0, 1)}
+
+
+def test_fuzzy_windows_against_brute_force():
+    import random
+    from collections import Counter
+
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choice("abc1") for _ in range(n))
+    for _ in range(60):
+        items = [word(draw.randint(1, 9)) for _ in range(draw.choice((3, 20, 420)))]
+        quotes = [(i, word(draw.randint(2, 40))) for i in range(4)] + [(9, "".join(items[2:6]) or "ab")]
+        want = {}
+        for item, quote in quotes:
+            for a in range(len(items)):
+                for z in range(a, min(len(items), a + anchors.SPAN)):
+                    window = "".join(items[a : z + 1])
+                    if len(window) >= max(12, 0.45 * len(quote)):
+                        pairs = [Counter(x[i : i + 2] for i in range(len(x) - 1)) for x in (window, quote)]
+                        score = 2.0 * sum((pairs[0] & pairs[1]).values()) / max(len(window) + len(quote) - 2, 1)
+                        if score > want.get(item, (0, 0, 0.0))[2]:
+                            want[item] = (a, z, score)
+                    if len(window) > len(quote) * 1.65 + 24:
+                        break
+        got = {item: (a, z, score) for group in anchors._grouped(quotes) for item, a, z, score in group.best(items)}
+        assert got == {k: v for k, v in want.items() if v[2] >= anchors.ACCEPT}
+
+
 def test_reanchor(spark):
     current = spark.createDataFrame([(1, 1, 0.95, True), (2, 1, 0.8, True), (3, 1, 0.8, True), (4, 1, 0.5, False)], "doc_id long, item_id long, score double, has_rects boolean")
     new = spark.createDataFrame([(1, 1, 1.0), (2, 1, 0.82), (3, 1, 0.9), (4, 1, 0.1), (5, 1, 0.9)], "doc_id long, item_id long, score double")
