@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscan.llm import chains, decontaminate, infill, latticelm, minhash, mixing, quality, substrings, surrogates, tokenfile, tokens
+from folioscan.llm import chains, decontaminate, infill, latticelm, minhash, mixing, prefixtrie, quality, secretscan, substrings, surrogates, tokenfile, tokens
 
 QUERIES = {
     "op1_token_files": tokenfile.op1_token_files,
@@ -16,9 +16,13 @@ QUERIES = {
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_lattice_scores": latticelm.op10_lattice_scores,
     "op11_fill_in_middle": infill.op11_fill_in_middle,
+    "op12_secret_scans": secretscan.op12_secret_scans,
+    "op13_conversation_trie": prefixtrie.op13_conversation_trie,
 }
 ORACLES = {
     "op3_quality_rules": quality.OP3_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
     "op11_fill_in_middle": infill.OP11_SQL,
+    "op12_secret_scans": secretscan.OP12_SQL,
+    "op13_conversation_trie": prefixtrie.OP13_SQL,
 }
