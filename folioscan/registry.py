@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from folioscan.plans.oracles import ORACLES
-from folioscan.plans.queries import QUERIES
+from folioscan.plans import pages
+from folioscan.plans.oracles import ORACLES as _ORACLES
+from folioscan.plans.queries import QUERIES as _QUERIES
+
+QUERIES = {**_QUERIES, **pages.QUERIES}
+ORACLES = {**_ORACLES, **pages.ORACLES}
 
 FLAGSHIP = "anchor_exact"
 
