@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hex_decode(data: Column) -> Column:
@@ -149,9 +150,9 @@ def flate_decode(data: bytes) -> bytes:
     for wbits in (zlib.MAX_WBITS, -zlib.MAX_WBITS):
         try:
             return zlib.decompressobj(wbits).decompress(data)
-        except zlib.error:
-            continue
-    return data
+        except zlib.error as why:
+            last = why
+    raise ValueError(str(last))
 
 
 def png_encode(data: bytes, columns: int) -> bytes:
@@ -231,23 +232,28 @@ DECODERS: dict[str, Callable[[bytes], bytes]] = {
 }
 
 
-def apply(df: DataFrame, column: str, functions: list[Callable[[bytes], bytes]]) -> DataFrame:
-    """df with functions applied to a binary column one after another; a value that fails is left as it is."""
+def apply(df: DataFrame, column: str, functions: list[Callable[[bytes], bytes]], error: str | None = None) -> DataFrame:
+    """df with functions applied to a binary column one after another; a value that fails is left as it was before the function that failed, and `error`, a further column if it is named, says which and why."""
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, errors = [], []
             for value in batch.column(at).to_pylist():
+                why = None
                 if value is not None:
                     for f in functions:
                         try:
                             value = f(value)
-                        except ValueError:
-                            pass
+                        except ValueError as e:
+                            why = f"{getattr(f, '__name__', 'function')}: {e}"
+                            break
                 out.append(value)
+                errors.append(why)
             columns = batch.columns
             columns[at] = pa.array(out, pa.binary())
-            yield pa.record_batch(columns, names=batch.schema.names)
+            more = [pa.array(errors, pa.string())] if error else []
+            yield pa.record_batch([*columns, *more], names=[*batch.schema.names, *([error] if error else [])])
 
-    return df.mapInArrow(run, df.schema)
+    shape = df.schema if error is None else T.StructType([*df.schema.fields, T.StructField(error, T.StringType())])
+    return df.mapInArrow(run, shape)

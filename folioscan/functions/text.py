@@ -79,3 +79,9 @@ def match_score(actual: Column, expected: Column) -> Column:
     small, large = F.least(F.length(actual), F.length(expected)), F.greatest(F.length(actual), F.length(expected))
     held = F.contains(actual, expected) | F.contains(expected, actual)
     return F.when((actual == "") | (expected == ""), 0.0).when(actual == expected, 1.0).when(held, small / large).otherwise(dice(actual, expected))
+
+
+def lines(text: Column) -> Column:
+    """The lines of a text, which end at a carriage return, a line feed or both; nothing follows the last line's end."""
+    parts = F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n", -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)

@@ -11,13 +11,25 @@ def add(rows: DataFrame, new: DataFrame) -> DataFrame:
     return rows.unionByName(new, allowMissingColumns=True)
 
 
-def remove(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    return rows.join(ids.select("id").distinct(), "id", "left_anti")
+def _first(rows: DataFrame, ids: DataFrame, order: str) -> DataFrame:
+    """Of the rows of each of the ids the place of the first."""
+    return rows.join(ids.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(order).alias(order))
 
 
-def update(rows: DataFrame, changed: DataFrame) -> DataFrame:
-    """Replaces rows by id; changes to ids that aren't there are dropped."""
-    return remove(rows, changed).unionByName(changed.join(rows.select("id").distinct(), "id", "left_semi"))
+def remove(rows: DataFrame, ids: DataFrame, order: str = "seq") -> DataFrame:
+    """rows without the first row of each of the ids; ids need not be unique. Rows without the column of their order are one to an id."""
+    if order not in rows.columns:
+        return rows.join(ids.select("id").distinct(), "id", "left_anti")
+    return rows.join(_first(rows, ids, order), ["id", order], "left_anti")
+
+
+def update(rows: DataFrame, changed: DataFrame, order: str = "seq") -> DataFrame:
+    """rows with the first row of each changed id replaced, in its place; changes to ids that aren't there are dropped."""
+    if order not in rows.columns:
+        return remove(rows, changed).unionByName(changed.join(rows.select("id").distinct(), "id", "left_semi"))
+    first = _first(rows, changed, order)
+    placed = changed.drop(order).join(first, "id").select(rows.columns)
+    return rows.join(first, ["id", order], "left_anti").unionByName(placed)
 
 
 def titled(rows: DataFrame) -> DataFrame:
@@ -102,11 +114,90 @@ def with_catalog_color(rows: DataFrame) -> DataFrame:
 
 
 def history_entries(log: DataFrame) -> DataFrame:
-    """id, seq, before and after of each change of a log (id, seq, action, state): an addition has no before, a removal no after."""
+    """id, seq, before and after of each change of a log (id, seq, action, state) that takes effect: an addition has no before, a removal no after.
+
+    As in `replay`, an id that is there is not added again, and one that isn't there is neither changed nor removed. Between
+    two removals of an id the first addition counts, and what comes after it.
+    """
     from pyspark.sql import Window
 
-    was = F.lag("state").over(Window.partitionBy("id").orderBy("seq"))
-    return log.select("id", "seq", F.when(F.col("action") != "add", was).alias("before"), F.when(F.col("action") != "remove", F.col("state")).alias("after"))
+    own = Window.partitionBy("id").orderBy("seq")
+    life = F.coalesce(F.sum((F.col("action") == "remove").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lives = log.withColumn("_life", life)
+    born = F.min(F.when(F.col("action") == "add", F.col("seq"))).over(Window.partitionBy("id", "_life"))
+    real = lives.withColumn("_born", born).where("(action = 'add' AND seq = _born) OR (action <> 'add' AND seq > _born)")
+    was = F.lag("state").over(Window.partitionBy("id", "_life").orderBy("seq"))
+    return real.select("id", "seq", F.when(F.col("action") != "add", was).alias("before"), F.when(F.col("action") != "remove", F.col("state")).alias("after"))
+
+
+class _Document:
+    """A document's annotations in order, and its two stacks of changes (action, id, before, after)."""
+
+    def __init__(self) -> None:
+        self.rows: list[list] = []
+        self.done: list[tuple] = []
+        self.back: list[tuple] = []
+
+    def at(self, id_: object) -> int:
+        return next((k for k, row in enumerate(self.rows) if row[0] == id_), -1)
+
+    def apply(self, action: str, id_: object, state: object) -> tuple | None:
+        """The change, if it took effect: additions go to the end, the others take the first of the id."""
+        k = self.at(id_)
+        if action == "add":
+            self.rows.append([id_, state])
+            return action, id_, None, state
+        if k < 0:
+            return None
+        before = self.rows[k][1]
+        if action == "remove":
+            del self.rows[k]
+            return action, id_, before, None
+        self.rows[k][1] = state
+        return action, id_, before, state
+
+    def step(self, action: str, id_: object, state: object) -> None:
+        if action == "undo" and self.done:
+            what, own, before, _ = change = self.done.pop()
+            self.apply({"add": "remove", "remove": "add"}.get(what, what), own, before)
+            self.back.append(change)
+        elif action == "redo" and self.back:
+            what, own, _, after = change = self.back.pop()
+            self.apply(what, own, after)
+            self.done.append(change)
+        elif action not in ("undo", "redo") and (change := self.apply(action, id_, state)):
+            self.done.append(change)
+            self.back = []
+
+
+def restored(log: DataFrame) -> DataFrame:
+    """doc, place, id, state of the annotations that are there after a log (doc, seq, action, id, state) of additions, updates, removals, undos and redos.
+
+    An undone removal comes back at the end, and an undone update with the state it had. The log is dealt out by document and
+    sorted; a task goes through it holding one document.
+    """
+    names = ["doc", "place", "id", "state"]
+    types = {f.name: f.dataType.simpleString() for f in log.schema}
+
+    def fold(batches):
+        import pyarrow as pa
+
+        own, held, kinds = None, _Document(), None
+        for batch in batches:
+            kinds = kinds or [batch.schema.field("doc").type, pa.int64(), batch.schema.field("id").type, batch.schema.field("state").type]
+            out: list[tuple] = []
+            for doc, action, id_, state in zip(*(batch.column(c).to_pylist() for c in ("doc", "action", "id", "state")), strict=True):
+                if doc != own:
+                    out += [(own, k, *row) for k, row in enumerate(held.rows, 1)]
+                    own, held = doc, _Document()
+                held.step(action, id_, state)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)], names=names)
+        if held.rows:
+            rows = [(own, k, *row) for k, row in enumerate(held.rows, 1)]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    ordered = log.repartition("doc").sortWithinPartitions("doc", "seq").select("doc", "action", "id", "state")
+    return ordered.mapInArrow(fold, f"doc {types['doc']}, place long, id {types['id']}, state {types['state']}")
 
 
 def undone(log: DataFrame) -> DataFrame:

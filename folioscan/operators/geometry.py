@@ -126,12 +126,12 @@ def page_size(box: Column, rotate: Column) -> dict[str, Column]:
 
 
 def offset_at(x: Column, start: bool) -> Column:
-    """The character offset of an item (text, x, width) at a place: the first character that reaches it, or the first that begins beyond it."""
-    n = F.length("text")
-    glyph = F.col("width") / F.greatest(n, F.lit(1))
+    """The character offset of an item (text, x, width) at a place: the first character that reaches it, or the first that begins beyond it. An item without a width is taken whole."""
+    n, wide = F.length("text"), F.col("width") > 0
+    glyph = F.when(wide, F.col("width") / F.greatest(n, F.lit(1)))
     if start:
-        return F.greatest(F.lit(0), F.least(n - 1, F.ceil((x - 1 - F.col("x")) / glyph) - 1)).cast("int")
-    return F.greatest(F.lit(0), F.least(n, F.floor((x + 1 - F.col("x")) / glyph) + 1)).cast("int")
+        return F.when(wide, F.greatest(F.lit(0), F.least(n - 1, F.ceil((x - 1 - F.col("x")) / glyph) - 1))).otherwise(0).cast("int")
+    return F.when(wide, F.greatest(F.lit(0), F.least(n, F.floor((x + 1 - F.col("x")) / glyph) + 1))).otherwise(n).cast("int")
 
 
 def anchors_of_rects(items: DataFrame, rects: DataFrame) -> DataFrame:
@@ -171,9 +171,24 @@ def selected(rects: DataFrame, width: Column, height: Column) -> DataFrame:
 
 
 def highlight_rects(anchored: DataFrame, legacy: DataFrame, by: list[str]) -> DataFrame:
-    """The anchored rectangles of each highlight, or its legacy ones where it has none of those."""
+    """The anchored rectangles of each highlight, or its legacy ones where it has none of those, with neighbours on a line merged."""
     names = [*by, "x", "y", "width", "height"]
-    return anchored.select(names).unionByName(legacy.join(anchored.select(by).distinct(), by, "left_anti").select(names))
+    both = anchored.select(names).unionByName(legacy.join(anchored.select(by).distinct(), by, "left_anti").select(names))
+    return merge(both, by).select(names)
+
+
+def nearest_y(points: DataFrame, items: DataFrame, by: list[str]) -> DataFrame:
+    """points (*by, point_id, y) with `at`: the middle of the item that is nearest in height, or their own y where there is none."""
+    middle = F.col("y") + F.col("height") / 2
+    both = points.select(*by, "point_id", F.col("y").alias("_y")).join(items.select(*by, "item_index", middle.alias("_middle")), by)
+    near = both.groupBy(*by, "point_id").agg(F.min(F.struct(F.abs(F.col("_middle") - F.col("_y")).alias("far"), "item_index", "_middle")).alias("_near"))
+    return points.join(near, [*by, "point_id"], "left").withColumn("at", F.coalesce("_near._middle", "y")).drop("_near")
+
+
+def note_x(page_width: Column, canvas_width: Column) -> Column:
+    """Where notes stand: in the middle of the margin right of the page, 12 off it at least; 0 without a page or canvas."""
+    there = (F.coalesce(page_width, F.lit(0.0)) != 0) & (F.coalesce(canvas_width, F.lit(0.0)) != 0)
+    return F.when(there, page_width + F.greatest(F.lit(12.0), (canvas_width - page_width) / 2)).otherwise(0.0)
 
 
 def note_y(notes: DataFrame, items: DataFrame, by: list[str]) -> DataFrame:

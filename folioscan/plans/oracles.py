@@ -197,8 +197,10 @@ ORACLES |= {
     "rect_rescaled": f"WITH {_RECTS} SELECT l_orderkey, seq, x * 1.5 AS x, y * 1.5 AS y, width * 1.5 AS width, height * 1.5 AS height FROM r",
     "path_rescaled": f"WITH {_RECTS} SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY seq, x, y, width) - 1 AS k, x * 0.25 AS x, y * 0.25 AS y FROM r",
     "text_spans": f"WITH {_LINES} SELECT doc_id, item_index, 0.0::DOUBLE AS x, round(item_index * 14 / 1.5::DOUBLE, 6) AS y, round(length(text) * 6 / 1.5::DOUBLE, 6) AS width, 8.0::DOUBLE AS height FROM i WHERE trim(text) <> ''",
-    "highlight_rects": f"""WITH {_RECTS}, a AS (SELECT * FROM r WHERE l_orderkey % 3 = 0 AND width > 20)
-SELECT l_orderkey, x, y, width, height FROM a UNION ALL SELECT l_orderkey, x, y, width, height FROM r WHERE width <= 20 AND l_orderkey NOT IN (SELECT l_orderkey FROM a)""",
+    "highlight_rects": f"""WITH {_RECTS}, a AS (SELECT * FROM r WHERE l_orderkey % 3 = 0 AND width > 20), h AS (SELECT * FROM a UNION ALL SELECT * FROM r WHERE width <= 20 AND l_orderkey NOT IN (SELECT l_orderkey FROM a)),
+o AS (SELECT *, max(x + width) OVER (PARTITION BY l_orderkey, y ORDER BY x, width, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS edge FROM h),
+s AS (SELECT *, sum(CASE WHEN edge IS NULL OR x > edge + 20 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey, y ORDER BY x, width, seq ROWS UNBOUNDED PRECEDING) AS island FROM o)
+SELECT l_orderkey, min(x) AS x, y, max(x + width) - min(x) AS width, max(height) AS height FROM s GROUP BY l_orderkey, y, island""",
     "note_y": f"WITH {_RECTS}, {_NOTES} SELECT n.l_orderkey, note_id, coalesce(r.y + r.height / 2, n.y, 16) AS at FROM n LEFT JOIN r ON r.l_orderkey = n.l_orderkey AND r.seq = n.item_index",
     "note_placed": f"""WITH {_RECTS}, {_NOTES}, k AS (SELECT n.l_orderkey, note_id, n.y, seq, row_number() OVER (PARTITION BY n.l_orderkey, note_id ORDER BY abs(r.y + r.height / 2 - n.y), seq) AS k FROM n LEFT JOIN r USING (l_orderkey) WHERE item_index IS NULL)
 SELECT l_orderkey, note_id, y, item_index FROM n WHERE item_index IS NOT NULL UNION ALL SELECT l_orderkey, note_id, greatest(16, least(34, y)), seq FROM k WHERE k = 1""",
@@ -225,7 +227,10 @@ SELECT doc_id, 0 AS item_id, min(item_index) AS start_item, arg_min(a, item_inde
   user_id % 10 AS page_index, event_id % 600 AS x, event_id % 800 AS y, coalesce(event_type, '') AS text FROM events""",
     "ann_catalog": f"""WITH {_ANN}, c(kind, name, value) AS (VALUES {_CATALOG}), n AS (SELECT id, CASE WHEN seq % 10 = 0 THEN 'width' ELSE type END AS type, ['Red', 'Green', 'Pink', 'Thick'][seq % 4 + 1] AS color_name FROM a)
 SELECT id, type, color_name, value AS color FROM n LEFT JOIN c ON kind = type AND name = color_name""",
-    "history_entries": f"WITH {_LOG} SELECT id, event_id, CASE WHEN action <> 'add' THEN lag(state) OVER (PARTITION BY id ORDER BY ts, event_id) END AS before, CASE WHEN action <> 'remove' THEN state END AS after FROM g",
+    "history_entries": f"""WITH {_LOG}, l AS (SELECT *, (SELECT count(*) FROM g r WHERE r.id = g.id AND r.action = 'remove' AND (r.ts, r.event_id) < (g.ts, g.event_id)) AS life FROM g),
+b AS (SELECT *, min(CASE WHEN action = 'add' THEN (ts, event_id) END) OVER (PARTITION BY id, life) AS born FROM l),
+e AS (SELECT * FROM b WHERE (action = 'add' AND (ts, event_id) = born) OR (action <> 'add' AND (ts, event_id) > born))
+SELECT id, event_id, CASE WHEN action <> 'add' THEN lag(state) OVER (PARTITION BY id, life ORDER BY ts, event_id) END AS before, CASE WHEN action <> 'remove' THEN state END AS after FROM e""",
     "history_undone": """WITH RECURSIVE e AS (SELECT user_id AS doc, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 s AS (SELECT DISTINCT doc, 0::BIGINT AS k, []::BIGINT[] AS u, []::BIGINT[] AS r FROM e UNION ALL
   SELECT s.doc, e.k, CASE WHEN event_type = 'error' THEN list_slice(u, 1, len(u) - 1) WHEN event_type = 'signup' THEN CASE WHEN len(r) > 0 THEN list_append(u, r[len(r)]) ELSE u END ELSE list_append(u, event_id) END,

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from folioscan.plans import pages
+from folioscan.plans import edits, encodings, pages
 from folioscan.plans.oracles import ORACLES as _ORACLES
 from folioscan.plans.queries import QUERIES as _QUERIES
 
-QUERIES = {**_QUERIES, **pages.QUERIES}
-ORACLES = {**_ORACLES, **pages.ORACLES}
+QUERIES = {**_QUERIES, **pages.QUERIES, **edits.QUERIES, **encodings.QUERIES}
+ORACLES = {**_ORACLES, **pages.ORACLES, **edits.ORACLES, **encodings.ORACLES}
 
 FLAGSHIP = "anchor_exact"
 

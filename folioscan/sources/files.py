@@ -15,7 +15,7 @@ ANNOTATION = (
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """path, content, version and is_valid (the content begins with %PDF-) of the .pdf files below path."""
+    """path, content, version and is_valid (the content begins with %PDF-) of the .pdf files below path; an empty file has no row."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path)
     head = F.substring("content", 1, 8)
     valid = F.coalesce(F.substring("content", 1, 5) == F.lit(b"%PDF-"), F.lit(False))

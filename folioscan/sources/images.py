@@ -73,7 +73,7 @@ def rgba(data: bytes, width: int, height: int, mode: str, base: str | None = Non
 
 
 def pixels(described_: DataFrame) -> DataFrame:
-    """path, obj, rgba, problem of described images of 8 bits; without rgba, the problem says why."""
+    """path, obj, rgba, problem of described images of 8 bits; the problem says why there is no rgba, or which filter failed, after which the data counts as it was."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +84,7 @@ def pixels(described_: DataFrame) -> DataFrame:
                     plain, problem = None, f"{bits} bits"
                 own = None if plain is None else rgba(plain, width, height, mode, base, palette)
                 out.append(own)
-                why.append(problem if own is None and problem else "too short" if own is None else None)
+                why.append(problem or ("too short" if own is None else None))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.array(why, pa.string())], names=["path", "obj", "rgba", "problem"])
 
     rows = described_.select("path", "obj", F.to_json("value").alias("tree"), "data", "width", "height", "bits", "encoded", "mode", "base", "palette")

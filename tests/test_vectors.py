@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 import zlib
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,79 +163,6 @@ def test_strings(token, want):
     assert pdf.string(token) == want
 
 
-def test_page_files(spark):
-    flate = zlib.compress(b"q 2 0 0 2 0 0 cm BT /F1 10 Tf 5 7 Td (up) Tj 0 -3 TD [(a) -100 <62>] TJ T* (n) ' ET Q BT 1 1 Td (end) Tj ET")
-    data = (
-        b"%PDF-1.5\n9 0 obj <</Type /Pages /Kids [8 0 R 7 0 R] /MediaBox [0 0 10 20]>> endobj\n8 0 obj <</Type /Pages /Parent 9 0 R /Kids [6 0 R]>> endobj\n"
-        b"6 0 obj <</Type /Page /Parent 8 0 R /Contents 5 0 R>> endobj\n7 0 obj <</Type /Page /Parent 9 0 R /MediaBox [0 0 1 1] /Contents 4 0 R>> endobj\n"
-        b"4 0 obj <<>> stream\nBT (old) Tj ET\nendstream endobj\n4 0 obj <<>> stream\nBT (new) Tj ET\nendstream endobj\n"
-        b"5 0 obj <</Filter [/FlateDecode]>> stream\n" + flate + b"\nendstream endobj\n"
-    )
-    found = pdf.objects(spark.createDataFrame([("p", bytearray(data))], "path string, content binary"))
-    assert [(r["page_index"], r["obj"], r["media_box"]) for r in pdf.pages(found).orderBy("page_index").collect()] == [(0, 6, "0 0 10 20"), (1, 7, "0 0 1 1")]
-    text = pdf.read_text(spark.createDataFrame([("p", bytearray(data))], "path string, content binary")).orderBy("page_index", "seq").collect()
-    assert [(r["page_index"], r["text"], round(r["x"], 3), round(r["y"], 3)) for r in text] == [
-        (0, "up", 10.0, 14.0), (0, "a", 10.0, 8.0), (0, "b", 24.0, 8.0), (0, "n", 10.0, -4.0), (0, "end", 1.0, 1.0), (1, "new", 0.0, 0.0),
-    ]
-
-
-def read(spark, data):
-    rows = pdf.read_text(spark.createDataFrame([("p", bytearray(data))], "path string, content binary")).orderBy("page_index", "seq").collect()
-    return [r["text"] for r in rows]
-
-
-def page_file(*objects, contents=b"4 0 R"):
-    return b"%PDF-1.5\n1 0 obj <</Type /Pages /Kids [2 0 R]>> endobj\n2 0 obj <</Type /Page /Parent 1 0 R /Contents " + contents + b">> endobj\n" + b"\n".join(objects)
-
-
-def stream(number, data, more=b"", length=True):
-    size = b"/Length %d" % len(data) if length else b"/Length 99 0 R"
-    return b"%d 0 obj <<%s %s>> stream\n%s\nendstream endobj" % (number, size, more, data)
-
-
-def test_contents_arrays(spark):
-    parts = [stream(4, b"BT (a) T"), stream(5, b"j ET"), stream(6, b"BT (b) Tj"), stream(7, b"(c) Tj ET")]
-    assert read(spark, page_file(*parts, contents=b"[6 0 R 7 0 R]")) == ["b", "c"]
-    assert read(spark, page_file(*parts, b"8 0 obj [7 0 R 6 0 R] endobj", contents=b"8 0 R")) == ["c", "b"]
-    assert read(spark, page_file(*parts, contents=b"[4 0 R 5 0 R]")) == []
-    assert read(spark, page_file(*parts, contents=b"[40 0 R 6 0 R]")) == ["b"]
-
-
-def test_content_lexing(spark):
-    deep = b"(" * 3000 + b"x" + b")" * 3000
-    assert read(spark, page_file(stream(4, b"BT (a(b(c(d)e)f)g) Tj % (comment) Tj\n(\\)\\() Tj " + deep + b" Tj (" + b"y" * 50000 + b") Tj ET"))) == [
-        "a(b(c(d)e)f)g", ")(", deep[1:-1].decode(), "y" * 50000,
-    ]
-    assert read(spark, page_file(stream(4, b"BI /W 1 /H 1 ID (no) Tj EI BT 1.2.3 2-3 Td (in) Tj (open"))) == ["in"]
-    assert list(pdf._lexed(b"/A#20B 1.2.3 1-2 -.5 gs [(x)-3 true]TJ")) == [("gs", ["/A B", "1.2", "1", "-.5"]), ("TJ", ["[", "(x)", "-3", "true", "]"])]
-    assert list(pdf._lexed(b"")) == list(pdf._lexed(b"(")) == list(pdf._lexed(b") > % x")) == []
-
-
-def test_stream_lengths(spark):
-    data = b"BT (endstream endobj 9 0 obj) Tj ET"
-    assert read(spark, page_file(stream(4, data))) == ["endstream endobj 9 0 obj"]
-    assert read(spark, page_file(stream(4, b"BT (n) Tj ET", length=False))) == ["n"]
-    assert read(spark, page_file(b"4 0 obj <</Length 3>> stream\r\nBT (wrong length) Tj ET\r\nendstream")) == ["wrong length"]
-    assert read(spark, b"") == read(spark, b"no objects") == []
-
-
-def test_filters_with_predictors(spark):
-    data = b"BT (predicted) Tj ET".ljust(24)
-    rows = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    up = b"".join(b"\x02" + bytes(r) for r in np.diff(rows, axis=0, prepend=np.zeros((1, 6), np.uint8)))
-    tiff = np.concatenate([rows[:, :2], rows[:, 2:] - rows[:, :-2]], axis=1).tobytes()
-    assert read(spark, page_file(stream(4, zlib.compress(up), b"/Filter /FlateDecode /DecodeParms <</Predictor 12 /Columns 6>>"))) == ["predicted"]
-    hexed = zlib.compress(tiff).hex().encode() + b">"
-    assert read(spark, page_file(stream(4, hexed, b"/Filter [/AHx /Fl] /DecodeParms [null <</Predictor 2 /Columns 3 /Colors 2>>]"))) == ["predicted"]
-
-
-def test_object_streams(spark):
-    members = [b"<</Type /Pages /Kids [2 0 R]>>", b"<</Type /Page /Parent 1 0 R /Contents 4 0 R>>"]
-    head = b"1 0 2 %d " % (len(members[0]) + 1)
-    held = stream(3, zlib.compress(head + b" ".join(members)), b"/Type /ObjStm /N 2 /First %d /Filter /FlateDecode" % len(head))
-    assert read(spark, b"%PDF-1.5\n" + held + b"\n" + stream(4, b"BT (held) Tj ET")) == ["held"]
-
-
 FONT = {"two_byte": False, "encoding": None, "differences": {}, "unicode": None}
 
 
@@ -261,14 +187,74 @@ def test_font_maps():
     assert fonts.differences(names) == {39: "'", 40: "A", 200: "7", 201: "b", 202: "€", 203: "fi", 204: "?"}
 
 
-def test_fonts_of_pages(spark):
-    page = b"%PDF-1.5\n1 0 obj <</Type /Pages /Kids [2 0 R 3 0 R] /Resources 8 0 R>> endobj\n2 0 obj <</Type /Page /Contents 4 0 R>> endobj\n"
-    page += b"3 0 obj <</Type /Page /Resources <</Font <</F1 6 0 R>>>> /Contents 4 0 R>> endobj\n8 0 obj <</Font 9 0 R>> endobj\n9 0 obj <</F1 5 0 R>> endobj\n"
-    page += b"5 0 obj <</Type /Font /ToUnicode 7 0 R>> endobj\n6 0 obj <</Type /Font /Encoding 10 0 R>> endobj\n10 0 obj <</Differences [97 /bullet]>> endobj\n"
-    assert read(spark, page + stream(4, b"BT /F1 1 Tf (abc) Tj /F2 1 Tf (abc) Tj ET") + b"\n" + stream(7, b"beginbfchar <61> <0078> endbfchar")) == ["xbc", "abc", "•bc", "abc"]
-
-
 def test_replay(spark):
     log = [("a", 1, "update", 0.0), ("a", 2, "add", 1.0), ("a", 3, "add", 9.0), ("a", 4, "update", 2.0), ("b", 5, "add", 1.0), ("b", 6, "remove", None), ("c", 7, "add", 5.0)]
     got = annotations.replay(spark.createDataFrame(log, "id string, seq long, action string, state double"))
     assert {r["id"]: (r["state"], r["n_updates"]) for r in got.collect()} == {"a": (2.0, 1), "c": (5.0, 0)}
+
+
+def test_first_of_equal_ids(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 3, "z")], "id string, seq long, text string")
+    changed = spark.createDataFrame([("a", 9, "new"), ("c", 9, "new")], "id string, seq long, text string")
+    assert sorted(map(tuple, annotations.update(rows, changed).collect())) == [("a", 1, "new"), ("a", 2, "y"), ("b", 3, "z")]
+    assert sorted(map(tuple, annotations.remove(rows, changed).collect())) == [("a", 2, "y"), ("b", 3, "z")]
+
+
+def test_history_has_what_took_effect(spark):
+    log = [("a", 1, "update", 0.0), ("a", 2, "add", 1.0), ("a", 3, "add", 9.0), ("a", 4, "remove", None), ("a", 5, "update", 2.0), ("a", 6, "remove", None), ("a", 7, "add", 3.0), ("a", 8, "update", 4.0), ("b", 1, "remove", None)]
+    got = annotations.history_entries(spark.createDataFrame(log, "id string, seq long, action string, state double")).orderBy("seq").collect()
+    assert [(r["id"], r["seq"], r["before"], r["after"]) for r in got] == [("a", 2, None, 1.0), ("a", 4, 1.0, None), ("a", 7, None, 3.0), ("a", 8, 3.0, 4.0)]
+
+
+def test_undo_restores_states(spark):
+    steps = [("add", "a", 1), ("add", "b", 2), ("update", "a", 3), ("undo", None, None), ("remove", "a", None), ("undo", None, None), ("redo", None, None), ("undo", None, None), ("update", "z", 1), ("add", "b", 5), ("remove", "b", None), ("undo", None, None)]
+    log = [(1, k, *s) for k, s in enumerate(steps)] + [(2, 0, "undo", None, None), (3, 0, "add", "a", 1), (3, 1, "undo", None, None), (3, 2, "redo", None, None)]
+    got = annotations.restored(spark.createDataFrame(log, "doc long, seq long, action string, id string, state long").repartition(3)).orderBy("doc", "place").collect()
+    # a comes back behind b; of the two rows of b the first is removed and comes back at the end
+    assert [tuple(r) for r in got] == [(1, 1, "a", 1), (1, 2, "b", 5), (1, 3, "b", 2), (3, 1, "a", 1)]
+
+
+def test_offsets_in_items_without_a_width(spark):
+    items = spark.createDataFrame([("abc", 5.0, 0.0), ("abc", 0.0, 30.0), ("", 0.0, 0.0)], "text string, x double, width double")
+    got = items.select(geometry.offset_at(F.lit(12.0), True).alias("a"), geometry.offset_at(F.lit(12.0), False).alias("b")).collect()
+    assert [tuple(r) for r in got] == [(0, 3), (1, 2), (0, 0)]
+
+
+def test_lines(spark):
+    got = [value(spark, T.lines(F.lit(x))) for x in ("", "a", "a\n", "a\r\nb\rc\n\nd", "\n", None)]
+    assert got == [[], ["a"], ["a"], ["a", "b", "c", "", "d"], [""], []]
+
+
+def test_failing_filters_are_told(spark):
+    rows = spark.createDataFrame([(1, bytearray(b"never deflated")), (2, bytearray(zlib.compress(b"x"))), (3, None)], "id long, data binary")
+    got = {r["id"]: r for r in codecs.apply(rows, "data", [codecs.flate_decode], "error").collect()}
+    assert bytes(got[1]["data"]) == b"never deflated" and got[1]["error"].startswith("flate_decode") and bytes(got[2]["data"]) == b"x" and got[2]["error"] is None and got[3]["data"] is None
+
+
+def test_document_files(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7\n")
+    (tmp_path / "b.PDF").write_bytes(b"no")
+    (tmp_path / "c.txt").write_bytes(b"%PDF-1.7\n")
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "e.pdf").write_bytes(b"%PDF")
+    got = {r["path"].rpartition("/")[2]: (r["version"], r["is_valid"]) for r in files.documents(spark, str(tmp_path)).collect()}
+    assert got == {"a.pdf": ("1.7", True), "b.PDF": (None, False), "e.pdf": (None, False)}
+
+
+def test_only_newer_models_are_anchored_again(spark, tmp_path):
+    from folioscan.streaming import refresh
+
+    seen = []
+
+    def recover(docs, quotes):
+        seen.append(sorted(r["doc_id"] for r in docs.collect()))
+        return anchors.exact(docs, quotes)
+
+    quotes = spark.createDataFrame([(1, "the quick brown fox")], "item_id long, text string")
+    shape, folder = "doc_id long, version int, text string", f"{tmp_path}/anchors"
+    for models in ([(1, 1, "The quick\nbrown fox"), (2, 1, "x\nthe quick brown fox"), (3, 1, "none")], [(1, 2, "\nThe quick\nbrown fox"), (1, 1, "gone"), (2, 1, "gone")]):
+        spark.createDataFrame(models, shape).write.mode("append").parquet(f"{tmp_path}/models")
+        refresh.follow(spark.readStream.schema(shape).parquet(f"{tmp_path}/models"), quotes, folder, recover)
+    assert seen == [[1, 2, 3], [1]]
+    got = sorted(tuple(r[c] for c in ("doc_id", "version", "start_item", "end_item")) for r in refresh.stored(spark, folder).collect())
+    assert got == [(1, 2, 1, 2), (2, 1, 1, 1)]
