@@ -1,14 +1,14 @@
 """Surrogates for personal data, in DataFrame functions only.
 
 Entities are e-mail addresses, IPv4 addresses, phone, card and social-security numbers, IBANs, long hexadecimal
-secrets, and names after a form of address; the words of such a name are found again anywhere in its text, as they
-stand or in capitals. Each gets a
-replacement drawn from a keyed digest (HMAC) of its kind and its canonical form (case, spacing and punctuation aside), so
+secrets, and names of up to four words after a form of address, which may have hyphens, apostrophes and initials; the
+words of such a name but for initials are found again anywhere in its text, as they stand or in capitals, unless a pronoun
+stands before them. Each gets a replacement drawn from a keyed digest (HMAC) of its kind and its canonical form (case, spacing and punctuation aside), so
 the same entity has the same surrogate in every document and in every spelling, and the spelling's own format is kept:
 punctuation, grouping, capitals, length; the country code of a phone; the first digit of a card, whose check digit is
 right; the country, the letters and digits by place and right check digits of an IBAN; the form of address of a name.
 Given names and surnames are drawn word by word, so "Mrs. Jane Doe", "Jane Doe" and "Mrs. Doe" stay one person; given
-names have the gender of the form of address, and all names the script. Surrogates of addresses are from the reserved
+names have the gender of the form of address, where it has one, and all names the script. Surrogates of addresses are from the reserved
 range 240.0.0.0/4 and those of phones have an exchange that begins with 0 or 1, so neither is in use anywhere.
 
 Distinct entities must get distinct surrogates, and none that is itself an entity of the corpus. `collisions` counts
@@ -36,9 +36,12 @@ KEY_SETTING, KEY = "spark.folioscan.surrogates.key", "public test key"
 ATTEMPTS = 64
 BROADCAST_BYTES = 32 << 20
 
-# Forms of address by gender, given names by gender and script, syllables by script.
-WOMEN = "Mrs|Ms|Miss|Frau|Señora|Madame|Mme|Госпожа|Κυρία"
-MEN = "Mr|Herr|Señor|Monsieur|Господин|Κύριος"
+# Forms of address by gender and without one, given names by gender and script, syllables by script. In
+# capitals the shortest ones need a full stop, as they stand for other things too.
+WOMEN = r"Mrs|MRS|Ms|MS(?=\.)|Miss|MISS|Frau|FRAU|Señora|SEÑORA|Madame|MADAME|Mme|Госпожа|ГОСПОЖА|Κυρία|ΚΥΡΙΑ"
+MEN = r"Mr|MR(?=\.)|Herr|HERR|Señor|SEÑOR|Monsieur|MONSIEUR|Господин|ГОСПОДИН|Κύριος|ΚΥΡΙΟΣ"
+OTHER = r"Dr|DR(?=\.)|Prof|PROF(?=\.)"
+TITLES = f"{WOMEN}|{MEN}|{OTHER}"
 GIVEN = {
     ("woman", "latin"): "Ada Berta Clara Dora Elena Frida Greta Hanna Irma Julia Klara Lena Marta Nora Olga Paula".split(),
     ("man", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Lukas Martin Nico Oskar Paul".split(),
@@ -47,13 +50,14 @@ GIVEN = {
     ("woman", "greek"): "Άννα Δήμητρα Ελένη Ζωή Ηρώ Ιωάννα Μαρία Σοφία".split(),
     ("man", "greek"): "Άγγελος Βασίλης Γιώργος Δημήτρης Ηλίας Κώστας Νίκος Πέτρος".split(),
 }
+GIVEN |= {("given", script): GIVEN["woman", script] + GIVEN["man", script] for script in ("latin", "cyrillic", "greek")}
 SYLLABLES = {
     "latin": "ba be bi bo bu da de di do du ga ge go ka ke ki ko la le li lo lu ma me mi mo mu na ne ni no ra re ri ro sa se si so ta te ti to va ve vi".split(),
     "cyrillic": "ба бо ва ви го да де ди жа за ка ко ла ле ли ло ма ми мо на но па по ра ри ро са со та ти".split(),
     "greek": "βα γε δα δι ζα θα κα κο λα λε λι μα με μι να νι πα πε ρα ρο σα σι τα τι".split(),
 }
 
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)+[A-Za-z]{2,}"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.){1,127}[A-Za-z]{2,}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 IP = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"
@@ -61,10 +65,14 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?![0-9])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 SECRET = r"(?<![\p{L}\p{N}])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,64}(?![\p{L}\p{N}])"
-PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{WOMEN}|{MEN})\.? \p{{Lu}}[\p{{L}}]+(?: \p{{Lu}}[\p{{L}}]+)?"
+#: A word of a name: letters, with hyphens and apostrophes between them, or an initial.
+NAME = r"(?:\p{Lu}\p{L}+(?:['’-]\p{L}+){0,3}|\p{Lu}['’]\p{L}+(?:-\p{L}+){0,2}|\p{Lu}\.)"
+PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? {NAME}(?: {NAME}){{0,3}}"
+#: What a name does not follow: after these a word like one is a verb.
+BEFORE = r"(?<!(?<![\p{L}\p{N}])(?:I|[Yy]ou|[Ww]e|[Tt]hey|[Hh]e|[Ss]he|[Ii]t|[Ww]ho) )"
 ENTITY = f"{EMAIL}|{IP}|{CARD}|{SSN}|{PHONE}|{IBAN}|{SECRET}|{PERSON}"
 #: What any entity has somewhere, IPs of single digits and secrets included: most texts without one are passed over at the cost of this search.
-HINT = rf"[0-9]{{2}}|@|[0-9]\.[0-9]|[0-9a-fA-F]{{32}}|(?:{WOMEN}|{MEN})\.? \p{{Lu}}"
+HINT = rf"[0-9]{{2}}|@|[0-9]\.[0-9]|[0-9a-fA-F]{{32}}|(?:{TITLES})\.? \p{{Lu}}"
 
 
 def _sql(pattern: str) -> str:
@@ -75,18 +83,26 @@ def _words(values: list[str]) -> str:
     return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-TITLE = rf"^(?:{WOMEN}|{MEN})\.? "
+TITLE = rf"^(?:{TITLES})\.? "
+
+
+def _role(e: str) -> str:
+    """What word i of a person is: the last one a surname, those before it given names of the gender of the form of address."""
+    last = f"size(split(regexp_replace({e}, {_sql(TITLE)}, ''), ' ')) - 1"
+    return f"CASE WHEN i = {last} THEN 'surname' WHEN {e} RLIKE {_sql(f'^(?:{WOMEN})')} THEN 'woman' WHEN {e} RLIKE {_sql(f'^(?:{MEN})')} THEN 'man' ELSE 'given' END"
+
+
 KIND = f"""CASE WHEN contains(e, '@') THEN 'email' WHEN e RLIKE {_sql(f"^{IP}$")} THEN 'ip' WHEN e RLIKE {_sql(f"^{CARD}$")} THEN 'card'
   WHEN e RLIKE {_sql(f"^{SSN}$")} THEN 'ssn' WHEN e RLIKE {_sql(f"^{SECRET}$")} THEN 'secret' WHEN e RLIKE {_sql(f"^{IBAN}$")} THEN 'iban'
-  WHEN e RLIKE {_sql(TITLE)} THEN 'person' WHEN e RLIKE {_sql(r"^\p{L}+$")} THEN 'name' ELSE 'phone' END"""
+  WHEN e RLIKE {_sql(TITLE)} THEN 'person' WHEN e RLIKE {_sql(r"^\p{L}[\p{L}'’-]*$")} THEN 'name' ELSE 'phone' END"""
 CANON = r"""CASE WHEN e.kind IN ('card', 'ssn', 'phone') THEN regexp_replace(e.e, '[^0-9]', '') WHEN e.kind = 'iban' THEN replace(e.e, ' ', '') ELSE lower(e.e) END"""
 #: The words of the names in a text's entities, with what each is.
 ROLES = f"""flatten(transform(filter(found, e -> e RLIKE {_sql(TITLE)}), e -> transform(split(regexp_replace(e, {_sql(TITLE)}, ''), ' '),
-  (w, i) -> named_struct('word', w, 'kind', CASE WHEN i > 0 OR NOT contains(regexp_replace(e, {_sql(TITLE)}, ''), ' ') THEN 'surname' WHEN e RLIKE {_sql(f"^(?:{WOMEN})")} THEN 'woman' ELSE 'man' END))))"""
+  (w, i) -> named_struct('word', w, 'kind', {_role('e')}))))"""
 #: Of each entity what stands before its units, as it stands, and the units: as it stands, kind, canonical form.
 UNITS = f"""transform(transform(found, e -> named_struct('e', e, 'kind', {KIND})), e -> named_struct(
   'before', CASE WHEN e.kind = 'person' THEN regexp_extract(e.e, {_sql(TITLE)}, 0) ELSE '' END,
-  'units', CASE WHEN e.kind = 'person' THEN transform(split(regexp_replace(e.e, {_sql(TITLE)}, ''), ' '), (w, i) -> named_struct('e', w, 'kind', CASE WHEN i > 0 OR NOT contains(regexp_replace(e.e, {_sql(TITLE)}, ''), ' ') THEN 'surname' WHEN e.e RLIKE {_sql(f"^(?:{WOMEN})")} THEN 'woman' ELSE 'man' END, 'canon', lower(w)))
+  'units', CASE WHEN e.kind = 'person' THEN transform(split(regexp_replace(e.e, {_sql(TITLE)}, ''), ' '), (w, i) -> named_struct('e', w, 'kind', {_role('e.e')}, 'canon', lower(w)))
     WHEN e.kind = 'name' THEN array(named_struct('e', e.e, 'kind', filter(roles, r -> lower(r.word) = lower(e.e))[0].kind, 'canon', lower(e.e)))
     ELSE array(named_struct('e', e.e, 'kind', e.kind, 'canon', {CANON})) END))"""
 SCRIPT = r"CASE WHEN x.canon RLIKE '\\p{IsCyrillic}' THEN 'cyrillic' WHEN x.canon RLIKE '\\p{IsGreek}' THEN 'greek' ELSE 'latin' END"
@@ -109,9 +125,9 @@ def _syllables(script: str, first: int, last: str) -> str:
 
 def _name(script: str) -> str:
     """A surname of four syllables of the script, or a given name of the gender; each further attempt adds a syllable."""
-    given = [f"{_words(GIVEN[g, script])}[{_at('1')} % {len(GIVEN[g, script])}]" for g in ("woman", "man")]
+    given = [f"{_words(GIVEN[g, script])}[{_at('1')} % {len(GIVEN[g, script])}]" for g in ("woman", "man", "given")]
     more = f"CASE WHEN x.attempt = 0 THEN '' ELSE {_syllables(script, 1, 'least(x.attempt, 8)')} END"
-    return f"CASE x.kind WHEN 'surname' THEN {_syllables(script, 1, 'least(x.attempt, 8) + 4')} WHEN 'woman' THEN concat(lower({given[0]}), {more}) ELSE concat(lower({given[1]}), {more}) END"
+    return f"CASE x.kind WHEN 'surname' THEN {_syllables(script, 1, 'least(x.attempt, 8) + 4')} WHEN 'woman' THEN concat(lower({given[0]}), {more}) WHEN 'man' THEN concat(lower({given[1]}), {more}) ELSE concat(lower({given[2]}), {more}) END"
 
 
 CARD_BODY = f"concat(substring(x.canon, 1, 1), {_digits('1', '14')})"
@@ -132,7 +148,7 @@ CORE = f"""CASE x.kind
 #: The surrogate in the format of the entity as it stands.
 AS_IT_STANDS = r"""CASE WHEN x.kind IN ('card', 'ssn', 'phone', 'iban') THEN
     aggregate(split(x.e, ''), named_struct('out', '', 'k', 1), (a, c) -> CASE WHEN c RLIKE '[\\p{L}\\p{N}]' THEN named_struct('out', concat(a.out, substring(x.core, a.k, 1)), 'k', a.k + 1) ELSE named_struct('out', concat(a.out, c), 'k', a.k) END, a -> a.out)
-  WHEN x.kind IN ('woman', 'man', 'surname') THEN CASE WHEN x.e = upper(x.e) THEN upper(x.core) ELSE initcap(x.core) END
+  WHEN x.kind IN ('woman', 'man', 'given', 'surname') THEN CASE WHEN x.e = upper(x.e) AND length(x.e) > 2 THEN upper(x.core) ELSE initcap(x.core) END
   WHEN x.e = upper(x.e) THEN upper(x.core) ELSE x.core END"""
 
 
@@ -150,9 +166,10 @@ def _with_entities(rows: DataFrame) -> DataFrame:
     text, none = F.col("text"), F.array().cast("array<string>")
     titled = rows.withColumn("found", F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(none))
     roles = titled.withColumn("roles", F.expr(ROLES))
-    words = F.array_join(F.array_distinct(F.flatten(F.transform("roles", lambda r: F.array(r["word"], F.upper(r["word"]))))), "|")
-    pattern = F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?:"), words, F.lit(r")(?![\p{L}\p{N}])"))
-    named = F.size("roles") > 0
+    whole = F.filter("roles", lambda r: ~r["word"].endswith("."))  # initials are not looked for elsewhere
+    words = F.array_join(F.array_distinct(F.flatten(F.transform(whole, lambda r: F.array(r["word"], F.upper(r["word"]))))), "|")
+    pattern = F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])" + BEFORE + "(?:"), words, F.lit(r")(?![\p{L}\p{N}])"))
+    named = F.size(whole) > 0
     again = roles.withColumn("pattern", F.when(named, pattern).otherwise(F.lit(ENTITY)))
     return again.withColumn("found", F.when(named, F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).otherwise(F.col("found")))
 

@@ -410,15 +410,15 @@ def test_a_person_stays_one_person(spark):
 def test_surrogates_by_plain_python(spark, docs, texts):
     """Kinds, units, keyed digests, attempts and formats, written once more without Spark."""
     s, key = surrogates, "k'€"
-    extra = {200 + k: x for k, x in enumerate(("8.8.8.8 and 8.8.8.8, call +49 30 1234 5678 or (555) 010-9999", "Frau Vera Müller, DE89 3704 0044 0532 0130 00, Vera", "Госпожа Анна Иванова; Анна", "SSN 123-45-6789 " + "aB3f" * 8, "Mr. Doe, Ms. DOE"))}
+    extra = {200 + k: x for k, x in enumerate(("8.8.8.8 and 8.8.8.8, call +49 30 1234 5678 or (555) 010-9999", "Frau Vera Müller, DE89 3704 0044 0532 0130 00, Vera", "Госпожа Анна Иванова; Анна", "SSN 123-45-6789 " + "aB3f" * 8, "Mr. Doe, Ms. DOE", "MRS. ANNA-MARIA O'BRIEN and Dr. J. R. Will; I Will, Will and O'Brien, who Will see Mr. Jean-Luc de Roe."))}
     every = texts | extra
-    kinds = [("ip", s.IP), ("card", s.CARD), ("ssn", s.SSN), ("secret", s.SECRET), ("iban", s.IBAN), ("person", s.TITLE[1:] + ".*"), ("name", r"\p{L}+")]
+    kinds = [("ip", s.IP), ("card", s.CARD), ("ssn", s.SSN), ("secret", s.SECRET), ("iban", s.IBAN), ("person", s.TITLE[1:] + ".*"), ("name", r"\p{L}[\p{L}'’-]*")]
 
     def units(e: str, roles: dict) -> list[tuple[str, str, str]]:
         kind = "email" if "@" in e else next((k for k, p in kinds if regex.fullmatch(p, e)), "phone")
         if kind == "person":
             words = regex.sub(s.TITLE, "", e).split(" ")
-            return [(w, "surname" if k == len(words) - 1 else "woman" if regex.match(s.WOMEN, e) else "man", w.lower()) for k, w in enumerate(words)]
+            return [(w, "surname" if k == len(words) - 1 else "woman" if regex.match(s.WOMEN, e) else "man" if regex.match(s.MEN, e) else "given", w.lower()) for k, w in enumerate(words)]
         canon = re.sub("[^0-9]", "", e) if kind in ("card", "ssn", "phone") else e.replace(" ", "") if kind == "iban" else e.lower()
         return [(e, roles[e.lower()] if kind == "name" else kind, canon)]
 
@@ -429,8 +429,8 @@ def test_surrogates_by_plain_python(spark, docs, texts):
             if regex.match(s.TITLE, m[0]):
                 for w, kind, _ in units(m[0], {}):
                     roles.setdefault(w.lower(), kind)
-                    spelt += [w, w.upper()]
-        return (s.ENTITY + (r"|(?<![\p{L}\p{N}])(?:" + "|".join(dict.fromkeys(spelt)) + r")(?![\p{L}\p{N}])" if roles else "")), roles
+                    spelt += [] if w.endswith(".") else [w, w.upper()]
+        return (s.ENTITY + (r"|(?<![\p{L}\p{N}])" + s.BEFORE + "(?:" + "|".join(dict.fromkeys(spelt)) + r")(?![\p{L}\p{N}])" if spelt else "")), roles
 
     def core(kind: str, canon: str, attempt: int) -> str:
         d = hmac.new(key.encode(), f"{kind}|{attempt}|{canon}".encode(), hashlib.sha256).hexdigest()
@@ -481,7 +481,8 @@ def test_surrogates_by_plain_python(spark, docs, texts):
                 letters = iter(x)
                 out.append("".join(next(letters) if regex.match(r"[\p{L}\p{N}]", c) else c for c in e))
             else:
-                out.append(x.upper() if e == e.upper() else x.capitalize() if kind in ("woman", "man", "surname") else x)
+                named = kind in ("woman", "man", "given", "surname")
+                out.append(x.upper() if e == e.upper() and not (named and len(e) < 3) else x.capitalize() if named else x)
         before = regex.match(s.TITLE, m[0])
         return (before[0] if before else "") + " ".join(out)
 
@@ -491,6 +492,21 @@ def test_surrogates_by_plain_python(spark, docs, texts):
         assert got[i]["text"] == want
 
 
+def test_names_with_hyphens_apostrophes_and_more_words(spark):
+    hidden = {
+        "Mrs. Anna-Maria Schmidt": "Anna Maria Schmidt", "Mr. Sean O'Brien": "Sean Brien", "Mrs. Jane Mary Doe": "Jane Mary Doe", "Ms. Ann Doe-Smith": "Doe Smith", "MRS. JANE DOE": "JANE DOE",
+        "Dr. Jane Doe": "Jane Doe", "Mr. J. Smith": "Smith", "Prof Zoë D’Arcy": "Zoë Arcy", "HERR KARL MEIER": "KARL MEIER", "Mr. A. B. C. Dent": "Dent",
+    }
+    df = spark.createDataFrame([(k, f"then {x} came") for k, x in enumerate(hidden)], "doc_id long, text string")
+    got = by_id(surrogates.protect(df))
+    for k, words_ in enumerate(hidden.values()):
+        assert not any(w in got[k]["text"] for w in words_.split(" ")) and got[k]["text"].startswith("then ") and got[k]["text"].endswith(" came")
+    kept = ["Mrs. Ann Will said: I Will go, and they Will too", "MS Word and MR Imaging", "x@" + "a." * 50_000 + "com", "x@" + "a-" * 50_000]
+    out = by_id(surrogates.protect(spark.createDataFrame(list(enumerate(kept)), "doc_id long, text string")))
+    assert "I Will go, and they Will too" in out[0]["text"] and "Ann" not in out[0]["text"]
+    assert [out[k]["text"] for k in (1, 2, 3)] == kept[1:]
+
+
 def test_clashing_surrogates_are_drawn_again(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "CORE", "concat(substring(x.d, 1, 1), '@example.net')")
     rows = [(k, f"to user{k}@mail.example.com and user{k + 1}@mail.example.com") for k in range(9)]
