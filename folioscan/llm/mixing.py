@@ -2,12 +2,12 @@
 
 Sizes are words. Sources share the corpus by weight, no target passes `MAX_REPEATS` times its source's size, and what
 is cut off goes to the other sources by weight until none is above. Each document then comes floor(rate) times, plus
-one more copy when a number drawn from a keyed hash of the document falls below the rate's fraction; the draw depends
-on nothing but the document and the seed, so reruns and retried tasks agree.
+one more copy when a number drawn from a keyed hash of the document, its id and its text, falls below the rate's
+fraction; the draw depends on nothing but the document and the seed, so reruns and retried tasks agree.
 
 Defined cases: a null text has size 0 and so has an empty one; null sources form one source of their own, last in
-order; a source of size 0 has target 0 and rate 0; repeated rows are documents of their own and draw alike; a null
-doc_id draws from the seed alone; an empty table gives an empty result; other columns, whatever their names, pass
+order; a source of size 0 has target 0 and rate 0; a null doc_id draws from the text, and so do documents that
+share an id; rows that repeat both id and text are documents of their own and draw alike; an empty table gives an empty result; other columns, whatever their names, pass
 through `mix` unread.
 """
 
@@ -28,7 +28,8 @@ BROADCAST_SOURCES = 100_000
 
 def sized(docs: DataFrame) -> DataFrame:
     """Each row of docs as `row`, with its source, its `size` (words) and `draw`, a number from 0 to 1 exclusive."""
-    digest = F.md5(F.concat_ws(":", F.lit(SEED).cast("string"), F.col("row.doc_id").cast("string")).cast("binary"))
+    own = F.md5(F.coalesce(F.col("row.text"), F.lit("")).cast("binary"))
+    digest = F.md5(F.concat_ws(":", F.lit(SEED).cast("string"), F.col("row.doc_id").cast("string"), own).cast("binary"))
     draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return whole.select("row", F.col("row.source").alias("source"), F.size(words_of(F.col("row.text"))).cast("long").alias("size"), draw.alias("draw"))
@@ -82,7 +83,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
-  ('0x' || substr(md5(concat_ws(':', '20031', doc_id::VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw FROM documents),
+  ('0x' || substr(md5(concat_ws(':', '20031', doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw FROM documents),
 p AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 k AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k, (source_size * 3)::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE AS total FROM p),
 w AS (SELECT *, (k % 3 + 1)::DOUBLE AS weight FROM k),

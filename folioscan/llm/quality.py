@@ -174,3 +174,13 @@ f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
   + CASE WHEN 10 * n_exclamations > 3 * n_words THEN 32 ELSE 0 END + CASE WHEN 2 * n_capitals > word_chars THEN 64 ELSE 0 END)::BIGINT AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
 """
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects of the documents, from the ledger's histogram."""
+    return ablations(ledger(table(spark, sf_dir, "documents")))
+
+
+_PLAN = ", ".join(f"({p.version}, '{r.name}', {p.mask}, {1 << r.bit})" for p in POLICIES.values() for r in RULES if r.name in p.rules)
+ABLATIONS_SQL = f"""WITH l AS (SELECT failed FROM ({OP3_SQL.strip()})), p(policy, rule, mask, bit) AS (VALUES {_PLAN})
+SELECT policy, rule, count(*) AS n_docs, count(*) FILTER (failed & mask <> 0) AS n_rejected, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed & mask = bit) AS n_only_this FROM l, p GROUP BY policy, rule"""

@@ -18,6 +18,7 @@ QUERIES = {
     "op11_fill_in_middle": infill.op11_fill_in_middle,
     "op12_secret_scans": secretscan.op12_secret_scans,
     "op13_conversation_trie": prefixtrie.op13_conversation_trie,
+    "quality_ablations": quality.quality_ablations,
 }
 ORACLES = {
     "op3_quality_rules": quality.OP3_SQL,
@@ -25,4 +26,5 @@ ORACLES = {
     "op11_fill_in_middle": infill.OP11_SQL,
     "op12_secret_scans": secretscan.OP12_SQL,
     "op13_conversation_trie": prefixtrie.OP13_SQL,
+    "quality_ablations": quality.ABLATIONS_SQL,
 }

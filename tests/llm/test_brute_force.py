@@ -275,6 +275,53 @@ def test_tiles_take_the_longest_first_and_in_any_order():
             assert len(taken) == len(set(taken))
 
 
+def test_tiles_are_those_of_plain_tiling():
+    """The longest match of free tokens again and again, the first of equals, until none has five."""
+    rng = random.Random(3)
+    for size in (2, 3, 9, 9, 30) * 12:
+        item, text = ([rng.randrange(size) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        if rng.random() < 0.5:
+            cut = rng.randint(0, len(item))
+            text[5:5] = item[cut:] + [-1] * rng.randint(0, 2) + item[:cut]
+        left, right, want = [True] * len(item), [True] * len(text), []
+        while True:
+            best = (0, 0, 0)
+            for i in range(len(item)):
+                for j in range(len(text)):
+                    n = 0
+                    while i + n < len(item) and j + n < len(text) and item[i + n] == text[j + n] and left[i + n] and right[j + n]:
+                        n += 1
+                    best = max(best, (n, -i, -j))
+            n, i, j = best[0], -best[1], -best[2]
+            if n < decontaminate.SEED:
+                break
+            want.append((i, j, n))
+            left[i : i + n], right[j : j + n] = [False] * n, [False] * n
+        k = decontaminate.SEED
+        pairs = [(i, j) for i in range(len(item) - k + 1) for j in range(len(text) - k + 1) if item[i : i + k] == text[j : j + k]]
+        rng.shuffle(pairs)
+        assert (decontaminate.tiles(pairs) if pairs else []) == sorted(want)
+
+
+def test_leaks_are_those_of_plain_tiling(spark):
+    rng = random.Random(6)
+    vocabulary = ["Ab", "cd", "éf", "g1", "h", "x" * 30]
+    items = {k: " ".join(rng.choices(vocabulary, k=rng.randint(3, 30))) for k in range(12)}
+    held = {k: "; ".join(rng.choices(vocabulary, k=rng.randint(0, 60))) + (" " + items[k % 12] if k % 3 else "") for k in range(40)}
+    low = lambda x: re.findall(r"[^\W_]+", x.lower())
+
+    def covered(item: list[str], text: list[str]) -> int:
+        pairs = [(i, j) for i in range(len(item) - 4) for j in range(len(text) - 4) if item[i : i + 5] == text[j : j + 5]]
+        return sum(n for _, _, n in decontaminate.tiles(pairs)) if pairs else 0
+
+    want = {(d, i, n) for d, x in held.items() for i, q in items.items() for n in [covered(low(q), low(x))] if n and 2 * n >= len(low(q))}
+    frame = lambda rows, id_: spark.createDataFrame(list(rows.items()), f"{id_} long, text string")
+    got = decontaminate.contaminated(frame(held, "doc_id").repartition(3), frame(items, "item_id")).collect()
+    assert {(r["doc_id"], r["item_id"], r["n_covered"]) for r in got} == want and len(got) == len(want) > 20
+    left = decontaminate.clean(frame(held, "doc_id"), frame(items, "item_id")).collect()
+    assert {r["doc_id"] for r in left} == set(held) - {d for d, _, _ in want}
+
+
 def test_leaks(spark, docs, texts):
     held = " ".join(words(texts[20])[:40])
     moved = held.split(" ")
@@ -542,6 +589,16 @@ def test_mix(docs, texts):
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in rated)
 
 
+def test_documents_without_ids_come_near_the_target(spark):
+    rows = [(None, f"{'word ' * 9}{k}", "a" if k < 400 else "b") for k in range(700)] + [(5, f"{'word ' * 9}{k}", "b") for k in range(100)]
+    taken = {s: 0 for s in "ab"}
+    rated = mixing.rated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for r in rated:
+        taken[r["row"]["source"]] += r["size"] * r["copies"]
+    target = {r["row"]["source"]: r["target"] for r in rated}
+    assert 0.8 < taken["a"] / target["a"] < 1.2 and 0.8 < taken["b"] / target["b"] < 1.2 and len({r["copies"] for r in rated if r["row"]["doc_id"] == 5}) == 2
+
+
 def test_ablations(docs):
     entries = [r.asDict() for r in quality.ledger(docs).collect()]
     for r in quality.ablations(quality.ledger(docs)).collect():
