@@ -149,13 +149,25 @@ class _Quotes:
             row[np.repeat(first[grams], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)] = 1
 
     def best(self, items: list[str]) -> list[tuple[int, int, int, float]]:
-        """(item_id, first, last, score) of the window of items most like each quote, where that is like enough."""
+        """(item_id, first, last, score) of the window of items most like each quote, where that is like enough.
+
+        The windows that begin in a stretch of items share no more bigrams with a quote than the whole stretch and that of
+        the next: quotes that could not be like enough even so, in the shortest window that counts, are passed over there.
+        """
         top, where = np.zeros(len(self.items)), np.zeros((len(self.items), 2), np.int64)
-        longest, step = self.sizes.max() * 1.65 + 24, max(1, CELLS // max(len(self.gram), len(self.items)))
+        least = np.maximum(LEAST, np.ceil(self.sizes * 0.45)) + self.sizes - 2
         for begin in range(0, len(items), SPAN):
             own = items[begin : begin + 2 * SPAN]
             at = np.concatenate([[0], np.cumsum([len(x) for x in own])])
             grams = _grams("".join(own))
+            most = (np.bincount(grams, minlength=1296)[self.gram] >= self.level).astype(np.float32) @ self.rows.T
+            alive = np.flatnonzero(2.0 * most.astype(np.float64) / np.maximum(least, 1) >= ACCEPT - 1e-9)
+            if not len(alive):
+                continue
+            rows, sizes = self.rows[alive], self.sizes[alive]
+            columns = np.flatnonzero(rows.any(axis=0))
+            rows, gram, level = np.ascontiguousarray(rows[:, columns]), self.gram[columns], self.level[columns]
+            longest, step = sizes.max() * 1.65 + 24, max(1, CELLS // max(len(gram), len(alive)))
             held = np.bincount(np.repeat(np.arange(len(own)), np.diff(at))[:-1] * 1296 + grams, minlength=len(own) * 1296).reshape(-1, 1296)
             upto = np.concatenate([np.zeros((1, 1296), np.int64), np.cumsum(held, axis=0)])
             # windows by their first and last item, in this order
@@ -168,14 +180,14 @@ class _Quotes:
                 counts = upto[z + 1] - upto[a]
                 cut = np.flatnonzero(z + 1 < len(own))  # the bigram that leads out of the window
                 counts[cut, grams[at[z[cut] + 1] - 1]] -= 1
-                common = (counts[:, self.gram] >= self.level).astype(np.float32) @ self.rows.T
+                common = (counts[:, gram] >= level).astype(np.float32) @ rows.T
                 total, before = (at[z + 1] - at[a])[:, None], (at[z] - at[a])[:, None]
-                score = 2.0 * common.astype(np.float64) / np.maximum(total + self.sizes - 2, 1)
-                score[(before > self.sizes * 1.65 + 24) | (total < np.maximum(LEAST, self.sizes * 0.45))] = 0.0
+                score = 2.0 * common.astype(np.float64) / np.maximum(total + sizes - 2, 1)
+                score[(before > sizes * 1.65 + 24) | (total < np.maximum(LEAST, sizes * 0.45))] = 0.0
                 at_best = score.argmax(axis=0)
-                value = score[at_best, np.arange(len(self.items))]
-                better = value > top
-                top[better], where[better] = value[better], np.stack([a[at_best], z[at_best]], axis=1)[better] + begin
+                value = score[at_best, np.arange(len(alive))]
+                better = value > top[alive]
+                top[alive[better]], where[alive[better]] = value[better], np.stack([a[at_best], z[at_best]], axis=1)[better] + begin
         return [(self.items[i], int(where[i, 0]), int(where[i, 1]), float(top[i])) for i in np.flatnonzero(top >= ACCEPT)]
 
 

@@ -11,6 +11,16 @@ def add(rows: DataFrame, new: DataFrame) -> DataFrame:
     return rows.unionByName(new, allowMissingColumns=True)
 
 
+def anchored(new: DataFrame, items: DataFrame, by: list[str]) -> DataFrame:
+    """new annotations (*by, id, type, y, item_index, rects) as they are added: notes without an anchor get the item that is nearest in height, and highlights with one lose their rectangles, which follow from it."""
+    from folioscan.operators import geometry
+
+    loose = new.where("type = 'note' AND item_index IS NULL").select(*by, F.col("id").alias("point_id"), "y")
+    near = geometry.nearest(items, loose, by).select(*by, F.col("point_id").alias("id"), F.col("item_index").alias("_near"))
+    found = new.join(near, [*by, "id"], "left").withColumn("item_index", F.coalesce("item_index", "_near")).drop("_near")
+    return found.withColumn("rects", F.when(~((F.col("type") == "highlight") & F.col("item_index").isNotNull()), F.col("rects")))
+
+
 def _first(rows: DataFrame, ids: DataFrame, order: str) -> DataFrame:
     """Of the rows of each of the ids the place of the first."""
     return rows.join(ids.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(order).alias(order))

@@ -42,26 +42,29 @@ def bounds(rects: DataFrame, *by: str) -> DataFrame:
     return box.select(*by, "x", "y", (F.col("_r") - F.col("x")).alias("width"), (F.col("_b") - F.col("y")).alias("height"))
 
 
-def intersecting(a: DataFrame, b: DataFrame, by: list[str], ids: tuple[str, str], cell: float = 64.0) -> DataFrame:
-    """Pairs of ids of rectangles of one group that intersect, b widened by the tolerances.
+def _meeting(a: DataFrame, b: DataFrame, by: list[str], cell: float = 64.0) -> DataFrame:
+    """Rows of a (*by, ax1, ay1, ax2, ay2 and others) with those of b (*by, bx1, ... and others) whose boxes overlap, edges excluded.
 
-    Both sides are dealt to the grid cells that they touch, so a group of many rectangles is joined cell by cell; each
-    pair counts in the cell of its common lower corner alone.
+    Both sides are dealt to the grid cells that they touch, so a group of many boxes is joined cell by cell; each pair
+    counts in the cell of its common lower corner alone.
     """
-    names = ["x", "y", "width", "height"]
-
-    def dealt(df: DataFrame, id_: str, p: str, wide: float, high: float) -> DataFrame:
-        x1, y1 = F.col("x") - wide, F.col("y") - high
-        x2, y2 = F.col("x") + F.col("width") + wide, F.col("y") + F.col("height") + high
-        own = df.select(*by, F.col(id_).alias(f"_{p}"), x1.alias(f"{p}x1"), y1.alias(f"{p}y1"), x2.alias(f"{p}x2"), y2.alias(f"{p}y2"))
-        cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
-        return own.withColumn("_cx", cells(f"{p}x1", f"{p}x2")).withColumn("_cy", cells(f"{p}y1", f"{p}y2"))
-
-    assert all(n in a.columns and n in b.columns for n in names)
-    both = dealt(a, ids[0], "a", 0.0, 0.0).join(dealt(b, ids[1], "b", NEAR_X, NEAR_Y), [*by, "_cx", "_cy"])
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
+    dealt = lambda df, p: df.withColumn("_cx", cells(f"{p}x1", f"{p}x2")).withColumn("_cy", cells(f"{p}y1", f"{p}y2"))
+    both = dealt(a, "a").join(dealt(b, "b"), [*by, "_cx", "_cy"])
     hit = (F.col("ax1") < F.col("bx2")) & (F.col("ax2") > F.col("bx1")) & (F.col("ay1") < F.col("by2")) & (F.col("ay2") > F.col("by1"))
     own = (F.floor(F.greatest("ax1", "bx1") / cell) == F.col("_cx")) & (F.floor(F.greatest("ay1", "by1") / cell) == F.col("_cy"))
-    return both.where(hit & own).select(*by, F.col("_a").alias("a_id"), F.col("_b").alias("b_id"))
+    return both.where(hit & own).drop("_cx", "_cy")
+
+
+def _box(p: str, wide: float = 0.0, high: float = 0.0) -> list[Column]:
+    """The corners of a rectangle (x, y, width, height), widened, as _meeting names them."""
+    x2, y2 = F.col("x") + F.col("width") + wide, F.col("y") + F.col("height") + high
+    return [(F.col("x") - wide).alias(f"{p}x1"), (F.col("y") - high).alias(f"{p}y1"), x2.alias(f"{p}x2"), y2.alias(f"{p}y2")]
+
+
+def intersecting(a: DataFrame, b: DataFrame, by: list[str], ids: tuple[str, str], cell: float = 64.0) -> DataFrame:
+    """Pairs of ids of rectangles of one group that intersect, b widened by the tolerances."""
+    return _meeting(a.select(*by, F.col(ids[0]).alias("a_id"), *_box("a")), b.select(*by, F.col(ids[1]).alias("b_id"), *_box("b", NEAR_X, NEAR_Y)), by, cell).select(*by, "a_id", "b_id")
 
 
 def merge(rects: DataFrame, by: list[str], same_y: float = 6.0, same_height: float = 8.0, gap: float = 20.0) -> DataFrame:
@@ -84,17 +87,35 @@ def merge(rects: DataFrame, by: list[str], same_y: float = 6.0, same_height: flo
     return page.select(*by, F.posexplode(F.expr(fold)).alias("line", "m")).select(*by, "line", "m.*")
 
 
+def _nearest(items: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
+    """For each point (*by, point_id, y) the item_index, distance and middle of the item whose middle is nearest in height; the first of equals.
+
+    Items and points of a group are put in the order of height together, where the nearest is the last item before a point
+    or the first one after it.
+    """
+    middle = F.col("y") + F.col("height") / 2
+    rows = items.select(*by, F.lit(None).alias("point_id"), middle.alias("_at"), "item_index").unionByName(points.select(*by, "point_id", F.col("y").alias("_at"), F.lit(None).alias("item_index")))
+    low, high = Window.partitionBy(*by).orderBy("_at"), Window.partitionBy(*by).orderBy(F.col("_at").desc())
+    own = F.col("item_index").isNotNull()
+    # of items at one height the one with the lowest index
+    below = F.max(F.when(own, F.struct("_at", (-F.col("item_index")).alias("k")))).over(low)
+    above = F.min(F.when(own, F.struct("_at", F.col("item_index").alias("k")))).over(high)
+    near = rows.withColumns({"_below": below, "_above": above}).where("item_index IS NULL")
+    far = lambda c, k: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}._at") - F.col("_at")).alias("distance"), k.alias("item_index"), F.col(f"{c}._at").alias("middle")))
+    best = F.least(far("_below", -F.col("_below.k")), far("_above", F.col("_above.k")))
+    found = near.select(*by, "point_id", best.alias("_best")).where("_best IS NOT NULL").groupBy(*by, "point_id").agg(F.min("_best").alias("_best"))
+    return found.select(*by, "point_id", "_best.item_index", "_best.distance", "_best.middle")
+
+
 def nearest(items: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
-    """For each point (*by, point_id, y) the item whose centre is nearest in height; the first of equals."""
-    far = F.abs(F.col("y") + F.col("height") / 2 - F.col("_y"))
-    both = points.select(*by, "point_id", F.col("y").alias("_y")).join(items.select(*by, "item_index", "y", "height"), by)
-    return both.groupBy(*by, "point_id").agg(F.min_by("item_index", F.struct(far, "item_index")).alias("item_index"), F.min(far).alias("distance"))
+    """For each point (*by, point_id, y) the item whose middle is nearest in height; the first of equals."""
+    return _nearest(items, points, by).drop("middle")
 
 
 def hit(rects: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
     """For each point (*by, point_id, px, py) the last rectangle (by seq) that holds it, edges included."""
-    inside = F.col("px").between(F.col("x"), F.col("x") + F.col("width")) & F.col("py").between(F.col("y"), F.col("y") + F.col("height"))
-    return points.join(rects, by).where(inside).groupBy(*by, "point_id").agg(F.max("seq").alias("seq"))
+    none = rects.where("false").select(*by, "seq", "x", "y")
+    return hit_shapes(rects, none, none, points, by)
 
 
 def rescale(rects: DataFrame, factor: float) -> DataFrame:
@@ -142,11 +163,9 @@ def anchors_of_rects(items: DataFrame, rects: DataFrame) -> DataFrame:
     whole = Window.partitionBy("doc_id", "item_id")
     ranked = rects.withColumns({"_top": F.col("y") < F.min("y").over(whole) + LINE, "_low": F.col("y") > F.max("y").over(whole) - LINE})
     ends = ranked.groupBy("doc_id", "item_id").agg(F.min(F.when(F.col("_top"), F.col("x"))).alias("_x1"), F.max_by(F.col("x") + F.col("width"), F.when(F.col("_low"), F.struct("x", "width"))).alias("_x2"))
-    box = rects.select("doc_id", "item_id", *[F.col(c).alias(f"_{c}") for c in ("x", "y", "width", "height")])
-    near = (F.col("x") < F.col("_x") + F.col("_width") + NEAR_X) & (F.col("x") + F.col("width") > F.col("_x") - NEAR_X) & (F.col("y") < F.col("_y") + F.col("_height") + NEAR_Y) & (F.col("y") + F.col("height") > F.col("_y") - NEAR_Y)
-    touched = box.join(items, "doc_id").where(near).groupBy("doc_id", "item_id").agg(
-        F.min(F.struct("item_index", "text", "x", "width")).alias("s"), F.max(F.struct("item_index", "text", "x", "width")).alias("e")
-    )
+    boxes = rects.select("doc_id", "item_id", *_box("a", NEAR_X, NEAR_Y))
+    shown = F.struct("item_index", "text", "x", "width").alias("_item")
+    touched = _meeting(boxes, items.select("doc_id", shown, *_box("b")), ["doc_id"], 512.0).groupBy("doc_id", "item_id").agg(F.min("_item").alias("s"), F.max("_item").alias("e"))
     both = touched.join(ends, ["doc_id", "item_id"])
     first = both.select("doc_id", "item_id", "_x1", "_x2", "e", "s.*").withColumnRenamed("item_index", "start_item").withColumn("start_offset", offset_at(F.col("_x1"), True))
     last = first.select("doc_id", "item_id", "start_item", "start_offset", "_x2", "e.*")
@@ -179,10 +198,8 @@ def highlight_rects(anchored: DataFrame, legacy: DataFrame, by: list[str]) -> Da
 
 def nearest_y(points: DataFrame, items: DataFrame, by: list[str]) -> DataFrame:
     """points (*by, point_id, y) with `at`: the middle of the item that is nearest in height, or their own y where there is none."""
-    middle = F.col("y") + F.col("height") / 2
-    both = points.select(*by, "point_id", F.col("y").alias("_y")).join(items.select(*by, "item_index", middle.alias("_middle")), by)
-    near = both.groupBy(*by, "point_id").agg(F.min(F.struct(F.abs(F.col("_middle") - F.col("_y")).alias("far"), "item_index", "_middle")).alias("_near"))
-    return points.join(near, [*by, "point_id"], "left").withColumn("at", F.coalesce("_near._middle", "y")).drop("_near")
+    near = _nearest(items, points, by).select(*by, "point_id", "middle")
+    return points.join(near, [*by, "point_id"], "left").withColumn("at", F.coalesce("middle", "y")).drop("middle")
 
 
 def note_x(page_width: Column, canvas_width: Column) -> Column:
@@ -231,9 +248,9 @@ def box_selection(items: DataFrame, boxes: DataFrame, by: list[str]) -> DataFram
     low = {f"_{c}": F.least(f"{c}1", f"{c}2") for c in "xy"}
     high = {f"_{c}{c}": F.greatest(f"{c}1", f"{c}2") for c in "xy"}
     asked = boxes.select(*by, "box_id", *[v.alias(k) for k, v in (low | high).items()])
-    over = (F.col("x") + F.col("width") > F.col("_x")) & (F.col("x") < F.col("_xx")) & (F.col("y") + F.col("height") > F.col("_y")) & (F.col("y") < F.col("_yy"))
-    found = asked.join(items, by).where(over).groupBy(*by, "box_id").agg(
-        F.min("x").alias("fx"), F.min("y").alias("fy"), F.max(F.col("x") + F.col("width")).alias("fr"), F.max(F.col("y") + F.col("height")).alias("fb"), F.array_sort(F.collect_list(F.struct("item_index", "text"))).alias("t")
+    mine = asked.select(*by, "box_id", F.col("_x").alias("ax1"), F.col("_y").alias("ay1"), F.col("_xx").alias("ax2"), F.col("_yy").alias("ay2"))
+    found = _meeting(mine, items.select(*by, "item_index", "text", *_box("b")), by).groupBy(*by, "box_id").agg(
+        F.min("bx1").alias("fx"), F.min("by1").alias("fy"), F.max("bx2").alias("fr"), F.max("by2").alias("fb"), F.array_sort(F.collect_list(F.struct("item_index", "text"))).alias("t")
     )
     text = F.array_join(F.transform("t", lambda t: t["text"]), " ")
     x, y = F.coalesce("fx", "_x"), F.coalesce("fy", "_y")

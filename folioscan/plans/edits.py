@@ -12,6 +12,7 @@ from folioscan.operators import anchors, annotations, geometry
 from folioscan.plans import oracles
 from folioscan.plans.queries import _annotations, _rects
 from folioscan.session import shared_dir, table
+from folioscan.sources import files
 from folioscan.streaming import refresh
 
 
@@ -76,11 +77,34 @@ def anchor_refreshed(spark: SparkSession, sf: str) -> DataFrame:
     return refresh.stored(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (text_lines, ann_first_edited, history_restored, note_nearest_y, hit_notes, anchor_refreshed)}
+def ann_added(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes and highlights as they are added to pages."""
+    items = _rects(spark, sf).withColumnRenamed("seq", "item_index")
+    key = F.col("o_custkey")
+    new = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), key.cast("string").alias("id"), F.when(key % 2 == 0, "note").otherwise("highlight").alias("type"), (key % 60).cast("double").alias("y"), F.when(key % 3 == 0, key % 5).alias("item_index"), F.array(F.struct(F.lit(1.0).alias("x"))).alias("rects")
+    )
+    return annotations.anchored(new, items, ["l_orderkey"]).select("l_orderkey", "id", "type", "item_index", F.col("rects").isNotNull().alias("has_rects"))
+
+
+def ann_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The annotations of each page as a stored array."""
+    rows = _annotations(spark, sf).select("id", "type", "page_index", F.regexp_replace("text", r'[^a-z0-9 ]', "").alias("text"), "seq")
+    whole = rows.withColumns({"textAnchor": F.lit(None).cast("struct<itemIndex: double>"), "anchorRange": F.lit(None).cast("struct<start: double>"), **{c: F.lit(None).cast("double") for c in ("x", "y", "rect", "rects")}})
+    stored = files.annotation_arrays(whole, ["page_index"], "seq")
+    return stored.select("page_index", F.length("json").cast("long").alias("n_chars"), F.md5(F.col("json").cast("binary")).alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (ann_added, ann_json, text_lines, ann_first_edited, history_restored, note_nearest_y, hit_notes, anchor_refreshed)}
 
 _NEW = "(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '***' || chr(10) || '---' || chr(10) || coalesce(text, '') ELSE text END AS text FROM documents)"
 _SHIFTED = oracles._EXACT.replace("FROM documents", f"FROM {_NEW}").replace("x AS MATERIALIZED", "w AS MATERIALIZED")
 ORACLES = {
+    "ann_added": f"""WITH {oracles._RECTS}, n AS (SELECT o_orderkey AS l_orderkey, o_custkey::VARCHAR AS id, o_custkey % 2 = 0 AS note, o_custkey % 60 AS y, CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 5 END AS item FROM orders),
+k AS (SELECT l_orderkey, id, min_by(seq, (abs(r.y + r.height / 2 - n.y), seq)) AS near FROM n JOIN r USING (l_orderkey) WHERE note AND item IS NULL GROUP BY ALL)
+SELECT n.l_orderkey, n.id, CASE WHEN note THEN 'note' ELSE 'highlight' END AS type, coalesce(item, near) AS item_index, note OR item IS NULL AS has_rects FROM n LEFT JOIN k USING (l_orderkey, id)""",
+    "ann_json": f"""WITH {oracles._ANN}, j AS (SELECT page_index, seq, '{{"id":"' || id || '","type":"' || type || '"' || coalesce(',"text":"' || regexp_replace(text, '[^a-z0-9 ]', '', 'g') || '"', '') || '}}' AS j FROM a),
+t AS (SELECT page_index, '[' || string_agg(j, ',' ORDER BY seq) || ']' AS j FROM j GROUP BY page_index) SELECT page_index, length(j) AS n_chars, md5(j) AS digest FROM t""",
     "text_lines": r"""WITH t AS (SELECT page_id, string_split(replace(replace(replace(replace(coalesce(html, ''), '></', '>' || chr(13) || chr(10) || '</'), '<p>', chr(13) || '<p>'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM pages),
 k AS (SELECT page_id, CASE WHEN l[len(l)] = '' THEN l[:len(l) - 1] ELSE l END AS l FROM t)
 SELECT page_id, unnest(range(len(l)))::INTEGER AS k, length(unnest(l))::INTEGER AS n_chars, md5(unnest(l)) AS digest FROM k""",

@@ -18,21 +18,26 @@ _ADLER = f"aggregate({_BYTES}, named_struct('a', 1L, 'b', 0L), (s, x) -> named_s
 _TURNED = lambda x: f"concat(substring(lpad(hex({x}), 4, '0'), 3, 2), substring(lpad(hex({x}), 4, '0'), 1, 2))"
 _STORED = f"array_join(transform(blocks, (b, k) -> concat(IF(k + 1 = size(blocks), '01', '00'), {_TURNED('length(b) DIV 2')}, {_TURNED('65535 - length(b) DIV 2')}, b)), '')"
 _LZW = f"array_join(transform({_BYTES}, (x, i) -> concat(IF(i % 200 = 0, '100000000', ''), lpad(conv(x, 16, 2), 9, '0'))), '')"
+_LEFT = "array_join(transform(regexp_extract_all(r, '..', 0), (x, i) -> lpad(hex(pmod(CAST(conv(x, 16, 10) AS int) - IF(i = 0, 0, CAST(conv(substring(r, 2 * i - 1, 2), 16, 10) AS int)), 256)), 2, '0')), '')"
 ENCODED = {
     "literal": "concat(array_join(transform(regexp_extract_all(h, '.{1,256}', 0), g -> concat(lpad(hex(length(g) DIV 2 - 1), 2, '0'), g)), ''), '80')",
     "runs": f"concat(array_join(transform({_BYTES}, x -> concat('FF', x)), ''), '80')",
     "ascii85": f"concat(array_join(transform({_A85}, g -> IF(g.n = 4 AND g.v = 0, '7A', array_join(slice(array({_DIGITS}), 1, g.n + 1), ''))), ''), '7E3E')",
     "lzw": f"array_join(transform(regexp_extract_all(rpad(concat({_LZW}, '100000001'), CAST(8 * ceil((length({_LZW}) + 9) / 8) AS int), '0'), '.{{8}}', 0), x -> lpad(conv(x, 2, 16), 2, '0')), '')",
+    # rows of 64 bytes, the last filled up with 0: each byte less the one before it, after a filter's tag or without one
+    "png_left": f"array_join(transform(regexp_extract_all(full, '.{{128}}', 0), r -> concat('01', {_LEFT})), '')",
+    "tiff": f"array_join(transform(regexp_extract_all(full, '.{{128}}', 0), r -> {_LEFT}), '')",
     "flate": f"concat('7801', {_STORED}, lpad(hex({_ADLER}), 8, '0'))",
 }
-DECODERS: dict[str, Callable[[bytes], bytes]] = {"literal": codecs.rle_decode, "runs": codecs.rle_decode, "ascii85": codecs.a85_decode, "lzw": codecs.lzw_decode, "flate": codecs.flate_decode}
+DECODERS: dict[str, Callable[[bytes], bytes]] = {"literal": codecs.rle_decode, "runs": codecs.rle_decode, "ascii85": codecs.a85_decode, "lzw": codecs.lzw_decode, "flate": codecs.flate_decode, "png_left": lambda x: codecs.png_decode(x, 64), "tiff": lambda x: codecs.tiff_decode(x, 64)}
 
 
 def _decoded(codec: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         texts = table(spark, sf, "documents").select("doc_id", F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("h"))
         blocks = F.expr("IF(h = '', array(''), regexp_extract_all(h, '.{1,131070}', 0))")
-        rows = texts.select("doc_id", "h", blocks.alias("blocks")).select("doc_id", F.unhex(F.expr(ENCODED[codec])).alias("data"))
+        full = F.expr("rpad(h, CAST(128 * ceil(length(h) / 128) AS int), '0')")
+        rows = texts.select("doc_id", "h", blocks.alias("blocks"), full.alias("full")).select("doc_id", F.unhex(F.expr(ENCODED[codec])).alias("data"))
         sized = rows.withColumn("n_encoded", F.octet_length("data").cast("long"))
         back = codecs.apply(sized, "data", [DECODERS[codec]], "error")
         return back.select("doc_id", "n_encoded", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("digest"), "error")
@@ -48,9 +53,19 @@ _LENGTHS = {
     "runs": f"2 * {_N} + 1",
     "ascii85": f"({_N} // 4) * 5 + CASE WHEN {_N} % 4 > 0 THEN {_N} % 4 + 1 ELSE 0 END + 2",
     "lzw": f"(9 * ({_N} + ({_N} + 199) // 200 + 1) + 7) // 8",
+    "png_left": f"65 * (({_N} + 63) // 64)",
+    "tiff": f"64 * (({_N} + 63) // 64)",
     "flate": f"{_N} + 5 * greatest(1, ({_N} + 65534) // 65535) + 6",
 }
-ORACLES = {
-    f"decoded_{codec}": f"SELECT doc_id, ({_LENGTHS[codec]})::BIGINT AS n_encoded, ({'2 * ' if codec == 'runs' else ''}{_N})::BIGINT AS n_bytes, sha256({"unhex(regexp_replace(hex(coalesce(text, '')), '(..)', '\\1\\1', 'g'))" if codec == 'runs' else "coalesce(text, '')"}) AS digest, NULL::VARCHAR AS error FROM documents"
-    for codec in ENCODED
-}
+_HEX = "hex(coalesce(text, ''))"
+_FULL = f"rpad({_HEX}, (128 * (({_N} + 63) // 64))::INTEGER, '0')"
+#: The bytes that come back, where they aren't the text's.
+_BACK = {"runs": (f"2 * {_N}", f"unhex(regexp_replace({_HEX}, '(..)', '\\1\\1', 'g'))"), **dict.fromkeys(("png_left", "tiff"), (f"64 * (({_N} + 63) // 64)", f"unhex({_FULL})"))}
+
+
+def _oracle(codec: str) -> str:
+    size, back = _BACK.get(codec, (_N, "coalesce(text, '')"))
+    return f"SELECT doc_id, ({_LENGTHS[codec]})::BIGINT AS n_encoded, ({size})::BIGINT AS n_bytes, sha256({back}) AS digest, NULL::VARCHAR AS error FROM documents"
+
+
+ORACLES = {f"decoded_{codec}": _oracle(codec) for codec in ENCODED}

@@ -50,3 +50,12 @@ def serializable(rows: DataFrame) -> DataFrame:
 def write_annotations(rows: DataFrame, path: str) -> None:
     """One JSON object a line, in files as Spark deals them; null fields are left out."""
     serializable(rows).write.mode("overwrite").json(path)
+
+
+def annotation_arrays(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """by and `json`, what a file of each group's annotations holds: an array of objects in their order, without null fields."""
+    kept = serializable(rows)
+    fields = [c for c in kept.columns if c not in by and c != order]
+    each = F.to_json(F.struct(*fields))
+    listed = kept.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), each.alias("j")))).alias("_a"))
+    return listed.select(*by, F.concat(F.lit("["), F.array_join(F.transform("_a", lambda x: x["j"]), ","), F.lit("]")).alias("json"))
