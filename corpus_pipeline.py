@@ -1,7 +1,7 @@
 """From documents to token files: quality rules, near-duplicates, benchmark leaks, mixing, token files.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
-columns of documents; `run` writes each stage's rows as Parquet in the shared folder and reads them for the next.
+columns of documents; `run` writes each stage's rows as Parquet in the shared folder and reads them for the next, after which they are deleted.
 
 Defined cases: rows with null texts or fewer than 50 words go with the quality rules; every row is judged by its own
 text, so rows that share a doc_id, or have none, stay or go one by one; of rows that repeat doc_id and text one stays; an
@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscan.llm import decontaminate, minhash, mixing, quality, tokenfile
-from folioscan.session import materialize, table
+from folioscan.session import discard, materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,6 +58,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir).drop("file", "at")
