@@ -218,19 +218,21 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of such rows in the order of sid and first: the digest of all ids of a sid; nothing is held but the digest's state."""
+    """Of such rows in the order of sid and first: the digest of all ids of a sid; of a sid nothing is held but the digest's state."""
     own, state = None, None
-    row = lambda: pa.record_batch([pa.array([own], pa.binary()), pa.array([state.hexdigest()])], names=["sid", "ends"])
+    rows = lambda done: pa.record_batch([pa.array([x for x, _ in done], pa.binary()), pa.array([x for _, x in done], pa.string())], names=["sid", "ends"])
     for batch in batches:
+        done: list[tuple[bytes, str]] = []
         for sid, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if sid != own:
                 if state is not None:
-                    yield row()
+                    done.append((own, state.hexdigest()))
                 own, state = sid, hashlib.sha256(ids.encode())
             else:
                 state.update(b"," + ids.encode())
+        yield rows(done)
     if state is not None:
-        yield row()
+        yield rows([(own, state.hexdigest())])
 
 
 def end_digests(convs: DataFrame) -> DataFrame:
