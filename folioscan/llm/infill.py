@@ -154,7 +154,8 @@ def transformed(docs: DataFrame, seed: int = 7, rate: int = 100, spm: int = 50,
     names = [c for c in docs.columns if c not in ADDED]
     h1, h2, h3, h4 = draws(F.col("doc_id"), seed)
     others = [F.col(f"`{c}`") for c in names if c != text]
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), F.col(f"`{text}`").alias("t"), h1.alias("h1"), h2.alias("h2"), h3.alias("h3"), h4.alias("h4"))
+    filler = "_" * (1 + max(map(len, names)))  # a struct needs a field, of a name that no column has
+    rows = docs.select(F.struct(F.lit(0).alias(filler), *others).alias("row"), F.col(f"`{text}`").alias("t"), h1.alias("h1"), h2.alias("h2"), h3.alias("h3"), h4.alias("h4"))
     whole = F.coalesce("t", F.lit("")) == ""
     for x in (m.prefix, m.suffix, m.middle):
         whole |= F.col("t").contains(x)  # never of a null, which is whole already

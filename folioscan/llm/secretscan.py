@@ -113,8 +113,10 @@ class Ledger:
         """The paths of versions: `path`, a row of all columns but the text, and `blob`; what no rule has seen of them is scanned first."""
         rules = rules or latest()
         keys = [F.col(f"`{c}`") for c in versions.columns if c not in (text, "blob")]
-        own = versions.select(F.col(f"`{text}`").alias("text"), F.struct(F.lit(0).alias("_"), *keys).alias("path"))
-        paths = materialize(own.select(F.col("path").dropFields("_").alias("path") if keys else "path", address(F.col("text")).alias("blob")), "paths")
+        if not keys:
+            keys = [F.lit(None).cast("string").alias("path")]  # a row of the table has to have a column
+        own = versions.select(F.col(f"`{text}`").alias("text"), F.struct(*keys).alias("path"))
+        paths = materialize(own.select("path", address(F.col("text")).alias("blob")), "paths")
         every = F.lit(sum(1 << r.bit for r in rules))
         todo = every.bitwiseAND(F.bitwise_not(F.coalesce("pairs", F.lit(0))))
         lacking = materialize(paths.select("blob").distinct().join(self.scanned(), "blob", "left").select("blob", todo.alias("todo")).where("todo <> 0"), "unscanned")

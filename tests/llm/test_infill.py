@@ -11,7 +11,7 @@ import pytest
 
 from folioscan.llm import infill
 
-SCHEMA = "doc_id long, text string, output string, row string, t long, `a.b` string"
+SCHEMA = "doc_id long, text string, output string, row string, t long, `a.b` string, _ string"
 
 
 def plain(doc_id, text, unit, rate, spm, m, seed=7):
@@ -43,15 +43,15 @@ def test_parts_and_restored_texts(spark, unit, rate, spm, markers):
     from pyspark.sql import functions as F
 
     rows = sample()
-    docs = spark.createDataFrame([(i, x, "own", "row", 5, "z") for i, x in rows], SCHEMA).repartition(3)
+    docs = spark.createDataFrame([(i, x, "own", "row", 5, "z", "_") for i, x in rows], SCHEMA).repartition(3)
     made = infill.transformed(docs, rate=rate, spm=spm, unit=unit, markers=markers)
-    assert made.columns == ["doc_id", "text", "row", "t", "a.b", "n", "form", "prefix_chars", "middle_chars", "output"]
+    assert made.columns == ["doc_id", "text", "row", "t", "a.b", "_", "n", "form", "prefix_chars", "middle_chars", "output"]
     got = made.withColumn("back", infill.restored(F.col("output"), F.col("form"), markers)).collect()
     key = lambda r: repr(r)
     assert sorted(((r["doc_id"], r["text"], r["n"], r["form"], r["prefix_chars"], r["middle_chars"], r["output"]) for r in got), key=key) == sorted(
         ((i, x, *plain(i, x, unit, rate, spm, markers)) for i, x in rows), key=key
     )
-    assert all(r["back"] == (r["text"] or "") and r["row"] == "row" and r["t"] == 5 for r in got)
+    assert all(r["back"] == (r["text"] or "") and r["row"] == "row" and r["t"] == 5 and r["_"] == "_" for r in got)
     assert {r["form"] for r in got} == ({"plain", "psm", "spm"} if spm else {"plain", "psm"})
 
 
@@ -77,3 +77,4 @@ def test_ambiguous_markers_are_refused(own):
 
 def test_an_empty_table(spark):
     assert infill.transformed(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert infill.transformed(spark.createDataFrame([], "text string").selectExpr("text", "1L AS doc_id")).count() == 0

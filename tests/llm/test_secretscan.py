@@ -12,7 +12,7 @@ from folioscan.llm import secretscan
 from folioscan.llm.secretscan import Ledger, Rule
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
-SCHEMA = "path string, version long, text string, `a.b` string, found string, start long, todo long"
+SCHEMA = "path string, version long, text string, `a.b` string, found string, start long, todo long, _ string"
 
 
 def base(text: str) -> list[tuple]:
@@ -71,12 +71,12 @@ def test_only_unseen_pairs_are_scanned_and_all_paths_get_findings(spark, tmp_pat
 
     monkeypatch.setattr(secretscan, "_matches", watched)
     first = (Rule(0, "assign", 1, "token=([a-z]+)", "token=[a-z]", 3, 1), Rule(1, "hex", 1, "[0-9a-f]{32,}", "[0-9a-f]{32}"))
-    frame = lambda rows: spark.createDataFrame([(p, v, x, "a", "f", 1, 2) for p, v, x in rows], SCHEMA).repartition(2)
+    frame = lambda rows: spark.createDataFrame([(p, v, x, "a", "f", 1, 2, "_") for p, v, x in rows], SCHEMA).repartition(2)
     ledger = Ledger(spark, f"{tmp_path}/ledger")
     old = [("a", 1, "token=abc"), ("b", 1, "token=abc"), ("c", 1, "plain"), (None, None, None), ("d", 1, "0" * 32)]
     paths = ledger.record(frame(old), first)
     assert seen.pop() == (["0" * 32, "token=abc"], [("assign", 1), ("hex", 1)]) and not seen
-    assert paths.select("path.*").columns == ["path", "version", "a.b", "found", "start", "todo"]
+    assert paths.select("path.*").columns == ["path", "version", "a.b", "found", "start", "todo", "_"]
     assert spans(ledger.findings_of(paths, first).collect()) == spans_of(old, {"token=abc": [("assign", 0, 9)], "0" * 32: [("hex", 0, 32)]})
     # the same again: no text is looked at
     ledger.record(frame(old), first)
@@ -109,6 +109,12 @@ def test_a_scan_that_broke_off_adds_nothing_twice(spark, tmp_path):
         assert sorted((r["path"]["path"], len(r["found"])) for r in ledger.findings_of(p).collect()) == [("a", 1), ("b", 1)]
 
 
+def test_texts_without_keys(spark, tmp_path):
+    ledger = Ledger(spark, f"{tmp_path}/ledger")
+    found = ledger.findings_of(ledger.record(spark.createDataFrame([("AKIA" + "B" * 16,), (None,)], "text string"))).collect()
+    assert sorted(len(r["found"] or []) for r in found) == [0, 1]
+
+
 def test_an_empty_table(spark, tmp_path):
     ledger = Ledger(spark, f"{tmp_path}/ledger")
     paths = ledger.record(spark.createDataFrame([], SCHEMA))
