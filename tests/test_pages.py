@@ -124,6 +124,7 @@ FILES = {
     "inline image": page_file(stream(4, b"BI /W 1 /H 1 ID (no) Tj EI BT 1.2.3 2-3 Td (in) Tj (open")),
     "told length": page_file(stream(4, b"BT (endstream endobj 9 0 obj) Tj ET")),
     "length by reference": page_file(stream(4, b"BT (n) Tj ET", length=False)),
+    "length in an object": page_file(b"4 0 obj <</Length 9 0 R>> stream\nBT (endstream endobj 9 0 obj) Tj ET\nendstream endobj\n9 0 obj 35 endobj"),
     "wrong length": page_file(b"4 0 obj <</Length 3>> stream\r\nBT (wrong length) Tj ET\r\nendstream"),
     "empty": b"",
     "no objects": b"no objects",
@@ -197,7 +198,7 @@ def tree(pages):
     [
         ("tree", ["up", "a", "b", "n", "end", "new"]), ("two parts", ["b", "c"]), ("array of parts", ["c", "b"]), ("cut token", []), ("absent part", ["b"]),
         ("strings", ["a(b(c)d(e)f)g", ")(", DEEP[1:-1].decode(), "y" * 50000]), ("inline image", ["in"]), ("told length", ["endstream endobj 9 0 obj"]),
-        ("length by reference", ["n"]), ("wrong length", ["wrong length"]), ("empty", []), ("no objects", []), ("png", ["predicted"]), ("tiff", ["predicted"]),
+        ("length by reference", ["n"]), ("length in an object", ["endstream endobj 9 0 obj"]), ("wrong length", ["wrong length"]), ("empty", []), ("no objects", []), ("png", ["predicted"]), ("tiff", ["predicted"]),
         ("bad filter", ["as it is"]), ("object stream", ["held"]), ("fonts", ["xbc", "abc", "•bc", "abc"]), ("revised", ["new"]), ("old after new", ["new"]),
         ("shifted table", ["old"]), ("table lines", ["old"]), ("near offset", ["old"]), ("far offset", ["old"]), ("circle", ["new"]), ("no trailer", ["old"]),
         ("streamed", ["new"]), ("wide fields", ["new"]), ("wrong member", ["new"]), ("freed", ["old"]), ("scanned", []),
