@@ -406,6 +406,68 @@ def test_altered_passages_are_aligned(spark):
     assert got <= want and len(got) >= 39
 
 
+def _joined(found, pairs):
+    """Of pairs of documents, those without a row and without an earlier document that both have a row with."""
+    rows = {(r["doc_id"], r["other_id"]) for r in found}
+    others = defaultdict(set)
+    for x, y in rows:
+        others[x].add(y)
+    return {(x, y) for x, y in pairs if (x, y) not in rows and not others[x] & others[y]}
+
+
+def test_passages_whose_seeds_stand_in_many_earlier_documents_are_found(spark):
+    rng = random.Random(37)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    one = prose(200)
+    two = one[:]
+    for at in rng.sample(range(200), 26):
+        two[at] = "other"
+    rows = [(3 * k + j, " ".join(prose(40) + x[at : at + 24] + prose(40))) for j, x in enumerate((one, two)) for k, at in enumerate(range(0, 200, 12))]
+    rows += [(100, " ".join(prose(60) + one + prose(30))), (200, " ".join(prose(20) + two + prose(70)))]
+    found = chains.fuzzy_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in found} == {(200, 100)}
+    assert max(r["n_same"] for r in found) >= 170
+
+
+def test_a_change_every_fourth_word_is_found(spark):
+    rng = random.Random(41)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(20):
+        passage = prose(59)
+        altered = [f"x{rng.randrange(10**6)}" if at % 4 == 3 else w for at, w in enumerate(passage)]
+        rows += [(k, " ".join(prose(50) + passage + prose(30))), (100 + k, " ".join(prose(70) + altered + prose(60)))]
+        want.add((100 + k, k))
+    found = chains.fuzzy_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in found} == want
+
+
+@pytest.mark.parametrize("few", [2, 32])
+def test_passages_of_common_lines_are_those_of_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(chains, "FEW", few)
+    rng = random.Random(43)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    lines, own = [prose(rng.randint(16, 24)) for _ in range(5)], [prose(30) for _ in range(6)]
+    parts, rows = {}, []
+    for i in range(40):
+        parts[i] = [rng.choice(lines + own) for _ in range(3)]
+        rows.append((i, " ".join(sum((x + prose(3) for x in parts[i]), prose(90)) + prose(90))))
+    # two parts in a row, 40 words or more that agree and three that don't
+    pairs = {(i, j) for i in parts for j in range(i) for a, b in zip(parts[i], parts[i][1:], strict=False) for c, d in zip(parts[j], parts[j][1:], strict=False) if a is c and b is d and len(a + b) >= 40}
+    found = chains.fuzzy_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(pairs) > 20 and not _joined(found, pairs)
+
+
+def test_copies_are_rows_of_the_first(spark):
+    rng = random.Random(47)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    x = prose(50)
+    rows = [(1, f"{x} {prose(30)}"), (2, y := f"{prose(9)}\n\t{x}  "), (3, y), (4, y), (5, "few words"), (6, "few words"), (7, y), (7, prose(60))]
+    found = {tuple(r) for r in chains.fuzzy_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(2, 9, 59, 1, 0, 50, 50), (3, 0, 59, 2, 0, 59, 59), (4, 0, 59, 2, 0, 59, 59), (7, 0, 59, 2, 0, 59, 59)} <= found
+    assert {r[0] for r in found} == {2, 3, 4, 7}
+
+
 def test_common_words_are_counted():
     rng = random.Random(29)
     for _ in range(100):
