@@ -12,6 +12,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from tokenizers import Tokenizer
@@ -468,6 +469,28 @@ def test_copies_are_rows_of_the_first(spark):
     assert {r[0] for r in found} == {2, 3, 4, 7}
 
 
+@pytest.mark.parametrize("around", [24, None])
+def test_words_of_many_spans_come_in_batches_of_bounded_size(around):
+    rng = random.Random(53)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (20_000, 0, 30_000, 9)]
+    spans = []
+    for k, text in enumerate(texts):
+        n = len(text.split())
+        lows = [rng.randrange(n - 6) for _ in range(3 if n < 10 else 500)] if n else []
+        spans.append([{"chain": 1000 * k + i, "side": i % 2, "lo": lo, "hi": lo + 6} for i, lo in enumerate(lows)])
+    kind = pa.list_(pa.struct([("chain", pa.int64()), ("side", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]))
+    batch = pa.record_batch([pa.array(range(5)), pa.array(["", *texts]), pa.array([[], *spans], kind)], names=["doc_id", "text", "spans"]).slice(1)
+    cut = list(chains._cut(iter([batch]), around))
+    assert max(sum(map(len, b["words"].to_pylist())) for b in cut) <= 4 * chains.CUT_WORDS
+    got = {r["chain"]: r for b in cut for r in b.to_pylist()}
+    whole = {k: hashes for k, text in enumerate(texts) for _, _, hashes, _ in chains._word_slices(pa.record_batch([pa.array([k]), pa.array([text])], names=["doc_id", "text"]))}
+    for k, own in enumerate(spans):
+        for x in own:
+            begin, end = (0, len(whole[k])) if around is None else (max(0, x["lo"] - around), x["hi"] + around)
+            words = (whole[k] >> np.uint64(32)).astype(np.uint32)[begin:end].tobytes()
+            assert got[x["chain"]] == {"chain": x["chain"], "side": x["side"], "begin": begin, "last": end >= len(whole[k]), "words": words}
+
+
 def test_common_words_are_counted():
     rng = random.Random(29)
     for _ in range(100):
