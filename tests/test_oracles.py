@@ -32,3 +32,13 @@ def test_query(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
     assert len(got) or name.startswith("anchor")
+
+
+@pytest.mark.parametrize("name", ["page_objects"])
+def test_documents_without_text(spark, name, tmp_path):
+    """Empty lines are shown too, and documents without any text have files."""
+    texts = [(0, ""), (1, None), (2, "a\n\nb"), (3, "\n"), (4, "\nc\U0001f600\n\n")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = registry.QUERIES[name](spark, str(tmp_path)).toPandas(), duck(registry.ORACLES[name], str(tmp_path))
+    assert rows(got) == rows(want)
+    assert len(got)
