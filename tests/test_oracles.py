@@ -34,7 +34,7 @@ def test_query(spark, name):
     assert len(got) or name.startswith("anchor")
 
 
-@pytest.mark.parametrize("name", ["page_objects"])
+@pytest.mark.parametrize("name", ["page_objects", "page_operators", "page_text", "page_text_mapped"])
 def test_documents_without_text(spark, name, tmp_path):
     """Empty lines are shown too, and documents without any text have files."""
     texts = [(0, ""), (1, None), (2, "a\n\nb"), (3, "\n"), (4, "\nc\U0001f600\n\n")]
