@@ -17,13 +17,16 @@ _DIGITS = ", ".join(f"hex(33 + g.v DIV {85 ** (4 - k)} % 85)" for k in range(5))
 _ADLER = f"aggregate({_BYTES}, named_struct('a', 1L, 'b', 0L), (s, x) -> named_struct('a', (s.a + CAST(conv(x, 16, 10) AS bigint)) % 65521, 'b', (s.b + s.a + CAST(conv(x, 16, 10) AS bigint)) % 65521), s -> s.b * 65536 + s.a)"
 _TURNED = lambda x: f"concat(substring(lpad(hex({x}), 4, '0'), 3, 2), substring(lpad(hex({x}), 4, '0'), 1, 2))"
 _STORED = f"array_join(transform(blocks, (b, k) -> concat(IF(k + 1 = size(blocks), '01', '00'), {_TURNED('length(b) DIV 2')}, {_TURNED('65535 - length(b) DIV 2')}, b)), '')"
-_LZW = f"array_join(transform({_BYTES}, (x, i) -> concat(IF(i % 200 = 0, '100000000', ''), lpad(conv(x, 16, 2), 9, '0'))), '')"
+# bits, seven bytes at a time; then 9 of them for each byte, and a clear code before every 200
+_BITS = "array_join(transform(regexp_extract_all(h, '.{1,14}', 0), x -> lpad(conv(x, 16, 2), 4 * length(x), '0')), '')"
+_LZW = f"concat(regexp_replace(regexp_replace({_BITS}, '.{{8}}', '0$0'), '.{{1,1800}}', '100000000$0'), '100000001')"
+_LZW_BITS = "CAST(8 * ceil(9 * (length(h) DIV 2 + ceil(length(h) / 400) + 1) / 8) AS int)"
 _LEFT = "array_join(transform(regexp_extract_all(r, '..', 0), (x, i) -> lpad(hex(pmod(CAST(conv(x, 16, 10) AS int) - IF(i = 0, 0, CAST(conv(substring(r, 2 * i - 1, 2), 16, 10) AS int)), 256)), 2, '0')), '')"
 ENCODED = {
     "literal": "concat(array_join(transform(regexp_extract_all(h, '.{1,256}', 0), g -> concat(lpad(hex(length(g) DIV 2 - 1), 2, '0'), g)), ''), '80')",
     "runs": f"concat(array_join(transform({_BYTES}, x -> concat('FF', x)), ''), '80')",
     "ascii85": f"concat(array_join(transform({_A85}, g -> IF(g.n = 4 AND g.v = 0, '7A', array_join(slice(array({_DIGITS}), 1, g.n + 1), ''))), ''), '7E3E')",
-    "lzw": f"array_join(transform(regexp_extract_all(rpad(concat({_LZW}, '100000001'), CAST(8 * ceil((length({_LZW}) + 9) / 8) AS int), '0'), '.{{8}}', 0), x -> lpad(conv(x, 2, 16), 2, '0')), '')",
+    "lzw": f"array_join(transform(regexp_extract_all(rpad({_LZW}, {_LZW_BITS}, '0'), '.{{1,60}}', 0), x -> lpad(conv(x, 2, 16), length(x) DIV 4, '0')), '')",
     # rows of 64 bytes, the last filled up with 0: each byte less the one before it, after a filter's tag or without one
     "png_left": f"array_join(transform(regexp_extract_all(full, '.{{128}}', 0), r -> concat('01', {_LEFT})), '')",
     "tiff": f"array_join(transform(regexp_extract_all(full, '.{{128}}', 0), r -> {_LEFT}), '')",

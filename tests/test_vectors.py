@@ -258,3 +258,18 @@ def test_only_newer_models_are_anchored_again(spark, tmp_path):
     assert seen == [[1, 2, 3], [1]]
     got = sorted(tuple(r[c] for c in ("doc_id", "version", "start_item", "end_item")) for r in refresh.stored(spark, folder).collect())
     assert got == [(1, 2, 1, 2), (2, 1, 1, 1)]
+
+
+def test_lzw_codes(spark):
+    """Codes as built-in functions make them, at the ends of the blocks that begin with a clear code; the expression writes its bits once."""
+    from folioscan.plans import encodings
+
+    texts = [b"", b"a", bytes(range(256)), b"\xff" * 199, b"\x00" * 200, b"ab" * 201, bytes(7 * k % 256 for k in range(1401))]
+    rows = spark.createDataFrame([(k, x.hex().upper()) for k, x in enumerate(texts)], "k int, h string").selectExpr("k", f"unhex({encodings.ENCODED['lzw']}) AS data").orderBy("k").collect()
+    for text, row in zip(texts, rows, strict=True):
+        bits = "".join(("100000000" if k % 200 == 0 else "") + f"{b:09b}" for k, b in enumerate(text)) + "100000001"
+        bits += "0" * (-len(bits) % 8)
+        assert bytes(row["data"]) == int(bits, 2).to_bytes(len(bits) // 8)
+        assert codecs.lzw_decode(bytes(row["data"])) == text
+        assert codecs.lzw_decode(bytes(row["data"])[:-2])[: len(text) - 2] == text[: max(0, len(text) - 2)]
+    assert encodings.ENCODED["lzw"].count("regexp_extract_all(h") == 1
