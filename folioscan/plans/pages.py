@@ -15,17 +15,12 @@ def _doc() -> Column:
 
 
 def _survey(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(xref.survey(writer.files(table(spark, sf, "documents"))), "survey")
+    return materialize(xref.survey(writer.files(table(spark, sf, "documents")), streams=False), "survey")
 
 
-def _objects(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    surveyed = _survey(spark, sf)
-    return surveyed, materialize(xref.objects(surveyed), "objects")
-
-
-def _pages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    surveyed, found = _objects(spark, sf)
-    return found, materialize(pdf.pages(found, xref.trailers(surveyed)), "pages")
+def _pages(spark: SparkSession, sf: str, streams: bool = True) -> tuple[DataFrame, DataFrame]:
+    found, named = xref.tables(writer.files(table(spark, sf, "documents")), streams)
+    return found, materialize(pdf.pages(found, named), "pages")
 
 
 def xref_chain(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,34 +37,35 @@ def xref_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def pdf_objects(spark: SparkSession, sf: str) -> DataFrame:
     """Each object of the files, how it was found, its type and whether it has a stream."""
-    _, found = _objects(spark, sf)
+    found = xref.objects(_survey(spark, sf))
     v = F.col("value")
     return found.select(_doc(), "obj", "how", values.name(v, "$.Type", None).alias("type"), F.col("stream").isNotNull().alias("has_stream"), F.size(values.array(v, "$.Kids")).alias("n_kids"), values.number(v, "$.Count", -1.0).cast("long").alias("count"), values.string(v, "$.Title", None).alias("title"))
 
 
 def pdf_summary(spark: SparkSession, sf: str) -> DataFrame:
-    surveyed, found = _objects(spark, sf)
+    surveyed = _survey(spark, sf)
+    found = materialize(xref.objects(surveyed), "objects")
     told = pdf.summary(surveyed, found, xref.trailers(surveyed))
     return told.select(_doc(), "version", "catalog", "pages", "page_count", values.string(F.col("info"), "$.Title", None).alias("title"), "error")
 
 
 def pdf_resolved(spark: SparkSession, sf: str) -> DataFrame:
     """Every way from the files' catalogs along references."""
-    surveyed, found = _objects(spark, sf)
-    roots = pdf.catalogs(found, xref.trailers(surveyed)).select("path", "obj")
+    found, named = xref.tables(writer.files(table(spark, sf, "documents")), streams=False)
+    roots = pdf.catalogs(found, named).select("path", "obj")
     return pdf.resolved(found, roots).select(_doc(), F.array_join("trail", "/").alias("trail"), "obj", "again")
 
 
 def page_tree(spark: SparkSession, sf: str) -> DataFrame:
     """Pages in order, with what they inherit; files have outlines, form fields and empty nodes too."""
-    _, of = _pages(spark, sf)
+    _, of = _pages(spark, sf, streams=False)
     return of.select(_doc(), "page_index", "obj", F.array_join(F.transform("contents", lambda x: x.cast("string")), ",").alias("contents"), "media_box", "crop_box", "rotate", "width", "height")
 
 
 def page_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Texts of pages and of the forms that they paint, placed by the fonts' widths."""
     found, of = _pages(spark, sf)
-    rows = pdf.page_rows(found, of).where("kind = 'text'")
+    rows = pdf.page_rows(found, of, ("text",))
     style = fonts.style(F.col("base"))
     return rows.select(_doc(), "page_index", "seq", "text", *[F.round(c, 3).alias(c) for c in ("x", "y", "width", "height")], F.concat_ws(" ", *[style[k] for k in ("style", "weight", "family")]).alias("face"))
 
@@ -77,7 +73,7 @@ def page_texts(spark: SparkSession, sf: str) -> DataFrame:
 def page_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Subpaths of pages, with their bounds and how they are painted."""
     found, of = _pages(spark, sf)
-    rows = pdf.page_rows(found, of).where("kind = 'path'")
+    rows = pdf.page_rows(found, of, ("path",))
     return rows.select(_doc(), "page_index", "seq", "subpath", "segments", "closed", *[F.round(c, 3).alias(c) for c in ("x", "y", "width", "height")], "fill", "stroke", colors.css(F.col("fill_color")).alias("fill_css"), colors.css(F.col("stroke_color")).alias("stroke_css"), "line_width")
 
 
@@ -86,7 +82,7 @@ def page_images(spark: SparkSession, sf: str) -> DataFrame:
     found, of = _pages(spark, sf)
     told = materialize(images.described(found), "images")
     drawn = told.join(images.pixels(told), ["path", "obj"]).select("path", "obj", F.col("width").alias("columns"), F.col("height").alias("rows"), "mode", "base", F.hex("rgba").alias("rgba"))
-    where = images.placed(pdf.page_rows(found, of), of, found)
+    where = images.placed(pdf.page_rows(found, of, ("placed",)), of, found)
     return where.join(drawn, ["path", "obj"]).select(_doc(), "page_index", "obj", "x", "y", "width", "height", "columns", "rows", "mode", "base", "rgba")
 
 

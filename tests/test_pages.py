@@ -353,3 +353,29 @@ def test_summary(survey, found):
     got = {r["path"]: r for r in pdf.summary(survey, found, xref.trailers(survey)).collect()}
     assert got["revised"]["version"] == "1.4" and got["revised"]["page_count"] == 1 and got["revised"]["catalog"] == 1 and got["revised"]["error"] is None
     assert got["empty"]["error"] == "no header" and got["tree"]["error"] == "no catalog"
+
+
+@pytest.mark.parametrize("kind", content.KINDS)
+def test_kinds(found, pages, rows, kind):
+    """The rows of one kind are those that all operators give, and come of this kind's operators alone."""
+    got = pdf.page_rows(found, pages, (kind,)).orderBy("path", "page_index", "kind", "seq", "subpath").collect()
+    assert got == [r for r in rows if r["kind"] == kind] and got
+    assert not content.operators_of(("placed",)) & {"Tj", "re"}
+
+
+def test_survey_without_streams(spark):
+    """Where contents aren't asked for they stay in the files, and objects are the same but for them; no survey is left."""
+    files = spark.createDataFrame([(k, bytearray(v)) for k, v in FILES.items()], "path string, content binary")
+    data = {(r["path"], r["at"]): bytes(r["data"]) for r in xref.survey(files, streams=False).where("kind = 'object' AND data IS NOT NULL").collect()}
+    whole = {(r["path"], r["at"]): r for r in xref.survey(files).where("kind = 'object' AND data IS NOT NULL").withColumn("type", values.name(F.col("value"), "$.Type", None)).collect()}
+    assert data == {k: bytes(r["data"]) if r["type"] in ("XRef", "ObjStm") else b"" for k, r in whole.items()} and b"" in data.values()
+    told = lambda df: {(r["path"], r["obj"], r["how"], r["value"], r["there"]) for r in df.select("path", "obj", "how", F.to_json("value").alias("value"), F.col("stream").isNotNull().alias("there")).collect()}
+    slim, trailers = xref.tables(files, streams=False)
+    assert told(slim) == told(pdf.objects(files)) and trailers.count()
+
+
+def test_plain_numbers():
+    """Arrays of plain whole numbers are read at once, and others as before."""
+    assert list(values.tokens(b"[1 02]3", 0, True)) == [("numbers", "[1,2]", 6), ("number", 3, 7)]
+    for data, want in ((b"[1 02\n3]", "[1,2,3]"), (b"[ ]", "[]"), (b"[1 2 0 R]", '[1,"2 0 R"]'), (b"[1.5 2]", "[1.5,2]"), (b"<</W [1 4 2] /X 5>>", '{"W":[1,4,2],"X":5}'), (b"[1 [2 3] 4]", "[1,[2,3],4]"), (b"[1234567890123456789]", "[1.2345678901234568e+18]")):
+        assert values.value(data)[0] == want
